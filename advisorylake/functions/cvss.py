@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from advisorylake.functions.text import find_all, strip
+from advisorylake.functions.text import bind, find_all, strip
 
 # Metric keys of the public CVSS v3 and v4 specifications.
 METRICS_V3 = ["AV", "AC", "PR", "UI", "S", "C", "I", "A", "E", "RL", "RC", "CR", "IR", "AR",
@@ -67,38 +67,50 @@ def _metric(vector: Column, key: str, weights: dict[str, float]) -> Column:
 
 
 def _round_up(x: Column) -> Column:
-    scaled = F.round(x * 100000)
-    return F.when(scaled % 10000 == 0, scaled / 100000.0).otherwise(
-        (F.floor(scaled / 10000) + 1) / 10.0)
+    return bind(F.round(x * 100000), lambda scaled: F.when(
+        scaled % 10000 == 0, scaled / 100000.0).otherwise((F.floor(scaled / 10000) + 1) / 10.0))
+
+
+def _is_valid_v3(v: Column) -> Column:
+    keys = F.transform(F.split(v, "/"), lambda part: F.regexp_extract(part, "^([A-Z]+):", 1))
+    return v.rlike(_V3_VALID) & (F.size(F.array_distinct(keys)) == F.size(keys))
 
 
 def cvss3_base_score(vector: Column) -> Column:
-    """Base score of a valid v3.0/v3.1 vector by the public FIRST formula, else null."""
+    """Base score of a valid v3.0/v3.1 vector by the public FIRST formula, else null.
+
+    Intermediate values are bound once; the formula reuses each of them several times.
+    """
     v = F.upper(vector)
-    keys = F.transform(F.split(v, "/"), lambda part: F.regexp_extract(part, "^([A-Z]+):", 1))
-    valid = v.rlike(_V3_VALID) & (F.size(F.array_distinct(keys)) == F.size(keys))
-    changed = F.regexp_extract(v, "/S:([UC])(?:/|$)", 1)
-    av = _metric(v, "AV", {"N": 0.85, "A": 0.62, "L": 0.55, "P": 0.2})
-    ac = _metric(v, "AC", {"L": 0.77, "H": 0.44})
-    pr = F.when(changed == "C", _metric(v, "PR", {"N": 0.85, "L": 0.68, "H": 0.5})).otherwise(
+    changed = F.regexp_extract(v, "/S:([UC])(?:/|$)", 1) == "C"
+    pr = F.when(changed, _metric(v, "PR", {"N": 0.85, "L": 0.68, "H": 0.5})).otherwise(
         _metric(v, "PR", {"N": 0.85, "L": 0.62, "H": 0.27}))
-    ui = _metric(v, "UI", {"N": 0.85, "R": 0.62})
+    ease = (8.22 * _metric(v, "AV", {"N": 0.85, "A": 0.62, "L": 0.55, "P": 0.2})
+            * _metric(v, "AC", {"L": 0.77, "H": 0.44}) * pr
+            * _metric(v, "UI", {"N": 0.85, "R": 0.62}))
     loss = {"H": 0.56, "L": 0.22, "N": 0.0}
     iss = 1 - (1 - _metric(v, "C", loss)) * (1 - _metric(v, "I", loss)) * (
         1 - _metric(v, "A", loss))
-    impact = F.when(changed == "U", 6.42 * iss).when(
-        changed == "C", 7.52 * (iss - 0.029) - 3.25 * F.pow(iss - 0.02, F.lit(15.0)))
-    total = impact + 8.22 * av * ac * pr * ui
-    score = (F.when(total.isNull(), None)
-             .when(impact <= 0, 0.0)
-             .when(changed == "U", _round_up(F.least(total, F.lit(10.0))))
-             .otherwise(_round_up(F.least(1.08 * total, F.lit(10.0)))))
-    return F.when(valid, score)
+    has_scope = v.rlike("/S:[UC](?:/|$)")
+    parts = F.struct(changed.alias("changed"), iss.alias("iss"), ease.alias("ease"))
+
+    def with_impact(p: Column) -> Column:
+        impact = F.when(p["changed"], 7.52 * (p["iss"] - 0.029)
+                        - 3.25 * F.pow(p["iss"] - 0.02, F.lit(15.0))).otherwise(6.42 * p["iss"])
+        return F.struct(p["changed"].alias("changed"), p["ease"].alias("ease"),
+                        impact.alias("impact"))
+
+    def final(p: Column) -> Column:
+        total = (p["impact"] + p["ease"]) * F.when(p["changed"], 1.08).otherwise(1.0)
+        return F.when(total.isNull(), None).when(p["impact"] <= 0, 0.0).otherwise(
+            _round_up(F.least(total, F.lit(10.0))))
+
+    return F.when(_is_valid_v3(v) & has_scope, bind(bind(parts, with_impact), final))
 
 
 def cvss3_severity(score: Column) -> Column:
-    return (F.when(score == 0, "NONE").when(score < 4, "LOW").when(score < 7, "MEDIUM")
-            .when(score < 9, "HIGH").when(score <= 10, "CRITICAL"))
+    return bind(score, lambda s: F.when(s == 0, "NONE").when(s < 4, "LOW").when(
+        s < 7, "MEDIUM").when(s < 9, "HIGH").when(s <= 10, "CRITICAL"))
 
 
 def vector_from_metrics(metrics: dict[str, Column]) -> Column:

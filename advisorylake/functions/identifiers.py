@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, functions as F
 
-from advisorylake.functions.text import blank_to_null, find_all
+from advisorylake.functions.text import bind, blank_to_null, find_all
 
 # Scheme -> pattern, most specific meaning first. (?U) gives the word
 # boundary and digit classes their Unicode meaning.
@@ -20,6 +22,12 @@ PATTERNS = [
     ("OSV", r"(?U)(?<![\w-])(?:PYSEC-\d{4}-\d+|GO-\d{4}-\d+|RUSTSEC-\d{4}-\d{4}"
             r"|GSD-\d{4}-\d+|MAL-\d{4}-\d+|OSV-\d{4}-\d+)\b(?!-\d)"),
 ]
+# Substrings without which the pattern of a scheme cannot match.
+MARKERS = {
+    "CVE": ["CVE-"], "ZDI-CAN": ["ZDI-CAN-"], "ZDI": ["ZDI-"], "VU": ["VU#"],
+    "GHSA": ["GHSA-"], "MSRC": ["ADV"], "GHCOMMIT": ["GHCOMMIT:"],
+    "OSV": ["PYSEC-", "GO-", "RUSTSEC-", "GSD-", "MAL-", "OSV-"],
+}
 # Fixed value: schemes that justify storing a mention. A bare commit anchor does not.
 RECOGNIZED = ["CVE", "ZDI-CAN", "ZDI", "VU", "GHSA", "MSRC", "OSV"]
 
@@ -32,18 +40,30 @@ def canonical_value(scheme: str, value: Column) -> Column:
     return F.upper(value)
 
 
+def _typed(scheme: str):
+    return lambda v: F.struct(F.lit(scheme).alias("scheme"),
+                              canonical_value(scheme, v).alias("value"))
+
+
 def extract_identifiers(*texts: Column) -> Column:
-    """array<struct<scheme,value>> over the newline-joined texts, distinct, in order."""
+    """array<struct<scheme,value>> over the newline-joined texts, distinct, in order.
+
+    Most texts hold ids of one or two schemes. A plain substring test on the upper-cased
+    text decides which patterns run at all.
+    """
     blob = F.concat_ws("\n", *[blank_to_null(t) for t in texts])
-    per_scheme = [
-        F.transform(
-            find_all(blob, pattern),
-            lambda v, scheme=scheme: F.struct(
-                F.lit(scheme).alias("scheme"), canonical_value(scheme, v).alias("value")),
-        )
-        for scheme, pattern in PATTERNS
-    ]
-    return F.array_distinct(F.flatten(F.array(*per_scheme)))
+    nothing = F.array().cast("array<string>")
+
+    def search(b: Column) -> Column:
+        per_scheme = []
+        for scheme, pattern in PATTERNS:
+            marks = [b["upper"].contains(mark) for mark in MARKERS[scheme]]
+            may_match = reduce(lambda x, y: x | y, marks)
+            found = F.when(may_match, find_all(b["text"], pattern)).otherwise(nothing)
+            per_scheme.append(F.transform(found, _typed(scheme)))
+        return F.array_distinct(F.flatten(F.array(*per_scheme)))
+
+    return bind(F.struct(blob.alias("text"), F.upper(blob).alias("upper")), search)
 
 
 def extract_from_list(values: Column, *texts: Column) -> Column:

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
+def bind(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it several times in ``body``."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c: Column) -> Column:
     """Trim any Unicode whitespace at both ends."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -20,7 +25,7 @@ def first_of(*cols: Column) -> Column:
 
 
 def normalize_text(c: Column) -> Column:
-    collapsed = F.regexp_replace(c, r"(?U)\s+", " ")
+    collapsed = F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+", " ")
     return F.coalesce(F.lower(F.trim(collapsed)), F.lit(""))
 
 

@@ -1,0 +1,32 @@
+"""Joins that stay balanced when one key holds a large share of the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+# A key is hot above this many rows. Only the busiest keys are treated apart, so what is
+# broadcast never exceeds HOT_KEY_LIMIT rows whatever the data size.
+HOT_ROWS = 200_000
+HOT_KEY_LIMIT = 1000
+
+
+def hot_keys(many: DataFrame, key: str, rows: int = HOT_ROWS) -> DataFrame:
+    """The busiest keys of a frame; counting combines on the map side."""
+    counts = many.groupBy(key).agg(F.count("*").alias("rows_of_key"))
+    return (counts.where(F.col(key).isNotNull() & (F.col("rows_of_key") >= rows))
+            .orderBy(F.desc("rows_of_key"), key).limit(HOT_KEY_LIMIT).select(key))
+
+
+def lookup(many: DataFrame, one: DataFrame, key: str, how: str = "left",
+           rows: int = HOT_ROWS) -> DataFrame:
+    """Join ``many`` to ``one`` (unique on ``key``) without gathering a hot key.
+
+    Rows of hot keys meet their single match by a broadcast of those few matches and stay
+    where they are; all other rows take the ordinary shuffle join. Both parts together
+    are the plain join.
+    """
+    hot = F.broadcast(hot_keys(many, key, rows))
+    hot_one = F.broadcast(one.join(hot, key, "left_semi"))
+    busy = many.join(hot, key, "left_semi").join(hot_one, key, how)
+    rest = many.join(hot, key, "left_anti").join(one, key, how)
+    return busy.unionByName(rest)

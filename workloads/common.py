@@ -11,6 +11,7 @@ from advisorylake.functions.dates import ts
 from advisorylake.lens import LENS_PARAMS, Lens, duckdb_ctes
 from advisorylake.operators.leads import days_ahead
 from advisorylake.operators.predicates import candidate_facts
+from advisorylake.sources.base import mentions_frame
 
 P = LENS_PARAMS
 
@@ -58,16 +59,52 @@ class Ctx(Lens):
         """Whole document texts with identifiers set off by spaces."""
         return self.spark.sql(PLANTED, documents=self.driver("documents"))
 
-
+    @cached_property
+    def batch(self) -> DataFrame:
+        """MENTION_SCHEMA rows over the whole document texts, with source and arrival."""
+        rows = self.spark.sql(BATCH, planted=self.planted)
+        extra = F.when(F.col("alias").isNotNull(), F.array("alias"))
+        flags = F.struct(
+            F.when(F.col("doc_id") % 5 == 0, F.col("arrival") % 2 == 0).alias("in_kev"),
+            F.lit(None).cast("date").alias("kev_date"),
+            F.when(F.col("doc_id") % 5 == 0, F.col("source_id").cast("string")).alias("kev_source"),
+            F.when(F.col("doc_id") % 6 == 0, F.lit(True)).alias("has_public_poc"))
+        refs = F.array("url", F.concat(F.lit("https://ref.example.org/"),
+                                       F.col("doc_id").cast("string")))
+        return mentions_frame(
+            rows, carry=["arrival", "doc_id", "source_id"], url=F.col("url"),
+            title=F.col("title"), snippet=F.col("snippet"), cve_id=F.col("cve_id"),
+            native_id=F.col("native_id"), extra_ids=extra, flags=flags, reference_urls=refs,
+            raw_html=F.when(F.col("doc_id") % 9 == 0, F.col("snippet")),
+            withdrawn=F.when(F.col("doc_id") % 12 == 0, F.col("arrival") >= 1000000000))
+
+
+# Whole texts; ids are set off by spaces, one document in ten has no CVE of its own, and
+# the date-like slug must not be read as an id.
 PLANTED = """
 SELECT doc_id, lang, source,
-       concat(text, ' CVE-2026-', lpad(CAST(doc_id AS STRING), 7, '0'), ' ',
-              CASE WHEN doc_id % 3 = 0 THEN concat('CVE-2025-', lpad(CAST(doc_id % 97 AS STRING), 7, '0'), ' ') ELSE '' END,
+       concat(text, ' ',
+              CASE WHEN doc_id % 10 <> 9 THEN concat('CVE-2026-', lpad(CAST(doc_id AS STRING), 7, '0'), ' ') ELSE '' END,
+              CASE WHEN doc_id % 3 = 0 THEN concat('cve-2025-', lpad(CAST(doc_id % 97 AS STRING), 7, '0'), ' ') ELSE '' END,
               CASE WHEN doc_id % 7 = 0 THEN concat('GHSA-2345-6789-', CASE WHEN doc_id % 2 = 0 THEN 'cfgh' ELSE 'CFGH' END, ' ') ELSE '' END,
               CASE WHEN doc_id % 11 = 0 THEN concat('zdi-can-', lpad(CAST(doc_id % 100000 AS STRING), 5, '0'), ' ') ELSE '' END,
-              CASE WHEN doc_id % 13 = 0 THEN 'VU#123456 ADV240001 ' ELSE '' END) AS text
+              CASE WHEN doc_id % 13 = 0 THEN 'VU#123456 ADV240001 ' ELSE '' END,
+              CASE WHEN doc_id % 17 = 0 THEN concat('PYSEC-2026-', CAST(doc_id AS STRING), ' lets-GO-2024-06-30-release ') ELSE '' END) AS text
 FROM {documents}"""
 
+# A mention batch: declared ids on half of the rows, re-emissions of every third one.
+_BATCH_ROW = """
+SELECT doc_id + {shift} AS arrival, doc_id, CAST(doc_id % 25 AS INT) AS source_id,
+       concat('Advisory  ', CAST(doc_id % 400 AS STRING)) AS title, text AS snippet,
+       concat('HTTPS://Feeds.Example.org/d/', CAST(doc_id % 50 AS STRING), '/?utm_source=x&b=2&a=', CAST(doc_id % 7 AS STRING), '#top') AS url,
+       CASE WHEN doc_id % 4 = 0 THEN concat(' cve-2026-', lpad(CAST(doc_id - doc_id % 8 AS STRING), 7, '0')) END AS cve_id,
+       CASE WHEN doc_id % 8 = 1 THEN concat('OSV-2026-', CAST(doc_id AS STRING))
+            WHEN doc_id % 8 = 3 THEN concat('GHCOMMIT:o/r@abcdef', lpad(CAST(doc_id AS STRING), 7, '0')) END AS native_id,
+       CASE WHEN doc_id % 8 = 4 THEN concat('OSV-2026-', CAST(doc_id - 3 AS STRING)) END AS alias
+FROM {planted} WHERE doc_id % {every} = 0"""
+BATCH = (_BATCH_ROW.replace("{shift}", "0").replace("{every}", "1") + " UNION ALL "
+         + _BATCH_ROW.replace("{shift}", "1000000000").replace("{every}", "3"))
+
 _IDS_SQL = """
 identifiers AS (
   SELECT 'CVE' AS scheme, cve_id AS value, id AS candidate_id FROM candidates WHERE cve_id IS NOT NULL
@@ -128,6 +165,7 @@ repos AS (SELECT *, CASE WHEN regexp_matches(full_name, '(?i)CVE-\\d{4}-\\d+|(^|
 _PREFIX = ",\n".join([
     duckdb_ctes(), _IDS_SQL, _FACTS_SQL, _LEADS_SQL, _OP_START, _REPOS_SQL,
     "planted AS (" + PLANTED.format(documents="documents") + ")",
+    "batch AS (" + BATCH.format(planted="planted") + ")",
 ])
 
 
