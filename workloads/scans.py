@@ -22,8 +22,6 @@ add = reg.add
 UTC = dt.timezone.utc
 # A clock that splits the data for window rules.
 MID = dt.datetime(1998, 7, 1, tzinfo=UTC)
-ID = F.col("id")
-IDS = F.col("id").cast("string")
 
 
 def s(**cols):
@@ -36,7 +34,7 @@ def iso(c="first_seen_at", pattern="yyyy-MM-dd'T'HH:mm:ss'Z'"):
 
 def pages(df, item, wrap=None, size: int = 50, keep: list[str] = ()):
     """JSON pages of at most ``size`` items, as an API would return them."""
-    rows = df.select((F.floor(ID / size)).alias("page"), *keep, item.alias("item"))
+    rows = df.select((F.floor(F.col("id") / size)).alias("page"), *keep, item.alias("item"))
     grouped = rows.groupBy("page", *keep).agg(F.collect_list("item").alias("items"))
     body = F.to_json(F.struct(F.col("items").alias(wrap))) if wrap else F.to_json("items")
     return grouped.select(*keep, body.alias("raw"))
@@ -58,7 +56,13 @@ def products(c="affected"):
 
 
 CVE = "coalesce(cve_id, 'CVE-2000-' || lpad(CAST(id AS STRING), 7, '0'))"
-CVE_COL = F.coalesce("cve_id", F.concat(F.lit("CVE-2000-"), F.lpad(IDS, 7, "0")))
+
+
+def cve_col():
+    """The row's CVE, or a made-up one for rows without."""
+    return F.coalesce("cve_id", F.concat(F.lit("CVE-2000-"), F.lpad(F.col("id").cast("string"), 7, "0")))
+
+
 
 # ---- catalogue, NVD, EPSS ---------------------------------------------------------
 
@@ -66,42 +70,42 @@ CVE_COL = F.coalesce("cve_id", F.concat(F.lit("CVE-2000-"), F.lpad(IDS, 7, "0"))
 def _records(c: Ctx):
     """CVE JSON 5 records with a CNA and, for even ids, one ADP container."""
     v31 = s(version="3.1", vectorString="CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H",
-            baseScore=(ID % 100) / 10.0, baseSeverity="high")
+            baseScore=(F.col("id") % 100) / 10.0, baseSeverity="high")
     v40 = s(version=F.lit(None).cast("string"), vectorString="CVSS:4.0/AV:N",
-            baseScore=(ID % 90) / 10.0, baseSeverity="Low")
+            baseScore=(F.col("id") % 90) / 10.0, baseSeverity="Low")
     metric = F.array(
         F.struct(F.lit("Secondary").alias("type"), v31.alias("cvssV3_1"),
                  F.when(F.lit(False), v40).alias("cvssV4_0")),
         F.struct(F.lit("Primary").alias("type"), F.when(F.lit(False), v31).alias("cvssV3_1"),
-                 F.when(ID % 3 == 0, v40).alias("cvssV4_0")))
+                 F.when(F.col("id") % 3 == 0, v40).alias("cvssV4_0")))
     ssvc = F.array(F.struct(s(type="ssvc", content=F.struct(F.array(
-        F.create_map(F.lit("Exploitation"), F.when(ID % 4 == 0, "active").otherwise("none")),
+        F.create_map(F.lit("Exploitation"), F.when(F.col("id") % 4 == 0, "active").otherwise("none")),
         F.create_map(F.lit("Technical Impact"), F.lit("total"))).alias("options"))).alias("other")))
     refs = F.array(
-        s(url=F.concat(F.lit("https://a.example/"), IDS),
-          tags=F.when(ID % 5 == 0, F.array(F.lit("Exploit")))),
+        s(url=F.concat(F.lit("https://a.example/"), F.col("id").cast("string")),
+          tags=F.when(F.col("id") % 5 == 0, F.array(F.lit("Exploit")))),
         s(url=F.lit("https://shared.example/x"), tags=F.array(F.lit("patch"))))
-    adp_refs = F.array(s(url=F.concat(F.lit("https://a.example/"), IDS),
+    adp_refs = F.array(s(url=F.concat(F.lit("https://a.example/"), F.col("id").cast("string")),
                          tags=F.array(F.lit("patch"), F.lit("exploit"))))
     cna = F.struct(
-        s(shortName=F.when(ID % 2 == 1, "acme"), orgId=F.lit("org-1")).alias("providerMetadata"),
+        s(shortName=F.when(F.col("id") % 2 == 1, "acme"), orgId=F.lit("org-1")).alias("providerMetadata"),
         metric.alias("metrics"),
         F.array(F.struct(F.array(
-            s(cweId=F.when(ID % 2 == 0, F.lit("cwe-79")), description=F.lit("XSS")))
+            s(cweId=F.when(F.col("id") % 2 == 0, F.lit("cwe-79")), description=F.lit("XSS")))
             .alias("descriptions"))).alias("problemTypes"),
-        F.array(s(defaultStatus=F.when(ID % 4 == 1, "unaffected"),
-                  cpes=F.array(F.concat(F.lit("cpe:2.3:a:v:p"), IDS), F.lit("bad")))).alias("affected"),
+        F.array(s(defaultStatus=F.when(F.col("id") % 4 == 1, "unaffected"),
+                  cpes=F.array(F.concat(F.lit("cpe:2.3:a:v:p"), F.col("id").cast("string")), F.lit("bad")))).alias("affected"),
         refs.alias("references"),
-        F.array(s(lang="es", value="hola"), s(lang="en-US", value=F.concat(F.lit("desc \u0000 "), IDS)))
+        F.array(s(lang="es", value="hola"), s(lang="en-US", value=F.concat(F.lit("desc \u0000 "), F.col("id").cast("string"))))
         .alias("descriptions"))
-    adp = F.when(ID % 2 == 0, F.array(F.struct(
+    adp = F.when(F.col("id") % 2 == 0, F.array(F.struct(
         s(shortName="CISA-ADP", orgId="x").alias("providerMetadata"), ssvc.alias("metrics"),
         adp_refs.alias("references"),
         F.array(F.struct(F.array(s(cweId="CWE-20", description="in")).alias("descriptions")))
         .alias("problemTypes"))))
-    meta = s(cveId=F.col("cve_id"), state=F.when(ID % 11 == 0, "REJECTED").otherwise("PUBLISHED"),
+    meta = s(cveId=F.col("cve_id"), state=F.when(F.col("id") % 11 == 0, "REJECTED").otherwise("PUBLISHED"),
              datePublished=iso(), dateUpdated=iso("last_seen_at"),
-             assignerShortName=F.when(ID % 3 == 0, "mitre"))
+             assignerShortName=F.when(F.col("id") % 3 == 0, "mitre"))
     record = F.to_json(F.struct(meta.alias("cveMetadata"), F.struct(
         cna.alias("cna"), adp.alias("adp")).alias("containers")))
     return c.candidates.select("cve_id", record.alias("raw"))
@@ -120,8 +124,8 @@ add("scan_cvelist",
 
 def _files(c: Ctx, shift: int):
     return c.candidates.select(
-        F.concat(F.lit("cves/"), IDS, F.lit(".json")).alias("path"),
-        F.when(ID % 4 == 0, F.col("last_seen_at") + F.make_dt_interval(F.lit(shift)))
+        F.concat(F.lit("cves/"), F.col("id").cast("string"), F.lit(".json")).alias("path"),
+        F.when(F.col("id") % 4 == 0, F.col("last_seen_at") + F.make_dt_interval(F.lit(shift)))
         .otherwise(F.col("last_seen_at")).alias("modified_at"))
 
 
@@ -133,11 +137,11 @@ add("scan_cvelist_delta",
 
 
 def _nvd_pages(c: Ctx):
-    v = s(id=CVE_COL, published=iso(pattern="yyyy-MM-dd'T'HH:mm:ss.SSS"), lastModified=iso("last_seen_at"),
-          vulnStatus=F.when(ID % 2 == 0, "Analyzed").otherwise("Received"))
+    v = s(id=cve_col(), published=iso(pattern="yyyy-MM-dd'T'HH:mm:ss.SSS"), lastModified=iso("last_seen_at"),
+          vulnStatus=F.when(F.col("id") % 2 == 0, "Analyzed").otherwise("Received"))
     empty = F.lit(None).cast("string")
-    bare = F.struct(F.when(ID % 3 == 0, v).alias("cve"), *[
-        F.when(ID % 3 != 0, v[k]).otherwise(empty).alias(k)
+    bare = F.struct(F.when(F.col("id") % 3 == 0, v).alias("cve"), *[
+        F.when(F.col("id") % 3 != 0, v[k]).otherwise(empty).alias(k)
         for k in ("id", "published", "lastModified", "vulnStatus")])
     return pages(c.candidates, bare, "vulnerabilities")
 
@@ -227,11 +231,11 @@ def _incremental(c: Ctx):
     rec = _records(c).where("cve_id IS NOT NULL").withColumnsRenamed({"cve_id": "k", "raw": "raw_json"})
     base = c.candidates.where("cve_id IS NOT NULL").join(rec, F.col("cve_id") == F.col("k"))
     return DOC.enrich_due(base.select(
-        ID.alias("n"), F.col("cve_id").alias("id"), F.lit("PUBLISHED").alias("state"),
-        F.when(ID % 6 != 0, F.col("raw_json")).alias("raw_json"),
+        F.col("id").alias("n"), F.col("cve_id").alias("id"), F.lit("PUBLISHED").alias("state"),
+        F.when(F.col("id") % 6 != 0, F.col("raw_json")).alias("raw_json"),
         F.col("last_seen_at").alias("cvelist_updated_at"),
-        F.when(ID % 4 != 0, F.lit("1997-06-01").cast("timestamp")).alias("enriched_at"),
-        F.when(ID % 10 != 7, "text").alias("description_en"),
+        F.when(F.col("id") % 4 != 0, F.lit("1997-06-01").cast("timestamp")).alias("enriched_at"),
+        F.when(F.col("id") % 10 != 7, "text").alias("description_en"),
         F.lit(None).cast("double").alias("primary_cvss_score"),
         F.lit(None).cast("string").alias("primary_cwe")))
 
@@ -244,25 +248,25 @@ add("enrich_incremental", lambda c: _incremental(c).select("id"),
 
 def _osv_docs(c: Ctx):
     events = F.array(s(introduced="0", fixed=F.lit(None).cast("string")),
-                     s(introduced=F.lit(None).cast("string"), fixed=F.concat(F.lit("1."), IDS)))
-    aliases = F.filter(F.array(F.col("cve_id"), F.when(ID % 4 == 0, F.concat(F.lit("GHSA-x-"), IDS)),
-                               F.when(ID % 9 == 0, F.concat(F.lit("MAL-2026-"), IDS))), lambda x: x.isNotNull())
+                     s(introduced=F.lit(None).cast("string"), fixed=F.concat(F.lit("1."), F.col("id").cast("string"))))
+    aliases = F.filter(F.array(F.col("cve_id"), F.when(F.col("id") % 4 == 0, F.concat(F.lit("GHSA-x-"), F.col("id").cast("string"))),
+                               F.when(F.col("id") % 9 == 0, F.concat(F.lit("MAL-2026-"), F.col("id").cast("string")))), lambda x: x.isNotNull())
     doc = F.to_json(F.struct(
-        F.concat(F.lit("OSV-2026-"), IDS).alias("id"), aliases.alias("aliases"),
-        F.when(ID % 5 != 0, F.concat(F.lit("Bug "), IDS)).alias("summary"),
-        F.when(ID % 5 == 0, F.lit("Malicious package found")).alias("details"),
-        F.when(ID % 6 == 0, "0001-01-01T00:00:00Z").otherwise(iso()).alias("published"),
+        F.concat(F.lit("OSV-2026-"), F.col("id").cast("string")).alias("id"), aliases.alias("aliases"),
+        F.when(F.col("id") % 5 != 0, F.concat(F.lit("Bug "), F.col("id").cast("string"))).alias("summary"),
+        F.when(F.col("id") % 5 == 0, F.lit("Malicious package found")).alias("details"),
+        F.when(F.col("id") % 6 == 0, "0001-01-01T00:00:00Z").otherwise(iso()).alias("published"),
         iso("last_seen_at").alias("modified"),
-        F.when(ID % 8 == 0, iso("last_seen_at")).alias("withdrawn"),
+        F.when(F.col("id") % 8 == 0, iso("last_seen_at")).alias("withdrawn"),
         F.array(s(type="CVSS_V3", score="CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H"), s(type="x", score="7.5")).alias("severity"),
         F.array(F.struct(
-            s(ecosystem=F.when(ID % 2 == 0, "PyPI").otherwise("Debian:11"), name=F.concat(F.lit("pkg"), IDS)).alias("package"),
+            s(ecosystem=F.when(F.col("id") % 2 == 0, "PyPI").otherwise("Debian:11"), name=F.concat(F.lit("pkg"), F.col("id").cast("string"))).alias("package"),
             F.array(s(type="ECOSYSTEM", events=events)).alias("ranges"),
-            s(informational=F.when(ID % 20 == 13, "unmaintained")).alias("database_specific"))).alias("affected"),
+            s(informational=F.when(F.col("id") % 20 == 13, "unmaintained")).alias("database_specific"))).alias("affected"),
         s(cwe_ids=F.array(F.lit("CWE-79"))).alias("database_specific"),
-        F.array(s(url=F.concat(F.lit("https://r.example/"), IDS))).alias("references")))
+        F.array(s(url=F.concat(F.lit("https://r.example/"), F.col("id").cast("string")))).alias("references")))
     return c.candidates.select(
-        F.when(ID % 2 == 0, "PyPI").otherwise("Debian").alias("ecosystem"), doc.alias("raw"))
+        F.when(F.col("id") % 2 == 0, "PyPI").otherwise("Debian").alias("ecosystem"), doc.alias("raw"))
 
 
 _OSV_LABEL = "CASE WHEN id % 2 = 0 THEN 'PyPI' ELSE 'Debian:11' END || ':pkg' || id || ' <1.' || id"
@@ -300,12 +304,12 @@ add("osv_cursor_filter",
 
 
 def _ghsa_item(c: Ctx):
-    return s(ghsa_id=F.concat(F.lit("GHSA-"), IDS), cve_id=F.col("cve_id"),
-             summary=F.when(ID % 7 != 0, F.concat(F.lit(" Sum "), IDS)),
-             html_url=F.concat(F.lit("https://gh.example/"), IDS),
-             published_at=F.when(ID % 3 != 0, iso()), updated_at=iso("last_seen_at"),
-             vulnerabilities=F.array(s(package=s(ecosystem=F.when(ID % 2 == 0, "npm"), name=F.when(ID % 4 != 3, F.concat(F.lit("p"), IDS))),
-                                       vulnerable_version_range=F.when(ID % 5 == 0, "< 2"))),
+    return s(ghsa_id=F.concat(F.lit("GHSA-"), F.col("id").cast("string")), cve_id=F.col("cve_id"),
+             summary=F.when(F.col("id") % 7 != 0, F.concat(F.lit(" Sum "), F.col("id").cast("string"))),
+             html_url=F.concat(F.lit("https://gh.example/"), F.col("id").cast("string")),
+             published_at=F.when(F.col("id") % 3 != 0, iso()), updated_at=iso("last_seen_at"),
+             vulnerabilities=F.array(s(package=s(ecosystem=F.when(F.col("id") % 2 == 0, "npm"), name=F.when(F.col("id") % 4 != 3, F.concat(F.lit("p"), F.col("id").cast("string")))),
+                                       vulnerable_version_range=F.when(F.col("id") % 5 == 0, "< 2"))),
              cwes=F.array(s(cwe_id="CWE-1")))
 
 
@@ -317,12 +321,12 @@ add("scan_ghsa",
     "nullif(CASE WHEN id % 7 <> 0 THEN ' Sum ' || id ELSE '' END || CASE WHEN id % 4 <> 3 THEN ' | affected: ' || "
     "CASE WHEN id % 2 = 0 THEN 'npm' ELSE 'None' END || ':p' || id || CASE WHEN id % 5 = 0 THEN ' < 2' ELSE '' END ELSE '' END, '') AS snippet, "
     f"cve_id, 'GHSA-' || id AS native_id, {_SEEN} AS seen_at FROM candidates")
-_REPO = F.concat(F.lit("own"), (ID % 40).cast("string"), F.lit("/rep"), (ID % 90).cast("string"))
 _REPO_SQL = "'own' || (id % 40) || '/rep' || (id % 90)"
 
 
 def _with_repo(c: Ctx):
-    return c.candidates.withColumn("full_name", _REPO)
+    return c.candidates.withColumn("full_name", F.concat(
+        F.lit("own"), (F.col("id") % 40).cast("string"), F.lit("/rep"), (F.col("id") % 90).cast("string")))
 
 
 add("scan_repo_advisories",
@@ -337,9 +341,9 @@ add("scan_repo_advisories",
 
 
 def _releases(c: Ctx):
-    item = s(name=F.concat(F.lit("v"), IDS), body=F.concat(F.lit("fixes "), F.lower(CVE_COL), F.lit(" and CVE-2001-0001; again "), CVE_COL),
-             tag_name=F.when(ID % 2 == 0, F.concat(F.lit("t"), IDS)), html_url=F.concat(F.lit("https://rel.example/"), IDS),
-             published_at=F.when(ID % 3 != 0, iso()), created_at=iso("last_seen_at"))
+    item = s(name=F.concat(F.lit("v"), F.col("id").cast("string")), body=F.concat(F.lit("fixes "), F.lower(cve_col()), F.lit(" and CVE-2001-0001; again "), cve_col()),
+             tag_name=F.when(F.col("id") % 2 == 0, F.concat(F.lit("t"), F.col("id").cast("string"))), html_url=F.concat(F.lit("https://rel.example/"), F.col("id").cast("string")),
+             published_at=F.when(F.col("id") % 3 != 0, iso()), created_at=iso("last_seen_at"))
     return pages(_with_repo(c), item, size=500, keep=["full_name"])
 
 
@@ -350,19 +354,19 @@ add("scan_releases",
     f"one AS cve_id, {_SEEN} AS seen_at, 'https://rel.example/' || id AS url FROM {_REL}")
 add("repo_emit_filter",
     lambda c: GH.repo_emit_filter(c.candidates.select(
-        "id", F.when(ID % 10 != 0, F.col("first_seen_at")).alias("seen_at"),
-        F.when(ID % 3 != 0, F.lit("1999-01-01").cast("timestamp")).alias("watermark")), MID).select("id"),
+        "id", F.when(F.col("id") % 10 != 0, F.col("first_seen_at")).alias("seen_at"),
+        F.when(F.col("id") % 3 != 0, F.lit("1999-01-01").cast("timestamp")).alias("watermark")), MID).select("id"),
     "SELECT id FROM candidates WHERE CASE WHEN id % 10 = 0 THEN id % 3 = 0 WHEN id % 3 <> 0 THEN first_seen_at > TIMESTAMP '1999-01-01' "
     "ELSE first_seen_at >= TIMESTAMP '1998-07-01' END")
 
 
 def _records_of(c: Ctx):
     """Commit records; the offset makes text order differ from time order."""
-    msg = (F.when(ID % 4 == 0, F.concat(F.lit("fix "), CVE_COL, F.lit("\nalso cve-2001-00012, "), CVE_COL))
-           .when(ID % 4 == 1, "Fix heap buffer overflow\n\ndetails").otherwise("update readme"))
+    msg = (F.when(F.col("id") % 4 == 0, F.concat(F.lit("fix "), cve_col(), F.lit("\nalso cve-2001-00012, "), cve_col()))
+           .when(F.col("id") % 4 == 1, "Fix heap buffer overflow\n\ndetails").otherwise("update readme"))
     stamp = F.concat(F.date_format(F.col("first_seen_at") + F.expr("INTERVAL 2 HOURS"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00"))
     return _with_repo(c).select("id", "full_name", F.concat(
-        F.lit("\n"), F.sha1(IDS), F.lit(GH.FIELD), stamp, F.lit(GH.FIELD), msg, F.lit("\n")).alias("record"))
+        F.lit("\n"), F.sha1(F.col("id").cast("string")), F.lit(GH.FIELD), stamp, F.lit(GH.FIELD), msg, F.lit("\n")).alias("record"))
 
 
 _LOGROWS = (f"(SELECT *, {_REPO_SQL} AS full_name, unnest(CASE WHEN id % 4 = 0 THEN [{CVE}, 'CVE-2001-00012'] WHEN id % 4 = 1 THEN [NULL] ELSE [] END) AS one, "
@@ -389,10 +393,10 @@ add("scan_single_repo",
 # ---- exploited and exploit lists --------------------------------------------------
 add("scan_cisa_kev",
     lambda c: EX.scan_cisa_kev(pages(c.candidates, s(
-        cveID=F.col("cve_id"), dateAdded=F.when(ID % 4 != 1, iso(pattern="yyyy-MM-dd")).otherwise("soon"),
-        vendorProject=F.concat(F.lit("V"), (ID % 9).cast("string")), product=F.lit(""),
-        vulnerabilityName=F.when(ID % 3 != 0, F.concat(F.lit("Name "), IDS)), shortDescription="short",
-        knownRansomwareCampaignUse=F.when(ID % 2 == 0, "Known")), "vulnerabilities")).select(
+        cveID=F.col("cve_id"), dateAdded=F.when(F.col("id") % 4 != 1, iso(pattern="yyyy-MM-dd")).otherwise("soon"),
+        vendorProject=F.concat(F.lit("V"), (F.col("id") % 9).cast("string")), product=F.lit(""),
+        vulnerabilityName=F.when(F.col("id") % 3 != 0, F.concat(F.lit("Name "), F.col("id").cast("string"))), shortDescription="short",
+        knownRansomwareCampaignUse=F.when(F.col("id") % 2 == 0, "Known")), "vulnerabilities")).select(
         "url", "title", "snippet", "cve_id", "seen_at", "flags.in_kev", "flags.kev_date", "flags.kev_source"),
     "SELECT 'https://nvd.nist.gov/vuln/detail/' || cve_id AS url, 'KEV: ' || CASE WHEN id % 3 <> 0 THEN 'Name ' || id ELSE cve_id END AS title, "
     "concat_ws(' | ', 'V' || (id % 9), CASE WHEN id % 3 <> 0 THEN 'Name ' || id END, CASE WHEN id % 2 = 0 THEN 'ransomware=Known' END, 'short') AS snippet, "
@@ -400,12 +404,12 @@ add("scan_cisa_kev",
     f"CASE WHEN id % 4 <> 1 THEN CAST(first_seen_at AS DATE) END AS kev_date, 'cisa' AS kev_source {_C}")
 add("scan_vulncheck_kev",
     lambda c: EX.scan_vulncheck_kev(pages(c.candidates, F.struct(
-        F.array(CVE_COL, F.concat(F.lit("CVE-2001-"), F.lpad(IDS, 8, "0"))).alias("cve"),
+        F.array(cve_col(), F.concat(F.lit("CVE-2001-"), F.lpad(F.col("id").cast("string"), 8, "0"))).alias("cve"),
         iso("last_seen_at").alias("date_added"), F.lit("Acme").alias("vendorProject"),
-        F.when(ID % 2 == 0, F.concat(F.lit("prod"), IDS)).alias("product"), F.lit("d").alias("description"),
+        F.when(F.col("id") % 2 == 0, F.concat(F.lit("prod"), F.col("id").cast("string"))).alias("product"), F.lit("d").alias("description"),
         F.lit("Unknown").alias("knownRansomwareCampaignUse"), F.array(F.lit("CWE-9")).alias("cwes"),
-        F.when(ID % 3 == 0, F.array(s(xdb_url=F.concat(F.lit("https://x.example/"), IDS), clone_ssh_url="git@github.com:o/r.git"))).alias("vulncheck_xdb"),
-        F.array(s(url="https://rep.example", date_added=F.when(ID % 5 != 0, iso()).otherwise("0001-01-01T00:00:00Z")))
+        F.when(F.col("id") % 3 == 0, F.array(s(xdb_url=F.concat(F.lit("https://x.example/"), F.col("id").cast("string")), clone_ssh_url="git@github.com:o/r.git"))).alias("vulncheck_xdb"),
+        F.array(s(url="https://rep.example", date_added=F.when(F.col("id") % 5 != 0, iso()).otherwise("0001-01-01T00:00:00Z")))
         .alias("vulncheck_reported_exploitation")), "data")).select(
         "cve_id", "title", "snippet", "seen_at", "flags.kev_date", "flags.kev_source", "flags.has_public_poc", products(),
         joined("reference_urls").alias("refs")),
@@ -418,11 +422,11 @@ add("scan_vulncheck_kev",
     "CASE WHEN id % 3 = 0 THEN 'https://x.example/' || id || ' https://github.com/o/r ' ELSE '' END || 'https://rep.example' AS refs FROM candidates")
 add("scan_exploitdb",
     lambda c: EX.scan_exploitdb(c.candidates.select(
-        IDS.alias("id"), F.concat(F.lit(" Exploit "), IDS).alias("description"),
-        F.when(ID % 3 != 0, iso(pattern="yyyy-MM-dd")).when(ID % 6 == 0, "n/a").alias("date_added"),
-        F.when(ID % 6 != 0, iso(pattern="yyyy-MM-dd HH:mm")).alias("date_published"), F.lit("webapps").alias("type"),
-        F.concat(F.lower(CVE_COL), F.when(ID % 2 == 0, ";OSVDB-1;CVE-2001-0001").otherwise("")).alias("codes"),
-        F.when(ID % 4 == 0, F.concat(F.lit("https://src.example/"), IDS)).alias("source_url")), MID).select(
+        F.col("id").cast("string").alias("id"), F.concat(F.lit(" Exploit "), F.col("id").cast("string")).alias("description"),
+        F.when(F.col("id") % 3 != 0, iso(pattern="yyyy-MM-dd")).when(F.col("id") % 6 == 0, "n/a").alias("date_added"),
+        F.when(F.col("id") % 6 != 0, iso(pattern="yyyy-MM-dd HH:mm")).alias("date_published"), F.lit("webapps").alias("type"),
+        F.concat(F.lower(cve_col()), F.when(F.col("id") % 2 == 0, ";OSVDB-1;CVE-2001-0001").otherwise("")).alias("codes"),
+        F.when(F.col("id") % 4 == 0, F.concat(F.lit("https://src.example/"), F.col("id").cast("string"))).alias("source_url")), MID).select(
         "url", "title", "snippet", "cve_id", "seen_at", "flags.has_public_poc"),
     f", e AS (SELECT *, {CVE} AS own, lower({CVE}) || CASE WHEN id % 2 = 0 THEN ';OSVDB-1;CVE-2001-0001' ELSE '' END AS codes, "
     "CASE WHEN id % 6 = 0 THEN NULL ELSE first_seen_at END AS seen FROM candidates) "
@@ -432,9 +436,9 @@ add("scan_exploitdb",
     "FROM e WHERE seen IS NULL OR seen >= TIMESTAMP '1998-07-01' - INTERVAL 120 DAY")
 add("scan_poc_index_json",
     lambda c: EX.scan_poc_index_json(c.candidates.select(
-        F.concat(F.lower(CVE_COL), F.lit(".json")).alias("file_name"), F.to_json(F.transform(
-            F.sequence(F.lit(0), (ID % 70).cast("int")), lambda i: s(
-                html_url=F.concat(F.lit("https://gh.example/"), IDS, F.lit("/"), i.cast("string")),
+        F.concat(F.lower(cve_col()), F.lit(".json")).alias("file_name"), F.to_json(F.transform(
+            F.sequence(F.lit(0), (F.col("id") % 70).cast("int")), lambda i: s(
+                html_url=F.concat(F.lit("https://gh.example/"), F.col("id").cast("string"), F.lit("/"), i.cast("string")),
                 description=F.when(i == 1, "second"),
                 created_at=F.date_format(F.col("first_seen_at") + F.make_dt_interval(F.lit(3) - i), "yyyy-MM-dd'T'HH:mm:ss'Z'")))).alias("raw"))).select(
         "cve_id", "title", "snippet", "seen_at", "flags.has_public_poc", F.size("reference_urls").alias("n_refs"), "url"),
@@ -443,9 +447,9 @@ add("scan_poc_index_json",
     "'https://gh.example/' || id || '/0' AS url FROM candidates")
 add("scan_poc_index_md",
     lambda c: EX.scan_poc_index_md(c.candidates.select(
-        F.concat(CVE_COL, F.lit(".md")).alias("file_name"), F.concat(
-            F.lit("### title\n"), F.when(ID % 2 == 0, F.concat(F.lit("![](https://img.example/v1?label=Product&message=Big%20App%2B"), IDS, F.lit("&color=blue)\n"))).otherwise(""),
-            F.lit("- https://github.com/foo/"), IDS, F.lit("\n- https://github.com/bar/poc\n- https://github.com/foo/"), IDS).alias("raw"))).select(
+        F.concat(cve_col(), F.lit(".md")).alias("file_name"), F.concat(
+            F.lit("### title\n"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("![](https://img.example/v1?label=Product&message=Big%20App%2B"), F.col("id").cast("string"), F.lit("&color=blue)\n"))).otherwise(""),
+            F.lit("- https://github.com/foo/"), F.col("id").cast("string"), F.lit("\n- https://github.com/bar/poc\n- https://github.com/foo/"), F.col("id").cast("string")).alias("raw"))).select(
         "cve_id", "title", "snippet", joined("reference_urls").alias("refs")),
     f"SELECT {CVE} AS cve_id, {CVE} || CASE WHEN id % 2 = 0 THEN ': Big App+' || id ELSE '' END AS title, "
     "CASE WHEN id % 2 = 0 THEN 'trickest PoC index | product=Big App+' || id END AS snippet, "
@@ -454,9 +458,9 @@ add("scan_poc_index_md",
 # ---- vendors ----------------------------------------------------------------------
 add("scan_redhat",
     lambda c: VD.scan_redhat(pages(c.candidates, s(
-        CVE=F.col("cve_id"), bugzilla_description=F.when(ID % 3 != 0, F.concat(F.lit("desc "), IDS)),
-        severity=F.when(ID % 2 == 0, "important"), cvss3_scoring_vector=F.when(ID % 4 == 0, "CVSS:3.1/AV:N"),
-        cvss_scoring_vector=F.when(ID % 6 == 0, "AV:N/AC:L"), public_date=iso(), resource_url=F.concat(F.lit("https://rh.example/"), IDS)))).select(
+        CVE=F.col("cve_id"), bugzilla_description=F.when(F.col("id") % 3 != 0, F.concat(F.lit("desc "), F.col("id").cast("string"))),
+        severity=F.when(F.col("id") % 2 == 0, "important"), cvss3_scoring_vector=F.when(F.col("id") % 4 == 0, "CVSS:3.1/AV:N"),
+        cvss_scoring_vector=F.when(F.col("id") % 6 == 0, "AV:N/AC:L"), public_date=iso(), resource_url=F.concat(F.lit("https://rh.example/"), F.col("id").cast("string"))))).select(
         "url", "title", "snippet", "cve_id", "seen_at"),
     "SELECT 'https://rh.example/' || id AS url, CASE WHEN id % 3 <> 0 THEN 'desc ' || id ELSE cve_id END AS title, "
     "nullif(CASE WHEN id % 2 = 0 THEN '[important] ' ELSE '' END || CASE WHEN id % 3 <> 0 THEN 'desc ' || id ELSE '' END || "
@@ -464,9 +468,9 @@ add("scan_redhat",
     f"cve_id, first_seen_at AS seen_at {_C}")
 add("scan_cisco",
     lambda c: VD.scan_cisco(pages(c.candidates, s(
-        identifier=F.concat(F.lit("sa-"), IDS), title=F.concat(F.lit(" Adv "), IDS), cve=CVE_COL,
-        summary=F.when(ID % 2 == 0, "y CVE-2001-0002 tambien"), severity=F.when(ID % 3 == 0, "High"),
-        firstPublished=iso(pattern="yyyy-MM-dd'T'HH:mm:ss.SSS'+0000'"), url=F.concat(F.lit("https://ci.example/"), IDS)))).select(
+        identifier=F.concat(F.lit("sa-"), F.col("id").cast("string")), title=F.concat(F.lit(" Adv "), F.col("id").cast("string")), cve=cve_col(),
+        summary=F.when(F.col("id") % 2 == 0, "y CVE-2001-0002 tambien"), severity=F.when(F.col("id") % 3 == 0, "High"),
+        firstPublished=iso(pattern="yyyy-MM-dd'T'HH:mm:ss.SSS'+0000'"), url=F.concat(F.lit("https://ci.example/"), F.col("id").cast("string"))))).select(
         "url", "title", "snippet", "cve_id", "seen_at"),
     "SELECT 'https://ci.example/' || id AS url, 'Adv ' || id AS title, CASE WHEN id % 3 = 0 THEN '[High] ' ELSE '' END || 'Adv ' || id || ' | ' || "
     "CASE WHEN id % 2 = 0 THEN 'y CVE-2001-0002 tambien' ELSE '' END AS snippet, "
@@ -475,14 +479,14 @@ add("scan_cisco",
 
 def _wordfence(c: Ctx):
     body = F.struct(
-        F.concat(F.lit(" Plugin "), IDS, F.when(ID % 3 == 2, F.concat(F.lit(" ("), CVE_COL, F.lit(")"))).otherwise("")).alias("title"),
-        F.when(ID % 3 == 0, CVE_COL).when(ID % 3 == 1, F.concat(F.lit('["'), CVE_COL, F.lit('","CVE-2001-0003"]'))).alias("cve"),
-        iso().alias("published"), F.array(s(name=F.when(ID % 2 == 0, F.concat(F.lit("wp"), IDS)), slug=F.concat(F.lit("slug"), IDS))).alias("software"),
-        F.array(s(url=F.concat(F.lit("https://wf.example/"), IDS))).alias("references"))
+        F.concat(F.lit(" Plugin "), F.col("id").cast("string"), F.when(F.col("id") % 3 == 2, F.concat(F.lit(" ("), cve_col(), F.lit(")"))).otherwise("")).alias("title"),
+        F.when(F.col("id") % 3 == 0, cve_col()).when(F.col("id") % 3 == 1, F.concat(F.lit('["'), cve_col(), F.lit('","CVE-2001-0003"]'))).alias("cve"),
+        iso().alias("published"), F.array(s(name=F.when(F.col("id") % 2 == 0, F.concat(F.lit("wp"), F.col("id").cast("string"))), slug=F.concat(F.lit("slug"), F.col("id").cast("string")))).alias("software"),
+        F.array(s(url=F.concat(F.lit("https://wf.example/"), F.col("id").cast("string")))).alias("references"))
     text = F.to_json(body)
     # The list form of the field is a real array in the payload.
     text = F.regexp_replace(text, r'"cve":"\[\\"([^\\]*)\\",\\"([^\\]*)\\"\]"', r'"cve":["$1","$2"]')
-    return c.candidates.select(F.concat(F.lit('{"k'), IDS, F.lit('":'), text, F.lit("}")).alias("raw"))
+    return c.candidates.select(F.concat(F.lit('{"k'), F.col("id").cast("string"), F.lit('":'), text, F.lit("}")).alias("raw"))
 
 
 add("scan_wordfence",
@@ -494,10 +498,10 @@ add("scan_wordfence",
     "first_seen_at AS seen_at, CASE WHEN id % 2 = 0 THEN 'wp' ELSE 'slug' END || id || '/-/wordpress/product/0' AS affected FROM w")
 add("scan_gemnasium",
     lambda c: VD.scan_gemnasium(c.candidates.select(F.lit("pypi").alias("ecosystem"), F.to_json(s(
-        identifiers=F.filter(F.array(F.concat(F.lit("GHSA-"), IDS), F.col("cve_id")), lambda x: x.isNotNull()),
-        package_slug=F.concat(F.lit("pypi/Grp/Pkg"), IDS), title=F.concat(F.lit("T "), IDS), description=" d ",
+        identifiers=F.filter(F.array(F.concat(F.lit("GHSA-"), F.col("id").cast("string")), F.col("cve_id")), lambda x: x.isNotNull()),
+        package_slug=F.concat(F.lit("pypi/Grp/Pkg"), F.col("id").cast("string")), title=F.concat(F.lit("T "), F.col("id").cast("string")), description=" d ",
         pubdate=iso(pattern="yyyy-MM-dd"), affected_range=">=1,<2||>=3,<4", fixed_versions=F.array(F.lit("2"), F.lit("4")),
-        urls=F.array(F.concat(F.lit("https://gl.example/"), IDS)), cwe_ids=F.array(F.lit("CWE-7")))).alias("raw")), MID).select(
+        urls=F.array(F.concat(F.lit("https://gl.example/"), F.col("id").cast("string"))), cwe_ids=F.array(F.lit("CWE-7")))).alias("raw")), MID).select(
         "url", "title", "snippet", "cve_id", "native_id", joined("extra_ids").alias("extra"), "seen_at", products(),
         joined(F.col("affected")[0]["exact_versions"]).alias("exact")),
     "SELECT 'https://gl.example/' || id AS url, 'T ' || id AS title, 'T ' || id || ' | d' AS snippet, cve_id, "

@@ -17,8 +17,6 @@ from workloads.ingestion import vector_column, _CVSS_SQL, _VEC_SQL
 reg = Registry()
 add = reg.add
 AS_OF = "TIMESTAMP '2001-12-01'"
-ID = F.col("id")
-IDS = F.col("id").cast("string")
 
 # ---- merges: part of each table is the target, a changed part arrives ---------------
 NVD_COLS = ["id", "state", "cvelist_published_at", "nvd_published_at", "nvd_first_observed_at",
@@ -83,27 +81,26 @@ def _products(c: Ctx):
 
 
 _PROD = ", prod AS (SELECT candidate_id, vendor, product, ecosystem, max(kind) AS kind FROM affected_products GROUP BY ALL) "
-CAND = F.col("candidate_id")
 add("merge_affected_structured",
     lambda c: M.merge_affected_structured(
-        _products(c).where(CAND % 3 != 1),
-        _products(c).where(CAND % 3 != 0).select(
-            *M.AFFECTED_KEY, F.when(CAND % 2 == 0, "product").alias("kind"), CAND.alias("arrival")).unionByName(
-            _products(c).where(CAND % 9 == 4).select(*M.AFFECTED_KEY, F.lit("late").alias("kind"), (CAND + 1).alias("arrival")))),
+        _products(c).where(F.col("candidate_id") % 3 != 1),
+        _products(c).where(F.col("candidate_id") % 3 != 0).select(
+            *M.AFFECTED_KEY, F.when(F.col("candidate_id") % 2 == 0, "product").alias("kind"), F.col("candidate_id").alias("arrival")).unionByName(
+            _products(c).where(F.col("candidate_id") % 9 == 4).select(*M.AFFECTED_KEY, F.lit("late").alias("kind"), (F.col("candidate_id") + 1).alias("arrival")))),
     _PROD + "SELECT candidate_id, vendor, product, ecosystem, CASE WHEN candidate_id % 3 = 0 THEN kind WHEN candidate_id % 9 = 4 THEN 'late' "
     "WHEN candidate_id % 2 = 0 THEN 'product' END AS kind FROM prod")
 add("merge_affected_llm",
     lambda c: M.merge_affected_llm(
-        _products(c).where(CAND % 3 != 1),
-        _products(c).where(CAND % 3 != 0).select(
+        _products(c).where(F.col("candidate_id") % 3 != 1),
+        _products(c).where(F.col("candidate_id") % 3 != 0).select(
             "candidate_id", "vendor", "product", F.when(F.col("ecosystem") == "pypi", "PIP").otherwise(F.col("ecosystem")).alias("ecosystem"),
-            F.lit("llm").alias("kind"), CAND.alias("arrival"))),
+            F.lit("llm").alias("kind"), F.col("candidate_id").alias("arrival"))),
     _PROD + "SELECT candidate_id, vendor, product, ecosystem, CASE WHEN candidate_id % 3 = 1 THEN 'llm' ELSE kind END AS kind FROM prod")
 
 
 def _scored(c: Ctx, keep, source: str):
     return c.candidates.where(keep).select(
-        ID.alias("candidate_id"), F.lit("3.1").alias("version"), F.lit("authoritative").alias("provenance"),
+        F.col("id").alias("candidate_id"), F.lit("3.1").alias("version"), F.lit("authoritative").alias("provenance"),
         F.lit(source).alias("source"), F.lit("old").alias("vector"), F.lit(1.0).alias("base_score"))
 
 
@@ -111,26 +108,25 @@ add("merge_cvss",
     lambda c: M.merge_cvss(
         _scored(c, "id % 3 <> 1", "osv"),
         M.structured_cvss(c.candidates.where("id % 3 <> 0").select(
-            ID.alias("candidate_id"), ID.alias("arrival"), F.array(
-                F.lit("cvss:3.1/av:n/ac:l/pr:n/ui:n/s:u/c:n/i:n/a:l"), vector_column(ID), F.lit("CVSS:3.1/AV:BAD"), F.lit("AV:N/AC:L"))
+            F.col("id").alias("candidate_id"), F.col("id").alias("arrival"), F.array(
+                F.lit("cvss:3.1/av:n/ac:l/pr:n/ui:n/s:u/c:n/i:n/a:l"), vector_column(F.col("id")), F.lit("CVSS:3.1/AV:BAD"), F.lit("AV:N/AC:L"))
             .alias("cvss_vectors")))),
     _CVSS_SQL + "SELECT id AS candidate_id, '3.1' AS version, 'authoritative' AS provenance, 'osv' AS source, "
     "CASE WHEN id % 3 = 0 THEN 'old' ELSE vector END AS vector, CASE WHEN id % 3 = 0 THEN 1.0 ELSE score END AS base_score FROM z")
 add("merge_identifiers",
     lambda c: M.merge_identifiers(
-        c.identifiers.where(CAND % 3 != 1),
-        c.identifiers.where(CAND % 3 != 0).select("scheme", "value", (CAND + 1000000000).alias("candidate_id"), CAND.alias("arrival"))),
+        c.identifiers.where(F.col("candidate_id") % 3 != 1),
+        c.identifiers.where(F.col("candidate_id") % 3 != 0).select("scheme", "value", (F.col("candidate_id") + 1000000000).alias("candidate_id"), F.col("candidate_id").alias("arrival"))),
     "SELECT scheme, value, CASE WHEN candidate_id % 3 = 1 THEN candidate_id + 1000000000 ELSE candidate_id END AS candidate_id FROM identifiers")
 add("merge_soft_refs",
     lambda c: M.merge_soft_refs(
-        c.candidates.where("cve_id IS NOT NULL AND id % 3 <> 1").select(ID.alias("mention_id"), "cve_id", F.lit("old").alias("context")),
-        c.candidates.where("cve_id IS NOT NULL AND id % 3 <> 0").select(ID.alias("mention_id"), "cve_id", F.lit("new").alias("context"), ID.alias("arrival"))),
+        c.candidates.where("cve_id IS NOT NULL AND id % 3 <> 1").select(F.col("id").alias("mention_id"), "cve_id", F.lit("old").alias("context")),
+        c.candidates.where("cve_id IS NOT NULL AND id % 3 <> 0").select(F.col("id").alias("mention_id"), "cve_id", F.lit("new").alias("context"), F.col("id").alias("arrival"))),
     "SELECT id AS mention_id, cve_id, CASE WHEN id % 3 = 1 THEN 'new' ELSE 'old' END AS context FROM candidates WHERE cve_id IS NOT NULL")
-_PRIO = F.col("priority")
 add("merge_repos",
     lambda c: M.merge_repos(
-        c.repos.where(_PRIO > 0).select("full_name", F.lit("manual").alias("origin"), "stars", "priority", F.lit("project").alias("repo_kind")),
-        c.repos.where(_PRIO != 10).select("full_name", F.when(_PRIO == 20, "past_cve").alias("origin"),
+        c.repos.where(F.col("priority") > 0).select("full_name", F.lit("manual").alias("origin"), "stars", "priority", F.lit("project").alias("repo_kind")),
+        c.repos.where(F.col("priority") != 10).select("full_name", F.when(F.col("priority") == 20, "past_cve").alias("origin"),
                                           F.when(F.col("stars") % 2 == 0, F.lit(7)).alias("stars"))),
     "SELECT full_name, CASE WHEN priority > 0 THEN 'manual' ELSE 'reference' END AS origin, "
     "coalesce(CASE WHEN priority <> 10 AND stars % 2 = 0 THEN 7 END, CASE WHEN priority > 0 THEN stars END) AS stars, "
@@ -153,9 +149,9 @@ add("merge_scan_mark",
 
 def _state(c: Ctx):
     return c.sources.select(
-        F.concat(F.when(ID % 5 == 0, "runtime:").otherwise("source:"), "name").alias("id"),
+        F.concat(F.when(F.col("id") % 5 == 0, "runtime:").otherwise("source:"), "name").alias("id"),
         F.date_format("last_success_at", "yyyy-MM-dd").alias("cursor"), F.lit(None).cast("string").alias("extra"),
-        F.col("last_success_at").alias("updated_at"), ID.alias("n"))
+        F.col("last_success_at").alias("updated_at"), F.col("id").alias("n"))
 
 
 add("merge_cursor",
@@ -168,7 +164,7 @@ add("merge_cursor",
 
 def _code_registry(c: Ctx):
     return c.sources.where("id % 4 <> 0").select(
-        F.when(ID % 6 == 1, F.concat("name", F.lit("_NEW"))).otherwise(F.col("name")).alias("name"), F.lit("k").alias("kind"),
+        F.when(F.col("id") % 6 == 1, F.concat("name", F.lit("_NEW"))).otherwise(F.col("name")).alias("name"), F.lit("k").alias("kind"),
         F.lit("api").alias("method"), (F.col("tier") % 5 + 1).alias("tier"), F.lit(60).alias("cadence_seconds"))
 
 
@@ -184,9 +180,9 @@ add("zombie_sources",
 add("replace_children",
     lambda c: M.replace_children(
         c.identifiers.where("scheme = 'CVE'").select(F.col("value").alias("cve_id"), F.lit("old").alias("cwe_id"), "candidate_id"),
-        c.identifiers.where((F.col("scheme") == "CVE") & (CAND % 3 == 1)).select(
+        c.identifiers.where((F.col("scheme") == "CVE") & (F.col("candidate_id") % 3 == 1)).select(
             F.col("value").alias("cve_id"), F.explode(F.array(F.lit("CWE-1"), F.lit("CWE-2"))).alias("cwe_id"), "candidate_id"),
-        c.identifiers.where((F.col("scheme") == "CVE") & (CAND % 3 != 0)).select(F.col("value").alias("cve_id"))),
+        c.identifiers.where((F.col("scheme") == "CVE") & (F.col("candidate_id") % 3 != 0)).select(F.col("value").alias("cve_id"))),
     "SELECT value AS cve_id, 'old' AS cwe_id, candidate_id FROM identifiers WHERE scheme = 'CVE' AND candidate_id % 3 = 0 "
     "UNION ALL SELECT value, unnest(['CWE-1', 'CWE-2']), candidate_id FROM identifiers WHERE scheme = 'CVE' AND candidate_id % 3 = 1")
 add("refresh_candidates",
@@ -204,8 +200,8 @@ def _dirty(c: Ctx):
     """The lens tables with planted violations."""
     return {
         "published_cves": c.published_cves.withColumn("state", F.when(_num() % 50 == 0, "ODD").otherwise(F.col("state"))),
-        "candidates": c.candidates.withColumn("attack_vector", F.when(ID % 100 == 3, "web").otherwise(F.col("attack_vector"))),
-        "sources": c.sources.withColumn("tier", F.when(ID == 3, 9).otherwise(F.col("tier"))),
+        "candidates": c.candidates.withColumn("attack_vector", F.when(F.col("id") % 100 == 3, "web").otherwise(F.col("attack_vector"))),
+        "sources": c.sources.withColumn("tier", F.when(F.col("id") == 3, 9).otherwise(F.col("tier"))),
         "cvss_scores": c.cvss_scores.withColumn("base_score", F.col("base_score") + 0.5),
         "epss_scores": c.epss_scores,
     }
@@ -284,10 +280,10 @@ def _urls(c: Ctx):
     def link(n):
         return F.concat(F.lit("https://github.com/own"), (n % 40).cast("string"), F.lit("/rep"), (n % 90).cast("string"), F.lit("/commit/x"))
 
-    mentions = c.mentions.select(link(CAND).alias("url"), F.when(CAND % 3 == 0, "CVE-2001-0001").alias("extracted_cve"))
+    mentions = c.mentions.select(link(F.col("candidate_id")).alias("url"), F.when(F.col("candidate_id") % 3 == 0, "CVE-2001-0001").alias("extracted_cve"))
     refs = c.published_cves.select(F.concat(F.lit("see github.com/cat/"), F.col("state"), F.lit(".git")).alias("url"))
-    cands = c.candidates.select("cve_id", F.when(ID % 2 == 0, F.array(
-        F.concat(F.lit("https://www.github.com/list/r"), (ID % 77).cast("string")), F.lit("https://gist.github.com/a/b"))).alias("reference_urls"))
+    cands = c.candidates.select("cve_id", F.when(F.col("id") % 2 == 0, F.array(
+        F.concat(F.lit("https://www.github.com/list/r"), (F.col("id") % 77).cast("string")), F.lit("https://gist.github.com/a/b"))).alias("reference_urls"))
     return RP.three_stream_refs(mentions, refs, cands)
 
 
@@ -303,8 +299,8 @@ add("harvest_references", lambda c: RP.harvest_references(_urls(c)),
     _URLS + "SELECT repo AS full_name, CASE WHEN bool_or(w) THEN 'past_cve' ELSE 'reference' END AS origin FROM u GROUP BY 1")
 add("criticality_topn",
     lambda c: RP.criticality_topn(c.candidates.select(
-        F.concat(F.lit("https://github.com/own"), (ID % 40).cast("string"), F.lit("/rep"), IDS).alias("url"),
-        F.when(ID % 7 == 0, "n/a").otherwise((ID % 1000 / 1000.0).cast("string")).alias("default_score")), 500)
+        F.concat(F.lit("https://github.com/own"), (F.col("id") % 40).cast("string"), F.lit("/rep"), F.col("id").cast("string")).alias("url"),
+        F.when(F.col("id") % 7 == 0, "n/a").otherwise((F.col("id") % 1000 / 1000.0).cast("string")).alias("default_score")), 500)
     .select("full_name", F.round("score", 6).alias("score")),
     "SELECT 'own' || (id % 40) || '/rep' || id AS full_name, round(sc, 6) AS score FROM (SELECT *, CASE WHEN id % 7 = 0 THEN 0.0 ELSE (id % 1000) / 1000.0 END AS sc FROM candidates) "
     "ORDER BY sc DESC, 'https://github.com/own' || (id % 40) || '/rep' || id LIMIT 500")
@@ -352,17 +348,17 @@ add("heuristic_enrich",
 
 
 def _responses(c: Ctx):
-    products = F.concat(F.lit('[{"vendor":"v'), IDS, F.lit('","product":"p","versions_raw":"<2"},{"vendor":"nameless"}]'))
+    products = F.concat(F.lit('[{"vendor":"v'), F.col("id").cast("string"), F.lit('","product":"p","versions_raw":"<2"},{"vendor":"nameless"}]'))
     body = F.concat(
         F.lit('{"affected_products":'), products, F.lit(',"vuln_type":"XSS","attack_vector":"'),
-        F.when(ID % 4 == 0, "Network").when(ID % 4 == 1, "web").otherwise("local"), F.lit('","has_public_poc":'),
-        F.when(ID % 3 == 0, "true").otherwise("false"), F.lit(',"poc_urls":["https://p.example/'), IDS, F.lit('","ftp://no"],"cvss_metrics":'),
-        F.when(ID % 5 == 0, '{"attack_vector":"NETWORK","attack_complexity":"low","privileges_required":"none","user_interaction":"none",'
+        F.when(F.col("id") % 4 == 0, "Network").when(F.col("id") % 4 == 1, "web").otherwise("local"), F.lit('","has_public_poc":'),
+        F.when(F.col("id") % 3 == 0, "true").otherwise("false"), F.lit(',"poc_urls":["https://p.example/'), F.col("id").cast("string"), F.lit('","ftp://no"],"cvss_metrics":'),
+        F.when(F.col("id") % 5 == 0, '{"attack_vector":"NETWORK","attack_complexity":"low","privileges_required":"none","user_interaction":"none",'
                '"scope":"unchanged","confidentiality":"high","integrity":"high","availability":"high"}').otherwise('{"scope":"odd"}'),
-        F.lit(',"confidence":'), F.when(ID % 10 == 9, "1.5").otherwise("0.5"), F.lit(',"extra":1}'))
+        F.lit(',"confidence":'), F.when(F.col("id") % 10 == 9, "1.5").otherwise("0.5"), F.lit(',"extra":1}'))
     fenced = F.concat(F.lit("```json\n"), body, F.lit("\n```"))
-    return c.candidates.select(ID.alias("candidate_id"), F.when(ID % 6 == 1, fenced).when(
-        ID % 6 == 2, F.concat(F.lit("Here: "), body, F.lit(" done"))).when(ID % 6 == 3, "no json at all").otherwise(body).alias("response"))
+    return c.candidates.select(F.col("id").alias("candidate_id"), F.when(F.col("id") % 6 == 1, fenced).when(
+        F.col("id") % 6 == 2, F.concat(F.lit("Here: "), body, F.lit(" done"))).when(F.col("id") % 6 == 3, "no json at all").otherwise(body).alias("response"))
 
 
 _OK = "(id % 6 <> 3 AND id % 10 <> 9)"
@@ -385,7 +381,7 @@ add("derived_cvss",
 def _enrichable(c: Ctx):
     return c.candidates.select(
         "id", "vuln_type", "attack_vector", "has_public_poc", "severity_hint", F.lit(None).cast("string").alias("affected_product"),
-        F.when(ID % 2 == 0, "earlier").alias("enrichment_method"), F.lit(None).cast("timestamp").alias("enrichment_updated_at"))
+        F.when(F.col("id") % 2 == 0, "earlier").alias("enrichment_method"), F.lit(None).cast("timestamp").alias("enrichment_updated_at"))
 
 
 add("apply_enrichment",
@@ -405,9 +401,9 @@ add("apply_enrichment",
 
 def _stamped(c: Ctx):
     agg = A.candidate_aggregates(c.mentions).select(F.col("candidate_id").alias("k"), "mention_count")
-    return c.candidates.join(agg, ID == F.col("k"), "left").withColumn(
-        "enrichment_updated_at", F.when(ID % 3 == 0, F.lit("2001-11-30 12:00:00").cast("timestamp")).when(
-            ID % 3 == 1, F.col("first_seen_at"))).fillna(0, ["mention_count"])
+    return c.candidates.join(agg, F.col("id") == F.col("k"), "left").withColumn(
+        "enrichment_updated_at", F.when(F.col("id") % 3 == 0, F.lit("2001-11-30 12:00:00").cast("timestamp")).when(
+            F.col("id") % 3 == 1, F.col("first_seen_at"))).fillna(0, ["mention_count"])
 
 
 add("enrich_worklist",
@@ -455,13 +451,13 @@ add("product_resolution",
 
 def _backfill(c: Ctx):
     ids = c.candidates.select(
-        ID.alias("candidate_id"), F.when(ID % 3 == 0, "GHCOMMIT").otherwise("OSV").alias("scheme"),
-        F.when(ID % 3 == 0, F.concat(F.lit("GHCOMMIT:Own/R"), IDS, F.lit("@abcdef0"))).when(
-            ID % 5 == 1, F.concat(F.lit("MAL-2026-"), IDS)).otherwise(F.concat(F.lit("OSV-2026-"), IDS)).alias("value"))
+        F.col("id").alias("candidate_id"), F.when(F.col("id") % 3 == 0, "GHCOMMIT").otherwise("OSV").alias("scheme"),
+        F.when(F.col("id") % 3 == 0, F.concat(F.lit("GHCOMMIT:Own/R"), F.col("id").cast("string"), F.lit("@abcdef0"))).when(
+            F.col("id") % 5 == 1, F.concat(F.lit("MAL-2026-"), F.col("id").cast("string"))).otherwise(F.concat(F.lit("OSV-2026-"), F.col("id").cast("string"))).alias("value"))
     rows = c.candidates.select(
-        ID.alias("candidate_id"), "id", F.when(ID % 3 == 2, F.concat(F.lit("Acme/Tool"), IDS, F.lit(": fix"))).alias("title"),
-        F.when(ID % 3 == 1, F.concat(F.lit("x | affected: "), F.when(ID % 2 == 0, "Debian:12").otherwise("npm"), F.lit(":pkg"), IDS, F.lit(" <2"))).alias("snippet"))
-    return EN.backfill_products(c.candidates, c.affected_products.where(CAND % 2 == 0), ids, rows)
+        F.col("id").alias("candidate_id"), "id", F.when(F.col("id") % 3 == 2, F.concat(F.lit("Acme/Tool"), F.col("id").cast("string"), F.lit(": fix"))).alias("title"),
+        F.when(F.col("id") % 3 == 1, F.concat(F.lit("x | affected: "), F.when(F.col("id") % 2 == 0, "Debian:12").otherwise("npm"), F.lit(":pkg"), F.col("id").cast("string"), F.lit(" <2"))).alias("snippet"))
+    return EN.backfill_products(c.candidates, c.affected_products.where(F.col("candidate_id") % 2 == 0), ids, rows)
 
 
 add("backfill_products", _backfill,
@@ -476,7 +472,7 @@ def _detail(c: Ctx):
     candidate with the most mentions."""
     busiest = (c.mentions.groupBy("candidate_id").agg(F.count("*").alias("n"))
                .join(c.candidates.where("merged_into IS NULL AND cve_id IS NOT NULL AND first_seen_at >= '1996-06-01' "
-                                        "AND substring(cve_id, 5, 4) >= '1996'"), CAND == ID)
+                                        "AND substring(cve_id, 5, 4) >= '1996'"), F.col("candidate_id") == F.col("id"))
                .orderBy(F.desc("n"), "id").select("cve_id").first())
     d = L.candidate_detail(
         busiest["cve_id"].lower(), candidates=c.candidates, identifiers=c.identifiers, cvss=c.cvss_scores, affected=c.affected_products,
