@@ -13,6 +13,7 @@ from advisorylake.functions.cvss import (
 from advisorylake.functions.dates import ts
 from advisorylake.functions.software import normalize_key
 from advisorylake.functions.text import strip
+from advisorylake.operators.stages import compute_once
 from advisorylake.functions.vocab import ALLOWED, clean_poc_urls, literal_normalise
 
 # The type patterns in order of precedence, and the other text signals.
@@ -69,10 +70,12 @@ def parse_enrichment_output(responses: DataFrame) -> DataFrame:
                            f"{OUTPUT_SCHEMA}, _bad string",
                            {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
 
-    whole, cut = read(bare), read(inner)
     usable = lambda o: o.isNotNull() & o["_bad"].isNull()
-    out = responses.select(
-        "candidate_id", F.when(usable(whole), whole).when(usable(cut), cut).alias("o"))
+    tried = compute_once(responses.select("candidate_id", bare.alias("bare"), inner.alias("inner")),
+                         whole=read(F.col("bare")), cut=read(F.col("inner")))
+    whole, cut = F.col("whole"), F.col("cut")
+    out = compute_once(tried.select("candidate_id", "whole", "cut"),
+                       o=F.when(usable(whole), whole).when(usable(cut), cut))
     o = F.col("o")
     confidence = F.coalesce(o["confidence"], F.lit(0.0))
     ok = o.isNotNull() & confidence.between(0.0, 1.0)
@@ -96,13 +99,13 @@ def parse_enrichment_output(responses: DataFrame) -> DataFrame:
 def derived_cvss(parsed: DataFrame) -> DataFrame:
     """v3.1 rows from the eight inferred base metrics."""
     metrics = {name: F.col(f"cvss_metrics.{name}") for name in ALLOWED}
-    vector = vector_from_metrics(metrics)
-    rows = parsed.select("candidate_id", "confidence", vector.alias("vector")).where(
-        F.col("vector").isNotNull())
+    rows = compute_once(parsed.where(F.col("cvss_metrics").isNotNull()),
+                        vector=vector_from_metrics(metrics)).where(F.col("vector").isNotNull())
+    rows = compute_once(rows.select("candidate_id", "confidence", "vector"),
+                        base_score=cvss3_base_score(F.col("vector")))
     return rows.select(
-        "candidate_id", F.lit("3.1").alias("version"), "vector",
-        cvss3_base_score(F.col("vector")).alias("base_score"),
-        cvss3_severity(cvss3_base_score(F.col("vector"))).alias("base_severity"),
+        "candidate_id", F.lit("3.1").alias("version"), "vector", "base_score",
+        cvss3_severity(F.col("base_score")).alias("base_severity"),
         F.lit("derived").alias("provenance"), F.lit("llm-derived").alias("source"), "confidence")
 
 
@@ -113,10 +116,9 @@ def authoritative_first_by_version(pieces: DataFrame) -> DataFrame:
     """
     found = pieces.select("candidate_id", "position",
                           F.posexplode(cvss_vectors_in_text(F.col("piece"))).alias("pos", "vector"))
-    scored = found.select(
-        "candidate_id", vector_version(F.col("vector")).alias("version"), "vector",
-        cvss3_base_score(F.col("vector")).alias("base_score"), "position", "pos"
-    ).where((F.col("version") == "4.0") | F.col("base_score").isNotNull())
+    scored = compute_once(found, version=vector_version(F.col("vector")),
+                          base_score=cvss3_base_score(F.col("vector"))).where(
+        (F.col("version") == "4.0") | F.col("base_score").isNotNull())
     best = scored.groupBy("candidate_id", "version").agg(
         F.min_by(F.struct("vector", "base_score"), F.struct("position", "pos")).alias("row"))
     return best.select("candidate_id", "version", "row.*").withColumn(

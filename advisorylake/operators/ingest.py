@@ -13,6 +13,7 @@ from advisorylake.functions.identifiers import (
     extract_from_list, extract_identifiers, is_recognized, primary_cve, primary_native, values_of,
 )
 from advisorylake.functions.text import strip
+from advisorylake.operators.stages import compute_once
 
 FLAG_COLUMNS = ["in_kev", "kev_date", "kev_source", "has_public_poc"]
 REFERENCE_CAP = 50
@@ -52,13 +53,11 @@ def mention_fanout(entries: DataFrame) -> DataFrame:
 def declared_identity(mentions: DataFrame) -> DataFrame:
     """Adds ``ids`` and ``text_ids``: the declared ids, else only the first id of the text.
 
-    The extraction sits in a one-row generator, below which no later filter is pushed, so
-    each text is searched once.
+    Each text is searched once whatever filters follow.
     """
     declared = extract_from_list(F.col("extra_ids"), F.col("cve_id"), F.col("native_id"))
     in_text = extract_identifiers(F.col("title"), F.col("snippet"), F.col("url"))
-    found = mentions.select("*", F.inline(F.array(F.struct(
-        declared.alias("declared"), in_text.alias("text_ids")))))
+    found = compute_once(mentions, declared=declared, text_ids=in_text)
     return found.withColumn(
         "ids", F.when(F.size("declared") > 0, F.col("declared"))
         .otherwise(F.slice("text_ids", 1, 1))).drop("declared")

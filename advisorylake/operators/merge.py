@@ -12,6 +12,7 @@ from advisorylake.functions.dates import ts
 from advisorylake.functions.repos import classify_repo_kind, origin_priority
 from advisorylake.functions.software import canonical_ecosystem, classify_kind
 from advisorylake.functions.text import strip
+from advisorylake.operators.stages import compute_once
 
 # A rule sees the old and the new value of a column where both rows exist.
 Rule = Callable[[Column, Column], Column]
@@ -150,13 +151,14 @@ def structured_cvss(mentions: DataFrame, source: str = "osv") -> DataFrame:
     rows = mentions.select("candidate_id", "arrival",
                            F.posexplode("cvss_vectors").alias("pos", "v"))
     vector = F.upper(strip(F.col("v")))
-    scored = rows.select(
-        "candidate_id", vector_version(vector).alias("version"), vector.alias("vector"),
-        cvss3_base_score(vector).alias("base_score"),
+    scored = compute_once(
+        rows.select("candidate_id", "arrival", "pos", vector.alias("vector")),
+        version=vector_version(F.col("vector")), base_score=cvss3_base_score(F.col("vector")))
+    return scored.where((F.col("version") == "4.0") | F.col("base_score").isNotNull()).select(
+        "candidate_id", "version", "vector", "base_score",
+        cvss3_severity(F.col("base_score")).alias("base_severity"),
         F.lit("authoritative").alias("provenance"), F.lit(source).alias("source"),
         F.struct("arrival", "pos").alias("arrival"))
-    return (scored.where((F.col("version") == "4.0") | F.col("base_score").isNotNull())
-            .withColumn("base_severity", cvss3_severity(F.col("base_score"))))
 
 
 def merge_cvss(scores: DataFrame, rows: DataFrame) -> DataFrame:
