@@ -39,8 +39,10 @@ def _batch_path(base: str, batch_id: int) -> str:
     return f"{base}/batch={batch_id}"
 
 
-def read_batches(spark: SparkSession, base: str, schema: T.StructType) -> DataFrame:
+def read_batches(spark: SparkSession, base: str, schema: T.StructType | str) -> DataFrame:
     """All written batches with their ``batch`` number."""
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
     return spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
                              ).option("basePath", base).parquet(f"{base}/batch=*")
 
@@ -76,8 +78,7 @@ def dedup_within(stream: DataFrame, ingest_time: str, horizon: str) -> DataFrame
         ["source_id", "content_hash"])
 
 
-PARTIALS = T.StructType.fromDDL(
-    "candidate_id BIGINT, source_id INT, n BIGINT, lo TIMESTAMP, hi TIMESTAMP")
+PARTIALS = "candidate_id BIGINT, source_id INT, n BIGINT, lo TIMESTAMP, hi TIMESTAMP"
 
 
 def stream_candidate_aggs(stream: DataFrame, base: str) -> None:
@@ -103,7 +104,7 @@ def read_candidate_aggs(spark: SparkSession, base: str) -> DataFrame:
         F.min("lo").alias("first_seen_at"), F.max("hi").alias("last_seen_at"))
 
 
-WINDOWS = T.StructType.fromDDL("window_start TIMESTAMP, window_end TIMESTAMP, n BIGINT")
+WINDOWS = "window_start TIMESTAMP, window_end TIMESTAMP, n BIGINT"
 
 
 def stream_velocity(stream: DataFrame, base: str, ingest_time: str, length: str,
@@ -126,7 +127,7 @@ def read_velocity(spark: SparkSession, base: str) -> DataFrame:
     return rows.groupBy("window_start", "window_end").agg(F.max_by("n", "batch").alias("n"))
 
 
-FIRST_SEEN = T.StructType.fromDDL("candidate_id BIGINT, day TIMESTAMP, lo TIMESTAMP, n BIGINT")
+FIRST_SEEN = "candidate_id BIGINT, day TIMESTAMP, lo TIMESTAMP, n BIGINT"
 
 
 def stream_late_data(stream: DataFrame, base: str, ingest_time: str = "ingested_at") -> None:
