@@ -22,8 +22,12 @@ def _with_min(pairs: DataFrame, rows: int) -> DataFrame:
         "u", F.least("u", "low").alias("m"), "degree")
     hot = F.broadcast(lowest.where(F.col("degree") >= rows)
                       .orderBy(F.desc("degree"), "u").limit(HOT_KEY_LIMIT).select("u", "m"))
-    busy = pairs.join(hot, "u")
-    rest = pairs.join(hot, "u", "left_anti").join(lowest.select("u", "m"), "u")
+    marked = pairs.join(hot, "u", "left")
+    busy = marked.where(F.col("m").isNotNull())
+    # Reading the degree here too keeps both uses of the grouping equal, so they share one
+    # shuffle.
+    rest = marked.where(F.col("m").isNull()).drop("m").join(
+        lowest.where(F.col("degree") > 0).select("u", "m"), "u")
     return busy.unionByName(rest)
 
 

@@ -16,6 +16,7 @@ from advisorylake.operators.predicates import (
 )
 from advisorylake.params import Params
 from advisorylake.plans.reports import check_maturity
+from advisorylake.session import cut_lineage
 
 TRIAGE_COLUMNS = ["id", "cve_id", "status", "maturity", "vuln_type", "severity_hint", "cvss",
                   "in_kev", "mention_count", "source_count", "first_seen_at", "last_seen_at"]
@@ -72,7 +73,8 @@ def emerging_list(rows: DataFrame, cvss: DataFrame, mentions: DataFrame, sources
                   page: int = 1, page_size: int = 50) -> DataFrame:
     order = [F.desc("last_seen_at"), F.asc("id")]
     offset = (max(1, page) - 1) * page_size
-    one_page = rows.orderBy(*order).offset(offset).limit(page_size)
+    # Written once: the page is read for its rows and twice for its ids.
+    one_page = cut_lineage(rows.orderBy(*order).offset(offset).limit(page_size))
     return attach_details(one_page, cvss, mentions, sources).orderBy(*order)
 
 
@@ -171,7 +173,7 @@ def pending_critical(facts: DataFrame, cvss: DataFrame, mentions: DataFrame,
         .withColumn("score", criticality_score(normalize_hint))
     )
     order = [F.desc("score"), F.desc_nulls_last("first_seen_at"), F.asc("id")]
-    best = signalled.orderBy(*order).limit(top)
+    best = cut_lineage(signalled.orderBy(*order).limit(top))
     ids = F.broadcast(best.select(F.col("id").alias("candidate_id")))
     names = first_product(affected.join(ids, "candidate_id", "left_semi")).withColumnRenamed(
         "candidate_id", "product_id")

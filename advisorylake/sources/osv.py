@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from advisorylake.functions.dates import parse_advisory_date, ts
 from advisorylake.functions.software import classify_kind, osv_ranges
 from advisorylake.functions.text import empty_to_null, first_of
+from advisorylake.operators.stages import compute_once
 from advisorylake.sources.base import affected_item, mentions_frame, snippet_of, title_of
 
 OVERLAP = dt.timedelta(minutes=5)
@@ -28,10 +29,10 @@ _MALWARE_TITLE = r"(?i)^\s*malicious (?:package|code)"
 def parse_osv(documents: DataFrame) -> DataFrame:
     """raw -> record fields, with ``modified_at`` and ``seen`` ready for the filters."""
     carry = [c for c in documents.columns if c != "raw"]
-    rows = documents.select(*carry, F.from_json("raw", RECORD).alias("r")).select(*carry, "r.*")
+    rows = compute_once(documents, r=F.from_json("raw", RECORD)).select(*carry, "r.*")
     published, modified = (parse_advisory_date(F.col(c)) for c in ("published", "modified"))
-    return rows.withColumns({"modified_at": F.coalesce(modified, published),
-                             "seen": F.coalesce(published, modified)})
+    return compute_once(rows, modified_at=F.coalesce(modified, published),
+                        seen=F.coalesce(published, modified))
 
 
 def osv_cursor_filter(records: DataFrame, cursor: dt.datetime | None,
@@ -93,7 +94,7 @@ def osv_mentions(records: DataFrame, carry: list[str] = ()) -> DataFrame:
             exact_versions=empty_to_null(a["versions"]), ranges=ranges)
 
     named = F.filter("affected", lambda a: a["package"]["name"] != "")
-    rows = rows.withColumn("items", F.transform(named, item))
+    rows = compute_once(rows, items=F.transform(named, item))
 
     def label(i: Column) -> Column:
         fixed = F.get(i["ranges"], F.lit(0))["fixed"]

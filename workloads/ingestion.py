@@ -11,6 +11,7 @@ from advisorylake.operators import aggregates as A
 from advisorylake.operators import ingest as I
 from advisorylake.operators import leads as LD
 from advisorylake.operators import resolve as RS
+from advisorylake.session import cut_lineage
 from workloads.common import Ctx, F, P, Registry, sql_days
 
 reg = Registry()
@@ -140,7 +141,7 @@ _OWNED = _FOUND + _HASHED + """, owned AS (SELECT *, sha256(CASE
 
 
 def _owned(c: Ctx):
-    prepared = I.prepare(c.batch)
+    prepared = cut_lineage(I.prepare(c.batch))
     ids, _ = RS.resolve_identifiers(prepared.select("ids"))
     return I.attach_candidate(prepared, ids)
 

@@ -108,7 +108,7 @@ def _records(c: Ctx):
              assignerShortName=F.when(F.col("id") % 3 == 0, "mitre"))
     record = F.to_json(F.struct(meta.alias("cveMetadata"), F.struct(
         cna.alias("cna"), adp.alias("adp")).alias("containers")))
-    return c.candidates.select("cve_id", record.alias("raw"))
+    return c.landed.select("cve_id", record.alias("raw"))
 
 
 add("scan_cvelist",
@@ -123,7 +123,7 @@ add("scan_cvelist",
 
 
 def _files(c: Ctx, shift: int):
-    return c.candidates.select(
+    return c.landed.select(
         F.concat(F.lit("cves/"), F.col("id").cast("string"), F.lit(".json")).alias("path"),
         F.when(F.col("id") % 4 == 0, F.col("last_seen_at") + F.make_dt_interval(F.lit(shift)))
         .otherwise(F.col("last_seen_at")).alias("modified_at"))
@@ -143,7 +143,7 @@ def _nvd_pages(c: Ctx):
     bare = F.struct(F.when(F.col("id") % 3 == 0, v).alias("cve"), *[
         F.when(F.col("id") % 3 != 0, v[k]).otherwise(empty).alias(k)
         for k in ("id", "published", "lastModified", "vulnStatus")])
-    return pages(c.candidates, bare, "vulnerabilities")
+    return pages(c.landed, bare, "vulnerabilities")
 
 
 add("scan_nvd", lambda c: BL.scan_nvd(_nvd_pages(c)),
@@ -176,13 +176,13 @@ add("scan_epss_json",
 
 
 def _boxes(c: Ctx):
-    return DOC.cve_containers(_records(c).where("cve_id IS NOT NULL"))
+    return DOC.parse_records(_records(c).where("cve_id IS NOT NULL"))
 
 
 _C = "FROM candidates WHERE cve_id IS NOT NULL"
 _CNA = "CASE WHEN id % 2 = 1 THEN 'acme' ELSE 'org-1' END"
 add("cve_containers",
-    lambda c: _boxes(c).select("cve_id", "ordinal", "from_cna", "source"),
+    lambda c: DOC.cve_containers(_boxes(c)),
     f"SELECT cve_id, 0 AS ordinal, TRUE AS from_cna, {_CNA} AS source {_C} "
     f"UNION ALL SELECT cve_id, 1, FALSE, 'cisa-adp' {_C} AND id % 2 = 0")
 add("cve_cvss",
@@ -207,14 +207,8 @@ add("cve_reference",
     f"{_CNA} AS source {_C} UNION ALL SELECT cve_id, 'https://shared.example/x', 'patch', {_CNA} {_C}")
 
 
-def _primary(c: Ctx):
-    due = _records(c).where("cve_id IS NOT NULL")
-    boxes = DOC.cve_containers(due)
-    return DOC.cve_primary(due, boxes, DOC.cve_cvss(boxes), DOC.cve_cwe(boxes), DOC.cve_reference(boxes))
-
-
 add("cve_primary",
-    lambda c: _primary(c).withColumn("description_en", F.translate("description_en", "\u0000", "")),
+    lambda c: DOC.cve_primary(_boxes(c)).withColumn("description_en", F.translate("description_en", "\u0000", "")),
     "SELECT cve_id, 'desc  ' || id AS description_en, CASE WHEN id % 3 = 0 THEN '4.0' ELSE '3.1' END AS primary_cvss_version, "
     "CASE WHEN id % 3 = 0 THEN (id % 90) / 10.0 ELSE (id % 100) / 10.0 END AS primary_cvss_score, "
     "CASE WHEN id % 3 = 0 THEN 'LOW' ELSE 'HIGH' END AS primary_cvss_severity, "
@@ -223,13 +217,13 @@ add("cve_primary",
     "CASE WHEN id % 2 = 0 THEN CASE WHEN id % 4 = 0 THEN 'active' ELSE 'none' END END AS ssvc_exploitation, "
     f"NULL::VARCHAR AS ssvc_automatable, CASE WHEN id % 2 = 0 THEN 'total' END AS ssvc_technical_impact {_C}")
 add("primary_cvss",
-    lambda c: DOC.primary_cvss(DOC.cve_cvss(_boxes(c))).select("cve_id", "primary_cvss_version"),
+    lambda c: _boxes(c).select("cve_id", DOC.primary_cvss(F.col("cvss"))["version"].alias("primary_cvss_version")),
     f"SELECT cve_id, CASE WHEN id % 3 = 0 THEN '4.0' ELSE '3.1' END AS primary_cvss_version {_C}")
 
 
 def _incremental(c: Ctx):
     rec = _records(c).where("cve_id IS NOT NULL").withColumnsRenamed({"cve_id": "k", "raw": "raw_json"})
-    base = c.candidates.where("cve_id IS NOT NULL").join(rec, F.col("cve_id") == F.col("k"))
+    base = c.landed.where("cve_id IS NOT NULL").join(rec, F.col("cve_id") == F.col("k"))
     return DOC.enrich_due(base.select(
         F.col("id").alias("n"), F.col("cve_id").alias("id"), F.lit("PUBLISHED").alias("state"),
         F.when(F.col("id") % 6 != 0, F.col("raw_json")).alias("raw_json"),
@@ -265,7 +259,7 @@ def _osv_docs(c: Ctx):
             s(informational=F.when(F.col("id") % 20 == 13, "unmaintained")).alias("database_specific"))).alias("affected"),
         s(cwe_ids=F.array(F.lit("CWE-79"))).alias("database_specific"),
         F.array(s(url=F.concat(F.lit("https://r.example/"), F.col("id").cast("string")))).alias("references")))
-    return c.candidates.select(
+    return c.landed.select(
         F.when(F.col("id") % 2 == 0, "PyPI").otherwise("Debian").alias("ecosystem"), doc.alias("raw"))
 
 
@@ -315,7 +309,7 @@ def _ghsa_item(c: Ctx):
 
 _SEEN = "CASE WHEN id % 3 <> 0 THEN first_seen_at ELSE last_seen_at END"
 add("scan_ghsa",
-    lambda c: GH.scan_ghsa(pages(c.candidates, _ghsa_item(c))).select(
+    lambda c: GH.scan_ghsa(pages(c.landed, _ghsa_item(c))).select(
         "url", "title", "snippet", "cve_id", "native_id", "seen_at"),
     f"SELECT 'https://gh.example/' || id AS url, CASE WHEN id % 7 <> 0 THEN ' Sum ' || id ELSE coalesce(cve_id, 'GHSA-' || id) END AS title, "
     "nullif(CASE WHEN id % 7 <> 0 THEN ' Sum ' || id ELSE '' END || CASE WHEN id % 4 <> 3 THEN ' | affected: ' || "
@@ -325,7 +319,7 @@ _REPO_SQL = "'own' || (id % 40) || '/rep' || (id % 90)"
 
 
 def _with_repo(c: Ctx):
-    return c.candidates.withColumn("full_name", F.concat(
+    return c.landed.withColumn("full_name", F.concat(
         F.lit("own"), (F.col("id") % 40).cast("string"), F.lit("/rep"), (F.col("id") % 90).cast("string")))
 
 
@@ -353,7 +347,7 @@ add("scan_releases",
     f"SELECT full_name, full_name || ' ' || tag || ': ' || one AS title, '[release ' || full_name || ' ' || tag || '] cita ' || one AS snippet, "
     f"one AS cve_id, {_SEEN} AS seen_at, 'https://rel.example/' || id AS url FROM {_REL}")
 add("repo_emit_filter",
-    lambda c: GH.repo_emit_filter(c.candidates.select(
+    lambda c: GH.repo_emit_filter(c.landed.select(
         "id", F.when(F.col("id") % 10 != 0, F.col("first_seen_at")).alias("seen_at"),
         F.when(F.col("id") % 3 != 0, F.lit("1999-01-01").cast("timestamp")).alias("watermark")), MID).select("id"),
     "SELECT id FROM candidates WHERE CASE WHEN id % 10 = 0 THEN id % 3 = 0 WHEN id % 3 <> 0 THEN first_seen_at > TIMESTAMP '1999-01-01' "
@@ -392,7 +386,7 @@ add("scan_single_repo",
 
 # ---- exploited and exploit lists --------------------------------------------------
 add("scan_cisa_kev",
-    lambda c: EX.scan_cisa_kev(pages(c.candidates, s(
+    lambda c: EX.scan_cisa_kev(pages(c.landed, s(
         cveID=F.col("cve_id"), dateAdded=F.when(F.col("id") % 4 != 1, iso(pattern="yyyy-MM-dd")).otherwise("soon"),
         vendorProject=F.concat(F.lit("V"), (F.col("id") % 9).cast("string")), product=F.lit(""),
         vulnerabilityName=F.when(F.col("id") % 3 != 0, F.concat(F.lit("Name "), F.col("id").cast("string"))), shortDescription="short",
@@ -403,7 +397,7 @@ add("scan_cisa_kev",
     "cve_id, CASE WHEN id % 4 <> 1 THEN first_seen_at END AS seen_at, TRUE AS in_kev, "
     f"CASE WHEN id % 4 <> 1 THEN CAST(first_seen_at AS DATE) END AS kev_date, 'cisa' AS kev_source {_C}")
 add("scan_vulncheck_kev",
-    lambda c: EX.scan_vulncheck_kev(pages(c.candidates, F.struct(
+    lambda c: EX.scan_vulncheck_kev(pages(c.landed, F.struct(
         F.array(cve_col(), F.concat(F.lit("CVE-2001-"), F.lpad(F.col("id").cast("string"), 8, "0"))).alias("cve"),
         iso("last_seen_at").alias("date_added"), F.lit("Acme").alias("vendorProject"),
         F.when(F.col("id") % 2 == 0, F.concat(F.lit("prod"), F.col("id").cast("string"))).alias("product"), F.lit("d").alias("description"),
@@ -421,7 +415,7 @@ add("scan_vulncheck_kev",
     "CASE WHEN id % 3 = 0 THEN TRUE END AS has_public_poc, CASE WHEN id % 2 = 0 THEN 'prod' || id || '/Acme/-/-/0' END AS affected, "
     "CASE WHEN id % 3 = 0 THEN 'https://x.example/' || id || ' https://github.com/o/r ' ELSE '' END || 'https://rep.example' AS refs FROM candidates")
 add("scan_exploitdb",
-    lambda c: EX.scan_exploitdb(c.candidates.select(
+    lambda c: EX.scan_exploitdb(c.landed.select(
         F.col("id").cast("string").alias("id"), F.concat(F.lit(" Exploit "), F.col("id").cast("string")).alias("description"),
         F.when(F.col("id") % 3 != 0, iso(pattern="yyyy-MM-dd")).when(F.col("id") % 6 == 0, "n/a").alias("date_added"),
         F.when(F.col("id") % 6 != 0, iso(pattern="yyyy-MM-dd HH:mm")).alias("date_published"), F.lit("webapps").alias("type"),
@@ -435,7 +429,7 @@ add("scan_exploitdb",
     "unnest(CASE WHEN id % 2 = 0 THEN [own, 'CVE-2001-0001'] ELSE [own] END) AS cve_id, seen AS seen_at, TRUE AS has_public_poc "
     "FROM e WHERE seen IS NULL OR seen >= TIMESTAMP '1998-07-01' - INTERVAL 120 DAY")
 add("scan_poc_index_json",
-    lambda c: EX.scan_poc_index_json(c.candidates.select(
+    lambda c: EX.scan_poc_index_json(c.landed.select(
         F.concat(F.lower(cve_col()), F.lit(".json")).alias("file_name"), F.to_json(F.transform(
             F.sequence(F.lit(0), (F.col("id") % 70).cast("int")), lambda i: s(
                 html_url=F.concat(F.lit("https://gh.example/"), F.col("id").cast("string"), F.lit("/"), i.cast("string")),
@@ -446,7 +440,7 @@ add("scan_poc_index_json",
     "first_seen_at + INTERVAL 1 DAY * CAST(3 - id % 70 AS INT) AS seen_at, TRUE AS has_public_poc, CAST(least(id % 70 + 1, 50) AS INTEGER) AS n_refs, "
     "'https://gh.example/' || id || '/0' AS url FROM candidates")
 add("scan_poc_index_md",
-    lambda c: EX.scan_poc_index_md(c.candidates.select(
+    lambda c: EX.scan_poc_index_md(c.landed.select(
         F.concat(cve_col(), F.lit(".md")).alias("file_name"), F.concat(
             F.lit("### title\n"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("![](https://img.example/v1?label=Product&message=Big%20App%2B"), F.col("id").cast("string"), F.lit("&color=blue)\n"))).otherwise(""),
             F.lit("- https://github.com/foo/"), F.col("id").cast("string"), F.lit("\n- https://github.com/bar/poc\n- https://github.com/foo/"), F.col("id").cast("string")).alias("raw"))).select(
@@ -457,7 +451,7 @@ add("scan_poc_index_md",
 
 # ---- vendors ----------------------------------------------------------------------
 add("scan_redhat",
-    lambda c: VD.scan_redhat(pages(c.candidates, s(
+    lambda c: VD.scan_redhat(pages(c.landed, s(
         CVE=F.col("cve_id"), bugzilla_description=F.when(F.col("id") % 3 != 0, F.concat(F.lit("desc "), F.col("id").cast("string"))),
         severity=F.when(F.col("id") % 2 == 0, "important"), cvss3_scoring_vector=F.when(F.col("id") % 4 == 0, "CVSS:3.1/AV:N"),
         cvss_scoring_vector=F.when(F.col("id") % 6 == 0, "AV:N/AC:L"), public_date=iso(), resource_url=F.concat(F.lit("https://rh.example/"), F.col("id").cast("string"))))).select(
@@ -467,7 +461,7 @@ add("scan_redhat",
     "CASE WHEN id % 4 = 0 THEN ' | CVSS: CVSS:3.1/AV:N' WHEN id % 6 = 0 THEN ' | CVSS: AV:N/AC:L' ELSE '' END, '') AS snippet, "
     f"cve_id, first_seen_at AS seen_at {_C}")
 add("scan_cisco",
-    lambda c: VD.scan_cisco(pages(c.candidates, s(
+    lambda c: VD.scan_cisco(pages(c.landed, s(
         identifier=F.concat(F.lit("sa-"), F.col("id").cast("string")), title=F.concat(F.lit(" Adv "), F.col("id").cast("string")), cve=cve_col(),
         summary=F.when(F.col("id") % 2 == 0, "y CVE-2001-0002 tambien"), severity=F.when(F.col("id") % 3 == 0, "High"),
         firstPublished=iso(pattern="yyyy-MM-dd'T'HH:mm:ss.SSS'+0000'"), url=F.concat(F.lit("https://ci.example/"), F.col("id").cast("string"))))).select(
@@ -486,7 +480,7 @@ def _wordfence(c: Ctx):
     text = F.to_json(body)
     # The list form of the field is a real array in the payload.
     text = F.regexp_replace(text, r'"cve":"\[\\"([^\\]*)\\",\\"([^\\]*)\\"\]"', r'"cve":["$1","$2"]')
-    return c.candidates.select(F.concat(F.lit('{"k'), F.col("id").cast("string"), F.lit('":'), text, F.lit("}")).alias("raw"))
+    return c.landed.select(F.concat(F.lit('{"k'), F.col("id").cast("string"), F.lit('":'), text, F.lit("}")).alias("raw"))
 
 
 add("scan_wordfence",
@@ -497,7 +491,7 @@ add("scan_wordfence",
     "SELECT 'https://wf.example/' || id AS url, t AS title, t AS snippet, unnest(CASE WHEN id % 3 = 1 THEN [own, 'CVE-2001-0003'] ELSE [own] END) AS cve_id, "
     "first_seen_at AS seen_at, CASE WHEN id % 2 = 0 THEN 'wp' ELSE 'slug' END || id || '/-/wordpress/product/0' AS affected FROM w")
 add("scan_gemnasium",
-    lambda c: VD.scan_gemnasium(c.candidates.select(F.lit("pypi").alias("ecosystem"), F.to_json(s(
+    lambda c: VD.scan_gemnasium(c.landed.select(F.lit("pypi").alias("ecosystem"), F.to_json(s(
         identifiers=F.filter(F.array(F.concat(F.lit("GHSA-"), F.col("id").cast("string")), F.col("cve_id")), lambda x: x.isNotNull()),
         package_slug=F.concat(F.lit("pypi/Grp/Pkg"), F.col("id").cast("string")), title=F.concat(F.lit("T "), F.col("id").cast("string")), description=" d ",
         pubdate=iso(pattern="yyyy-MM-dd"), affected_range=">=1,<2||>=3,<4", fixed_versions=F.array(F.lit("2"), F.lit("4")),
