@@ -25,7 +25,9 @@ def ts(value: dt.datetime) -> Column:
 def parse_iso(c: Column) -> Column:
     """ISO-8601 text to timestamp, naive values read as UTC, anything else null."""
     dashed = F.regexp_replace(c, r"^(\d{4})(\d{2})(\d{2})(?=T|$)", "$1-$2-$3")
-    hour_only = F.regexp_replace(dashed, r"(T\d{2})(?=Z|[+-]|$)", "$1:00")
+    timed = F.regexp_replace(dashed, r"T(\d{2})(\d{2})(\d{2})(?!\d)", "T$1:$2:$3")
+    timed = F.regexp_replace(timed, r"T(\d{2})(\d{2})(?=Z|[+-]|$)", "T$1:$2")
+    hour_only = F.regexp_replace(timed, r"(T\d{2})(?=Z|[+-]|$)", "$1:00")
     return F.when(hour_only.rlike(_ISO), F.replace(hour_only, F.lit(","), F.lit("."))
                   .try_cast("timestamp"))
 

@@ -37,6 +37,11 @@ def bin_counts(value: Column, bins: list) -> list[Column]:
             for i, (_, low, high) in enumerate(bins)]
 
 
+def quantile(value: Column, share: float) -> Column:
+    """Exact interpolated percentile without the last bits of float noise."""
+    return F.round(F.percentile(value, share), 6)
+
+
 def check_maturity(maturity: str | None) -> None:
     if maturity not in (None, "all", *MATURITIES):
         raise ValueError(f"unknown maturity {maturity!r}")
@@ -161,8 +166,8 @@ def lag_histogram(rows: DataFrame, metric: str = "present") -> DataFrame:
     name, bins = LAG_METRICS[metric]
     lead = F.col(name)
     return rows.agg(
-        F.count(lead).alias("n"), F.percentile(lead, 0.5).alias("median"),
-        F.percentile(lead, 0.9).alias("p90"), *bin_counts(lead, bins))
+        F.count(lead).alias("n"), quantile(lead, 0.5).alias("median"),
+        quantile(lead, 0.9).alias("p90"), *bin_counts(lead, bins))
 
 
 def lag_censored(rows: DataFrame, published: DataFrame) -> DataFrame:
@@ -177,7 +182,7 @@ def lag_by_year(rows: DataFrame, metric: str = "published") -> DataFrame:
     lead = F.col(LAG_METRICS[metric][0])
     return (rows.where(lead.isNotNull()).groupBy(F.year("first_seen_at").alias("year"))
             .agg(F.count("*").alias("n"), F.round(F.avg(lead), 1).alias("mean"),
-                 F.percentile(lead, 0.5).alias("median")).orderBy("year"))
+                 quantile(lead, 0.5).alias("median")).orderBy("year"))
 
 
 def queue_age(facts: DataFrame, mentions: DataFrame, sources: DataFrame, p: Params,
@@ -189,7 +194,7 @@ def queue_age(facts: DataFrame, mentions: DataFrame, sources: DataFrame, p: Para
         F.when(F.col("cve_id").isNull(), "unassigned").otherwise("assigned").alias("grp"),
         age_days(F.col("first_seen_at"), p.as_of).alias("age"))
     return aged.groupBy("grp").agg(
-        F.count("*").alias("total"), F.percentile("age", 0.5).alias("median_days"),
+        F.count("*").alias("total"), quantile(F.col("age"), 0.5).alias("median_days"),
         *bin_counts(F.col("age"), QUEUE_BINS))
 
 

@@ -28,7 +28,7 @@ def norm(v):
     if isinstance(v, Decimal):
         v = float(v)
     if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 6) + 0.0
+        return None if math.isnan(v) else v + 0.0
     if isinstance(v, dt.datetime):
         return v.replace(tzinfo=None).isoformat()
     if isinstance(v, dt.date):
