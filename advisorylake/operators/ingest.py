@@ -117,13 +117,25 @@ def apply_flags(rows: DataFrame) -> DataFrame:
             .agg(*[last_known(c) for c in FLAG_COLUMNS]))
 
 
-def list_union(rows: DataFrame, column: str) -> DataFrame:
-    """candidate_id, value, position: distinct values in first-seen order, long form."""
-    first = (rows.select("candidate_id", "arrival", F.posexplode(column).alias("pos", "value"))
-             .groupBy("candidate_id", "value")
-             .agg(F.min(F.struct("arrival", "pos")).alias("first_use")))
+def list_values(rows: DataFrame, column: str) -> DataFrame:
+    """candidate_id, value, first_use: the ordered union of a list column in long form.
+
+    Uncapped lists stay in this form; ordering by ``first_use`` gives the stored order.
+    """
+    return (rows.select("candidate_id", "arrival", F.posexplode(column).alias("pos", "value"))
+            .groupBy("candidate_id", "value")
+            .agg(F.min(F.struct("arrival", "pos")).alias("first_use")))
+
+
+def capped_list(rows: DataFrame, column: str, cap: int) -> DataFrame:
+    """candidate_id and the first ``cap`` distinct values; the rank limit prunes on the
+    map side, so no task sees more than ``cap`` values of a candidate per input task."""
     order = W.partitionBy("candidate_id").orderBy("first_use", "value")
-    return first.withColumn("position", F.row_number().over(order)).drop("first_use")
+    kept = (list_values(rows, column).withColumn("position", F.row_number().over(order))
+            .where(F.col("position") <= cap))
+    return (kept.groupBy("candidate_id")
+            .agg(F.array_sort(F.collect_list(F.struct("position", "value"))).alias("r"))
+            .select("candidate_id", F.transform("r", lambda x: x["value"]).alias(column)))
 
 
 def candidate_updates(rows: DataFrame) -> DataFrame:
@@ -131,10 +143,7 @@ def candidate_updates(rows: DataFrame) -> DataFrame:
 
     The cap of fifty is the stored column's own rule and bounds the collected list.
     """
-    refs = (list_union(rows, "reference_urls").where(F.col("position") <= REFERENCE_CAP)
-            .groupBy("candidate_id")
-            .agg(F.array_sort(F.collect_list(F.struct("position", "value"))).alias("r"))
-            .select("candidate_id", F.transform("r", lambda x: x["value"]).alias("reference_urls")))
+    refs = capped_list(rows, "reference_urls", REFERENCE_CAP)
     last = rows.groupBy("candidate_id").agg(
         F.max_by("withdrawn", F.when(F.col("withdrawn").isNotNull(), F.col("arrival")))
         .alias("withdrawn"))

@@ -75,7 +75,9 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None,
         rounds += 1
         if rounds > MAX_ROUNDS:
             raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
-        current = cut_lineage(_small_star(_large_star(current, hot_rows), hot_rows))
+        # Each half reads its input several times, so each half is written.
+        hooked = cut_lineage(_large_star(current, hot_rows))
+        current = cut_lineage(_small_star(hooked, hot_rows))
     labels = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     out = labels.union(roots)
