@@ -97,14 +97,13 @@ def mention_dedup(prepared: DataFrame, stored: DataFrame | None = None) -> DataF
 
 def attach_candidate(prepared: DataFrame, identifiers: DataFrame) -> DataFrame:
     """candidate_id of each mention through its first id; a hot id stays distributed."""
-    from advisorylake.operators.joins import lookup
     from advisorylake.operators.resolve import node_key
 
     keyed = prepared.withColumn(
         "anchor", node_key(F.get("ids", F.lit(0))["scheme"], F.get("ids", F.lit(0))["value"]))
     one = identifiers.select(node_key(F.col("scheme"), F.col("value")).alias("anchor"),
                              "candidate_id")
-    return lookup(keyed, one, "anchor", "left").drop("anchor")
+    return keyed.join(one, "anchor", "left").drop("anchor")
 
 
 def apply_flags(rows: DataFrame) -> DataFrame:

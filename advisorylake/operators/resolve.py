@@ -5,79 +5,59 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from advisorylake.operators.aggregates import merge_winner
-from advisorylake.operators.joins import HOT_KEY_LIMIT, HOT_ROWS, lookup
-from advisorylake.session import cut_lineage
+from advisorylake.session import Scratch, cut_lineage
 
-MAX_ROUNDS = 60
-
-
-def _with_min(pairs: DataFrame, rows: int) -> DataFrame:
+def _with_min(pairs: DataFrame, scratch: Scratch) -> DataFrame:
     """(u, v) pairs plus ``m``, the smallest node of u's neighbourhood including u.
 
-    The grouping yields minimum and degree together. Pairs of the busiest nodes fetch
-    their minimum from a broadcast of at most HOT_KEY_LIMIT rows and are not shuffled by
-    node; a hub therefore never lands in one task.
+    The minima combine on the map side and are written, so both sides of the join are
+    plain shuffles and the adaptive skew join splits the rows of a hub.
     """
-    lowest = pairs.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("degree")).select(
-        "u", F.least("u", "low").alias("m"), "degree")
-    hot = F.broadcast(lowest.where(F.col("degree") >= rows)
-                      .orderBy(F.desc("degree"), "u").limit(HOT_KEY_LIMIT).select("u", "m"))
-    marked = pairs.join(hot, "u", "left")
-    busy = marked.where(F.col("m").isNotNull())
-    # Reading the degree here too keeps both uses of the grouping equal, so they share one
-    # shuffle.
-    rest = marked.where(F.col("m").isNull()).drop("m").join(
-        lowest.where(F.col("degree") > 0).select("u", "m"), "u")
-    return busy.unionByName(rest)
-
-
-def _large_star(edges: DataFrame, rows: int) -> DataFrame:
+    lowest = pairs.groupBy("u").agg(F.min("v").alias("low")).select(
+        "u", F.least("u", "low").alias("m"))
+    return pairs.join(scratch.write(lowest, "lowest"), "u")
+
+
+def _large_star(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Link every larger neighbour of a node to the node's smallest neighbour."""
     both = edges.union(edges.select("v", "u")).toDF("u", "v")
-    hooked = _with_min(both, rows).where(F.col("v") > F.col("u"))
+    hooked = _with_min(both, scratch).where(F.col("v") > F.col("u"))
     return hooked.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame, rows: int) -> DataFrame:
+def _small_star(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Link a node and its smaller neighbours to the smallest of them."""
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    hooked = _with_min(down, rows)
-    side = hooked.where(F.col("v") != F.col("m")).select(
-        F.col("v").alias("u"), F.col("m").alias("v"))
-    own = hooked.select("u", F.col("m").alias("v"))
-    return own.union(side).distinct()
+    hooked = _with_min(edges, scratch)
+    ends = F.when(F.col("v") == F.col("m"), F.array("u")).otherwise(F.array("u", "v"))
+    return hooked.select(F.explode(ends).alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _is_star_forest(edges: DataFrame) -> bool:
-    """Every node has one parent and no parent has a parent."""
-    parents = edges.select(F.col("v").alias("u")).distinct()
-    nested = edges.join(parents, "u", "left_semi").select(F.lit(1).alias("x"))
-    doubled = edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select(
-        F.lit(1).alias("x"))
-    return nested.union(doubled).isEmpty()
+def _checksum(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
-def connected_components(edges: DataFrame, vertices: DataFrame | None = None,
-                         hot_rows: int = HOT_ROWS) -> tuple[DataFrame, int]:
+def connected_components(edges: DataFrame, vertices: DataFrame | None = None
+                         ) -> tuple[DataFrame, int]:
     """(node, component) with the smallest node as label, and the rounds it took.
 
     Alternating star contraction: each round turns neighbourhoods into stars around
     their smallest node, so long chains and huge hubs both collapse in a logarithmic
-    number of rounds and the edge count never grows. Rounds end in files of the shared
-    folder, so losing an executor costs one round at most.
+    number of rounds and the edge count never grows. It ends when a round changes nothing.
+    Rounds end in files of the shared folder, so losing an executor costs one round at
+    most; the files of earlier rounds are removed.
     """
     a, b = edges.columns[:2]
-    current = cut_lineage(
+    scratch = Scratch(edges.sparkSession, "components")
+    current = scratch.write(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-        .where(F.col("u") != F.col("v")).distinct())
-    rounds = 0
-    while not _is_star_forest(current):
+        .where(F.col("u") != F.col("v")).distinct(), "edges")
+    rounds, before, now = 0, None, _checksum(current)
+    while now != before and now[0]:
         rounds += 1
-        if rounds > MAX_ROUNDS:
-            raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
-        # Each half reads its input several times, so each half is written.
-        hooked = cut_lineage(_large_star(current, hot_rows))
-        current = cut_lineage(_small_star(hooked, hot_rows))
+        hooked = scratch.write(_large_star(current, scratch), "large")
+        current = scratch.write(_small_star(hooked, scratch), "small")
+        scratch.keep_only(current)
+        before, now = now, _checksum(current)
     labels = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     out = labels.union(roots)
@@ -89,28 +69,30 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None,
     return out, rounds
 
 
-def follow_tombstones(candidates: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def follow_tombstones(candidates: DataFrame) -> DataFrame:
     """(id, root): every candidate with the live candidate its merge chain ends at.
 
-    Pointers are squared each round, so a chain of length n settles in log n rounds.
+    Pointers are squared each round, so a chain of length n settles in log n rounds. The
+    loop ends when no pointer moves, or when only cycles are left, which never shrink and
+    have no live root; rows of a cycle have a null root.
     """
-    links = candidates.where(F.col("merged_into").isNotNull()).select(
-        F.col("id"), F.col("merged_into").alias("root"))
-    links, open_links = cut_lineage(links), -1
-    for _ in range(MAX_ROUNDS):
+    scratch = Scratch(candidates.sparkSession, "tombstones")
+    links = scratch.write(candidates.where(F.col("merged_into").isNotNull()).select(
+        F.col("id"), F.col("merged_into").alias("root"), F.lit(True).alias("moved")), "links")
+    still_open = None
+    while True:
         step = links.select(F.col("id").alias("root"), F.col("root").alias("next"))
-        jumped = cut_lineage(lookup(links, step, "root", "left", hot_rows).select(
+        links = scratch.write(links.drop("moved").join(step, "root", "left").select(
             "id", F.coalesce("next", "root").alias("root"),
-            F.col("next").isNotNull().alias("moved")))
-        moved = jumped.where("moved").count()
-        links = jumped.select("id", "root")
-        # Chains shrink every round; a constant count means only pointer cycles are left,
-        # and those have no live root to find.
-        if moved in (0, open_links):
+            F.col("next").isNotNull().alias("moved")), "links")
+        scratch.keep_only(links)
+        moved = links.where("moved").count()
+        if moved in (0, still_open):
             break
-        open_links = moved
+        still_open = moved
     live = candidates.where(F.col("merged_into").isNull()).select("id", F.col("id").alias("root"))
-    return live.unionByName(links)
+    return live.unionByName(links.select(
+        "id", F.when(~F.col("moved"), F.col("root")).alias("root")))
 
 
 def node_key(scheme: Column, value: Column) -> Column:
@@ -163,10 +145,10 @@ def resolve_identifiers(identified: DataFrame, identifiers: DataFrame | None = N
         winners = merge_winner(members)
         named = fresh.join(winners, "component", "left").select(
             "component", F.coalesce("winner", "fresh_id").alias("candidate_id"))
-        merged = lookup(members.select("component", F.col("id").alias("loser")), winners,
-                        "component", "inner").where(
+        merged = members.select("component", F.col("id").alias("loser")).join(
+            winners, "component").where(
             F.col("loser") != F.col("winner")).select("loser", "winner")
-    out = lookup(own, named, "component", "inner").select(
+    out = own.join(named, "component").select(
         F.regexp_extract("node", r"^I\|([^|]*)\|", 1).alias("scheme"),
         F.regexp_extract("node", r"(?s)^I\|[^|]*\|(.*)$", 1).alias("value"), "candidate_id")
     return out, merged
@@ -227,7 +209,7 @@ def merge_reassign(children: DataFrame, roots: DataFrame, key: list[str],
                    owner: str = "candidate_id") -> DataFrame:
     """Children under their root candidate; on equal keys the root's own row stays."""
     order = [F.desc(F.col(owner).eqNullSafe(F.col("root"))), F.col(owner)]
-    moved = lookup(children, roots.select(F.col("id").alias(owner), "root"), owner, "left")
+    moved = children.join(roots.select(F.col("id").alias(owner), "root"), owner, "left")
     moved = moved.withColumn("root", F.coalesce("root", owner))
     first = W.partitionBy("root", *key).orderBy(*order)
     return (moved.withColumn("rn", F.row_number().over(first)).where("rn = 1")

@@ -14,13 +14,3 @@ def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
     """
     row = F.struct(*[c.alias(name) for name, c in columns.items()])
     return df.select("*", F.inline(F.array(row)))
-
-
-def spread_work(df: DataFrame) -> DataFrame:
-    """Use all cores for per-row text work when the input has too few splits.
-
-    A large landing already has more splits than the cluster has cores and is left alone;
-    only a landing of a few files is dealt out, before anything is computed on it.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

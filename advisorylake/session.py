@@ -54,6 +54,38 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+class Scratch:
+    """Tables of one job in the shared folder, removed as soon as nothing reads them.
+
+    A table written here cuts the lineage: a lost executor costs the tasks it ran, which
+    re-read files, and never an earlier step of the job.
+    """
+
+    def __init__(self, spark: SparkSession, label: str) -> None:
+        self.spark, self.root, self.paths = spark, scratch_path(spark, label), {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.root}/{name}-{len(self.paths)}"
+        df.write.mode("error").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[path] = True
+        return out
+
+    def keep_only(self, *kept: DataFrame) -> None:
+        """Delete every table written here that none of ``kept`` reads."""
+        read = [f for df in kept for f in df.inputFiles()]
+        for path in [p for p, there in self.paths.items() if there]:
+            folder = path.rsplit("/", 1)[-1]
+            if not any(f"/{folder}/" in f for f in read):
+                remove_path(self.spark, path)
+                self.paths[path] = False
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and continue from the files.
 

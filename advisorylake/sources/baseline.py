@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from advisorylake.functions.dates import parse_iso, ts
 from advisorylake.functions.text import first_of
-from advisorylake.operators.joins import lookup
 
 _CVE_META = (
     "cveMetadata struct<cveId:string,state:string,datePublished:string,dateUpdated:string,"
@@ -88,7 +87,7 @@ def scan_epss_csv(lines: DataFrame) -> DataFrame:
     scored = rows.where(F.col("score").isNotNull() & F.col("percentile").isNotNull())
     # One file may hold most of the lines; its single head row is joined without
     # gathering them.
-    dated = lookup(scored, heads, "file", "left")
+    dated = scored.join(heads, "file", "left")
     date = F.when(F.coalesce("score_date", F.lit("")) == "", F.raise_error(
         F.concat(F.lit("no score_date in the header of "), F.col("file")))).otherwise(
         F.col("score_date"))

@@ -15,7 +15,6 @@ from advisorylake.functions.text import (
     CVE_LOOSE, blank_to_null, find_all, first_of, sorted_cves, strip,
 )
 from advisorylake.operators.ingest import mention_fanout
-from advisorylake.operators.joins import lookup
 from advisorylake.sources.base import affected_item, mentions_frame, snippet_of, title_of
 
 ADVISORY_WINDOW_DAYS = 120
@@ -72,7 +71,7 @@ def scan_jenkins(entries: DataFrame, pages: DataFrame, as_of: dt.datetime) -> Da
         F.col("seen_at").isNull() | (F.col("seen_at") >= cutoff)))
     # Ids are pulled out of the page before the join, so page text is not shuffled.
     cited = pages.select("link", sorted_cves(F.col("text")).alias("cves"))
-    e = lookup(recent, cited, "link", "inner").select("*", F.explode("cves").alias("cve"))
+    e = recent.join(cited, "link").select("*", F.explode("cves").alias("cve"))
     title = F.coalesce("title", F.lit(""))
     return mentions_frame(
         e, url=F.col("link"),

@@ -11,7 +11,6 @@ from advisorylake.functions.dates import ts
 from advisorylake.lens import LENS_PARAMS, Lens, duckdb_ctes
 from advisorylake.operators.leads import days_ahead
 from advisorylake.operators.predicates import candidate_facts
-from advisorylake.operators.stages import spread_work
 from advisorylake.sources.base import mentions_frame
 
 P = LENS_PARAMS
@@ -58,12 +57,12 @@ class Ctx(Lens):
     @cached_property
     def planted(self) -> DataFrame:
         """Whole document texts with identifiers set off by spaces."""
-        return self.spark.sql(PLANTED, documents=spread_work(self.driver("documents")))
+        return self.spark.sql(PLANTED, documents=self.driver("documents").hint("rebalance"))
 
     @cached_property
     def landed(self) -> DataFrame:
         """Candidates as the rows from which raw documents are written."""
-        return spread_work(self.candidates)
+        return self.candidates.hint("rebalance")
 
     @cached_property
     def batch(self) -> DataFrame:
