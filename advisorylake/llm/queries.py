@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from advisorylake.llm import anchors, host_rules, importance, oracles, postings, rendezvous, simhash, token_counts
+from advisorylake.llm import anchors, host_rules, importance, oracles, piece_scan, postings, rendezvous, simhash, token_counts
+from advisorylake.session import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,3 +71,13 @@ ORACLES["op8_host_rules"] = oracles.OP8
 def op9_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = rendezvous.assign(table(spark, sf_dir, "documents"))
     return placed.withColumn("law", F.lit("key"))
+
+
+@query
+def op10_piece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, and the hash of the text that decoding them gives back."""
+    path = public_tokenizers.path(piece_scan.MODEL)
+    encoded = Scratch(spark, "encoded").write(piece_scan.encode(table(spark, sf_dir, "documents"), path), "ids")
+    decoded = piece_scan.decode(encoded, path, keep=["ids"])
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
+                          F.sha2("text", 256).alias("text_sha256"))
