@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from advisorylake.llm import anchors, host_rules, importance, oracles, piece_scan, postings, rendezvous, simhash, token_counts
-from advisorylake.session import Scratch
+import corpus_pipeline
+from advisorylake.llm import anchors, host_rules, importance, lexicon, oracles, piece_scan, postings, rendezvous, simhash, token_counts, tool_calls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,6 +49,33 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      public_tokenizers.path(token_counts.TOKENIZER))
 
 
+#: Argument schemas of the tools that the conversations' turns are read as calls of.
+TOOLS = {
+    name: {"type": "object", "required": ["text"], "additionalProperties": False, "properties": {
+        "text": {"type": "string"}, "limit": {"type": "integer", "minimum": 0, "maximum": 1000}}}
+    for name in ("reply", "search", "translate")}
+
+
+@query
+def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assistant turns as calls, the turn after each as its result.
+
+    The table has no calls, so their envelopes are derived from whole turns: the hash of a text picks its tool, whether
+    it builds on the assistant turn before, and the arguments that are of a wrong type or missing.
+    """
+    turns = table(spark, sf_dir, "conversations")
+    text, h = F.coalesce("text", F.lit("")), F.crc32(F.coalesce("text", F.lit("")))
+    name = lambda shift: F.concat_ws("-", F.lit("c"), "conv_id", (F.col("turn") - shift).cast("string"))
+    limit = F.when(h % 7 == 0, F.lit('"many"')).otherwise((F.length(text) % 1000).cast("string"))
+    words = F.when(h % 11 != 0, F.concat(F.lit('"text":'), F.expr("substring(to_json(array(coalesce(text, ''))), 2, length(to_json(array(coalesce(text, '')))) - 2)")))
+    calls = turns.where("role = 'assistant'").select(
+        "conv_id", name(0).alias("call_id"), F.col("turn").alias("seq"), F.element_at(F.array(*map(F.lit, TOOLS)), (h % 3 + 1).cast("int")).alias("name"),
+        F.concat(F.lit("{"), F.concat_ws(",", F.concat(F.lit('"limit": '), limit), words), F.lit("}")).alias("arguments"),
+        F.when(h % 3 != 0, name(2)).alias("after"))
+    results = turns.where("role <> 'assistant'").select(name(1).alias("call_id"), F.col("turn").alias("seq"), F.col("text").alias("result"))
+    return tool_calls.link(calls, results, TOOLS)
+
+
 @query
 def op6_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = anchors.cut_repeats(table(spark, sf_dir, "documents"))
@@ -58,6 +85,11 @@ def op6_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op6_anchors"] = oracles.OP6
 
 
+@query
+def op7_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.judge(table(spark, sf_dir, "documents")).select(
@@ -76,8 +108,7 @@ def op9_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_piece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text, and the hash of the text that decoding them gives back."""
-    path = public_tokenizers.path(piece_scan.MODEL)
-    encoded = Scratch(spark, "encoded").write(piece_scan.encode(table(spark, sf_dir, "documents"), path), "ids")
-    decoded = piece_scan.decode(encoded, path, keep=["ids"])
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
-                          F.sha2("text", 256).alias("text_sha256"))
+    return corpus_pipeline.tokens(spark, table(spark, sf_dir, "documents"), sf_dir)
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
