@@ -85,7 +85,7 @@ def log_ratios(counts: DataFrame) -> np.ndarray:
 def _weight_batches(batches: Iterator[pa.RecordBatch], ratios: Broadcast) -> Iterator[pa.RecordBatch]:
     for block in blocks(batches, "text"):
         doc, bucket = features(utf8(block.column("text")))
-        weight = np.bincount(doc, weights=ratios.value[bucket], minlength=len(block))
+        weight = np.bincount(doc, weights=ratios.value[bucket], minlength=len(block)).astype(np.float64)
         yield pa.RecordBatch.from_arrays([block.column("id"), pa.array(weight)], ["id", "log_weight"])
 
 
