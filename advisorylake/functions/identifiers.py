@@ -34,7 +34,7 @@ RECOGNIZED = ["CVE", "ZDI-CAN", "ZDI", "VU", "GHSA", "MSRC", "OSV"]
 
 def canonical_value(scheme: str, value: Column) -> Column:
     if scheme == "GHSA":
-        return F.concat(F.lit("GHSA-"), F.lower(F.substring(value, 6, 200)))
+        return F.concat(F.lit("GHSA-"), F.lower(F.substring(value, F.lit(6), F.length(value))))
     if scheme == "GHCOMMIT":
         return value
     return F.upper(value)

@@ -87,7 +87,7 @@ FROM {lineitem} JOIN {part} ON l_partkey = p_partkey""",
 SELECT l_orderkey AS candidate_id,
        CASE l_linenumber WHEN 1 THEN '3.1' WHEN 2 THEN '4.0' ELSE '3.0' END AS version,
        CASE WHEN l_returnflag = 'A' THEN 'authoritative' ELSE 'derived' END AS provenance,
-       max(l_quantity) / 5.0 AS base_score
+       max(CASE WHEN l_linenumber <> 2 OR l_orderkey % 3 <> 0 THEN l_quantity END) / 5.0 AS base_score
 FROM {lineitem} WHERE l_linenumber <= 3 AND l_orderkey % 4 <> 0 GROUP BY 1, 2, 3""",
     "epss_scores": """
 SELECT concat('CVE-', CAST(1995 + user_id % 7 AS STRING), '-', lpad(CAST(user_id AS STRING), 7, '0')) AS cve_id,

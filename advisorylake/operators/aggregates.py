@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
 def candidate_aggregates(mentions: DataFrame) -> DataFrame:
@@ -43,12 +43,16 @@ def epss_current(epss: DataFrame) -> DataFrame:
 
 
 def cvss_selected(cvss: DataFrame) -> DataFrame:
-    """Best score row per candidate: authoritative, then version, then score."""
+    """Best row per candidate: scored, then authoritative, then version, then score.
+
+    A row without a score is selected only where no row has one.
+    """
     rank = F.struct(
+        F.col("base_score").isNotNull().alias("scored"),
         (F.col("provenance") == "authoritative").alias("authoritative"),
         F.when(F.col("version") == "4.0", 3).when(F.col("version") == "3.1", 2).otherwise(1)
         .alias("version_rank"),
-        F.coalesce(F.col("base_score"), F.lit(-1.0)).alias("score"),
+        F.col("base_score").alias("score"),
         F.col("version").alias("tie"),
     )
     value = F.struct(*[c for c in cvss.columns if c != "candidate_id"])
@@ -82,12 +86,16 @@ def source_names(mentions: DataFrame, sources: DataFrame) -> DataFrame:
         F.array_join(F.array_sort(F.collect_list("source")), ",").alias("sources"))
 
 
-def merge_winner(members: DataFrame) -> DataFrame:
-    """Winner per component: has a CVE, then seen first, then smallest id."""
-    rank = F.struct(F.col("cve_id").isNull().alias("no_cve"),
+def member_rank() -> Column:
+    """Order in which candidates of a component win: has a CVE, then seen first (unknown
+    dates last), then smallest id. Every merge rule uses this one."""
+    return F.struct(F.col("cve_id").isNull().alias("no_cve"),
                     F.col("first_seen_at").isNull().alias("undated"),
                     F.col("first_seen_at"), F.col("id"))
-    return members.groupBy("component").agg(F.min_by("id", rank).alias("winner"))
+
+
+def merge_winner(members: DataFrame) -> DataFrame:
+    return members.groupBy("component").agg(F.min_by("id", member_rank()).alias("winner"))
 
 
 def earliest_candidate(candidates: DataFrame) -> DataFrame:

@@ -110,15 +110,12 @@ def derived_cvss(parsed: DataFrame) -> DataFrame:
 
 
 def authoritative_first_by_version(pieces: DataFrame) -> DataFrame:
-    """candidate_id, position, piece -> first scorable vector per version.
-
-    A v4 vector has no score here and is kept as the first of its version.
-    """
+    """candidate_id, position, piece -> first scorable vector per version."""
     found = pieces.select("candidate_id", "position",
                           F.posexplode(cvss_vectors_in_text(F.col("piece"))).alias("pos", "vector"))
     scored = compute_once(found, version=vector_version(F.col("vector")),
                           base_score=cvss3_base_score(F.col("vector"))).where(
-        (F.col("version") == "4.0") | F.col("base_score").isNotNull())
+        F.col("base_score").isNotNull())
     best = scored.groupBy("candidate_id", "version").agg(
         F.min_by(F.struct("vector", "base_score"), F.struct("position", "pos")).alias("row"))
     return best.select("candidate_id", "version", "row.*").withColumn(
@@ -130,12 +127,13 @@ def apply_enrichment(candidates: DataFrame, parsed: DataFrame, scored: DataFrame
     """Candidates after enrichment.
 
     A null never erases a value, a known proof of concept stays, and the qualitative hint
-    exists only where no numeric score does. ``scored`` lists candidates with a score. An
+    exists only where no numeric score does. ``scored`` has candidate_id and base_score; rows
+    without a score do not count. An
     unusable answer stamps the attempt so the candidate waits for its next turn.
     """
     out = parsed.select(F.col("candidate_id").alias("_k"),
                         *[F.col(c).alias(f"_{c}") for c in parsed.columns if c != "candidate_id"])
-    has = scored.select(F.col("candidate_id").alias("_s")).distinct()
+    has = scored.where(F.col("base_score").isNotNull()).select(F.col("candidate_id").alias("_s")).distinct()
     joined = candidates.join(out, F.col("id") == F.col("_k"), "left").join(
         has, F.col("id") == F.col("_s"), "left")
     ok, tried = F.coalesce(F.col("_ok"), F.lit(False)), F.col("_k").isNotNull()
@@ -182,8 +180,8 @@ def enrich_worklist(candidates: DataFrame, mentions: DataFrame, as_of: dt.dateti
         & (F.col("mention_count") >= 1))
     newest = (live.orderBy(F.desc("last_seen_at"), "id").limit(limit * 4)
               .select("id", "last_seen_at", "enrichment_updated_at"))
-    small = F.broadcast(newest.select(F.col("id").alias("candidate_id"),
-                                      F.col("enrichment_updated_at").alias("stamp")))
+    small = newest.select(F.col("id").alias("candidate_id"),
+                          F.col("enrichment_updated_at").alias("stamp"))
     since = (mentions.join(small, "candidate_id")
              .where(F.col("seen_at") > F.col("stamp"))
              .groupBy(F.col("candidate_id").alias("_k")).agg(F.count("*").alias("mentions_since")))
@@ -207,7 +205,7 @@ def resolve_products(names: DataFrame, aliases: DataFrame) -> DataFrame:
 def backfill_products(candidates: DataFrame, affected: DataFrame, identifiers: DataFrame,
                       mentions: DataFrame) -> DataFrame:
     """Product rows for live candidates without any, from anchors, snippets or titles."""
-    from advisorylake.functions.software import classify_kind
+    from advisorylake.functions.software import canonical_ecosystem, classify_kind
 
     lacking = candidates.where(F.col("merged_into").isNull()).select("id").join(
         affected.select("candidate_id").distinct(), F.col("id") == F.col("candidate_id"), "left_anti")
@@ -234,6 +232,6 @@ def backfill_products(candidates: DataFrame, affected: DataFrame, identifiers: D
     return rows.select(
         F.col("id").alias("candidate_id"),
         F.when(is_repo, F.lower("s")).when(name != "", name).otherwise(F.col("s")).alias("product"),
-        F.when(is_repo, F.lit("github")).when(name != "", eco).alias("ecosystem"),
+        F.when(is_repo, F.lit("github")).when(name != "", canonical_ecosystem(eco)).alias("ecosystem"),
         F.when(F.col("mal"), "malware").when(is_repo, "product")
         .otherwise(classify_kind(bare_eco)).alias("kind"))

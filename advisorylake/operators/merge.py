@@ -145,8 +145,8 @@ CVSS_KEY = ["candidate_id", "version", "provenance", "source"]
 def structured_cvss(mentions: DataFrame, source: str = "osv") -> DataFrame:
     """candidate_id, arrival and ``cvss_vectors`` as scored rows.
 
-    v3 vectors are scored by formula and dropped when invalid. A v4 vector is kept with
-    a null score: its scoring needs a published table this package does not carry.
+    Vectors are scored by formula and dropped when they cannot be: invalid v3 ones, and
+    v4 ones, whose scoring needs a published table this package does not carry.
     """
     rows = mentions.select("candidate_id", "arrival",
                            F.posexplode("cvss_vectors").alias("pos", "v"))
@@ -154,7 +154,7 @@ def structured_cvss(mentions: DataFrame, source: str = "osv") -> DataFrame:
     scored = compute_once(
         rows.select("candidate_id", "arrival", "pos", vector.alias("vector")),
         version=vector_version(F.col("vector")), base_score=cvss3_base_score(F.col("vector")))
-    return scored.where((F.col("version") == "4.0") | F.col("base_score").isNotNull()).select(
+    return scored.where(F.col("base_score").isNotNull()).select(
         "candidate_id", "version", "vector", "base_score",
         cvss3_severity(F.col("base_score")).alias("base_severity"),
         F.lit("authoritative").alias("provenance"), F.lit(source).alias("source"),

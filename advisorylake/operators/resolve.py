@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from advisorylake.operators.aggregates import merge_winner
+from advisorylake.operators.aggregates import member_rank, merge_winner
 from advisorylake.session import Scratch, cut_lineage
 
 def _with_min(pairs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -114,17 +114,31 @@ def identity_edges(identified: DataFrame) -> tuple[DataFrame, DataFrame]:
     return edges, nodes
 
 
+def live_owners(identifiers: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Identifiers with the live candidate at the end of their owner's merge chain.
+
+    Only owners that are tombstones are followed; most rows keep their owner.
+    """
+    roots = follow_tombstones(candidates.select("id", "merged_into")).where(
+        F.col("root").isNotNull() & (F.col("root") != F.col("id")))
+    return identifiers.join(roots.withColumnRenamed("id", "candidate_id"), "candidate_id", "left").withColumn(
+        "candidate_id", F.coalesce("root", "candidate_id")).select(*identifiers.columns)
+
+
 def resolve_identifiers(identified: DataFrame, identifiers: DataFrame | None = None,
                         candidates: DataFrame | None = None
                         ) -> tuple[DataFrame, DataFrame]:
     """Identifier -> candidate for a batch, and loser -> winner for merged candidates.
 
-    Known identifiers pull their candidates into the components. A component without a
+    Known identifiers pull the live ends of their candidates' merge chains into the
+    components, so a tombstone never wins. A component without a
     candidate gets a new one whose id is the hash of its smallest identifier, so the same
     input always yields the same id.
     """
     edges, nodes = identity_edges(identified)
     if identifiers is not None:
+        if candidates is not None and "merged_into" in candidates.columns:
+            identifiers = live_owners(identifiers, candidates)
         known = identifiers.select(
             node_key(F.col("scheme"), F.col("value")).alias("a"),
             F.concat(F.lit("C|"), F.col("candidate_id").cast("string")).alias("b"))
@@ -160,8 +174,7 @@ def candidate_cve(members: DataFrame, attached: DataFrame) -> DataFrame:
     ``members`` has component, id, cve_id, first_seen_at; ``attached`` has component, cve,
     arrival, ordinal. ``cve_count`` above one reports a conflict that was kept visible.
     """
-    rank = F.struct(F.col("cve_id").isNull().alias("no_cve"), F.col("first_seen_at"), F.col("id"))
-    own = members.groupBy("component").agg(F.min_by("cve_id", rank).alias("own_cve"))
+    own = members.groupBy("component").agg(F.min_by("cve_id", member_rank()).alias("own_cve"))
     first = attached.groupBy("component").agg(
         F.min_by("cve", F.struct("arrival", "ordinal")).alias("first_cve"),
         F.count_distinct("cve").alias("cve_count"))
@@ -179,18 +192,14 @@ STICKY_COLUMNS = ["in_kev", "has_public_poc"]
 UNION_COLUMNS = ["cwe_ids", "reference_urls", "poc_urls"]
 
 
-def _member_rank() -> Column:
-    return F.struct(F.col("cve_id").isNull().alias("no_cve"), F.col("first_seen_at"), F.col("id"))
-
-
 def merge_absorb(members: DataFrame) -> DataFrame:
     """One row per component: first known value by rank, and true-wins flags."""
     def first_known(name: str) -> Column:
-        return F.min_by(F.col(name), F.when(F.col(name).isNotNull(), _member_rank())).alias(name)
+        return F.min_by(F.col(name), F.when(F.col(name).isNotNull(), member_rank())).alias(name)
 
     have = set(members.columns)
     return members.groupBy("component").agg(
-        F.min_by("id", _member_rank()).alias("winner"),
+        F.min_by("id", member_rank()).alias("winner"),
         *[first_known(c) for c in FILL_COLUMNS if c in have],
         *[F.max(c).alias(c) for c in STICKY_COLUMNS if c in have])
 
@@ -200,7 +209,7 @@ def merge_absorb_lists(members: DataFrame, column: str) -> DataFrame:
 
     One row per distinct value keeps the union whole without gathering it in one task.
     """
-    return (members.select("component", _member_rank().alias("rank"),
+    return (members.select("component", member_rank().alias("rank"),
                            F.posexplode(column).alias("pos", "value"))
             .groupBy("component", "value").agg(F.min(F.struct("rank", "pos")).alias("first_use")))
 

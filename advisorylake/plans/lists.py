@@ -11,15 +11,17 @@ from advisorylake.operators.aggregates import (
     cvss_selected, epss_current, first_product, max_cvss, min_tier, source_names, timeline_last,
 )
 from advisorylake.operators.predicates import (
-    candidate_sources, distinct_ids, kev_filter, matching_products, operational_candidate,
+    distinct_ids, kev_filter, matching_products, mentioned_by, operational_candidate,
     with_product, with_source,
 )
 from advisorylake.params import Params
 from advisorylake.plans.reports import check_maturity
 from advisorylake.session import cut_lineage
 
-TRIAGE_COLUMNS = ["id", "cve_id", "status", "maturity", "vuln_type", "severity_hint", "cvss",
-                  "in_kev", "mention_count", "source_count", "first_seen_at", "last_seen_at"]
+# Columns of the triage export, and the size at which a caller may cut it.
+TRIAGE_COLUMNS = ["cve_id", "maturity", "in_kev", "cvss", "severity_hint", "vuln_type",
+                  "days_ahead_vs_nvd_present", "source_count", "mention_count", "sources",
+                  "first_seen_at", "last_seen_at"]
 TRIAGE_LIMIT = 5000
 # Points of the criticality score.
 KEV_POINTS, POC_POINTS, CVSS_FACTOR = 50, 20, 4.0
@@ -57,10 +59,10 @@ def attach_details(page: DataFrame, cvss: DataFrame, mentions: DataFrame,
                    sources: DataFrame) -> DataFrame:
     """Best CVSS and source names for the rows of one page.
 
-    ``page`` carries a LIMIT, so its ids are bounded by the page size and may be
-    broadcast; the big tables are cut to those ids before they are grouped.
+    The big tables are cut to the page's ids before they are grouped. The ids carry no hint:
+    Spark broadcasts them when the page is small.
     """
-    ids = F.broadcast(page.select(F.col("id").alias("candidate_id")))
+    ids = page.select(F.col("id").alias("candidate_id"))
     scores = max_cvss(cvss.join(ids, "candidate_id", "left_semi")).withColumnRenamed(
         "candidate_id", "cvss_id")
     names = source_names(mentions.join(ids, "candidate_id", "left_semi"),
@@ -93,7 +95,7 @@ def emerging_list_cli(candidates: DataFrame, cvss: DataFrame, mentions: DataFram
         rows = rows.where(F.col("last_seen_at") >= ts(since))
     rows = with_source(rows, mentions, sources, source, tier)
     page = rows.orderBy(F.desc("last_seen_at"), "id").limit(limit)
-    ids = F.broadcast(page.select(F.col("id").alias("candidate_id")))
+    ids = page.select(F.col("id").alias("candidate_id"))
     best = (cvss.where(F.col("base_score").isNotNull()).join(ids, "candidate_id", "left_semi")
             .groupBy(F.col("candidate_id").alias("best_id"))
             .agg(F.max(F.struct("base_score", "version")).alias("best")))
@@ -109,13 +111,15 @@ def emerging_list_cli(candidates: DataFrame, cvss: DataFrame, mentions: DataFram
         .orderBy(F.desc("last_seen"), "id"))
 
 
-def triage(rows: DataFrame, cvss: DataFrame, limit: int = TRIAGE_LIMIT) -> DataFrame:
-    """Fixed columns of the export, newest first; the cap is part of the report."""
-    page = rows.orderBy(F.desc("last_seen_at"), "id").limit(limit)
-    ids = F.broadcast(page.select(F.col("id").alias("candidate_id")))
-    scores = max_cvss(cvss.join(ids, "candidate_id", "left_semi")).withColumnRenamed(
-        "candidate_id", "cvss_id")
-    return page.join(scores, F.col("id") == F.col("cvss_id"), "left").select(*TRIAGE_COLUMNS)
+def triage(rows: DataFrame, cvss: DataFrame, mentions: DataFrame, sources: DataFrame,
+           limit: int | None = None) -> DataFrame:
+    """Fixed columns of the export, newest first; whole unless the caller gives a limit.
+
+    ``rows`` has mention_count, source_count and the present lead.
+    """
+    order = [F.desc("last_seen_at"), F.asc("id")]
+    page = rows if limit is None else rows.orderBy(*order).limit(limit)
+    return attach_details(page, cvss, mentions, sources).orderBy(*order).select(*TRIAGE_COLUMNS)
 
 
 def _points(table: dict, key: Column, otherwise: int) -> Column:
@@ -145,7 +149,8 @@ def signal_ids(candidates: DataFrame, cvss: DataFrame) -> DataFrame:
     """Distinct ids that carry a severity or exploitation signal."""
     live = candidates.where(F.col("merged_into").isNull() & (
         F.col("in_kev") | F.col("has_public_poc") | F.col("severity_hint").isNotNull()))
-    return live.select("id").union(cvss.select(F.col("candidate_id").alias("id"))).distinct()
+    scored = cvss.where(F.col("base_score").isNotNull()).select(F.col("candidate_id").alias("id"))
+    return live.select("id").union(scored).distinct()
 
 
 def pending_critical(facts: DataFrame, cvss: DataFrame, mentions: DataFrame,
@@ -162,8 +167,8 @@ def pending_critical(facts: DataFrame, cvss: DataFrame, mentions: DataFrame,
     if maturity != "all":
         pend = pend.where(F.col("maturity") == maturity)
     pend = with_product(pend, affected, kind, tech)
-    scores = cvss.groupBy(F.col("candidate_id").alias("cvss_id")).agg(
-        F.max("base_score").alias("cvss"))
+    scores = cvss.where(F.col("base_score").isNotNull()).groupBy(
+        F.col("candidate_id").alias("cvss_id")).agg(F.max("base_score").alias("cvss"))
     tiers = min_tier(mentions, sources).withColumnRenamed("candidate_id", "tier_id")
     signalled = (
         pend.join(scores, F.col("id") == F.col("cvss_id"), "left")
@@ -174,7 +179,7 @@ def pending_critical(facts: DataFrame, cvss: DataFrame, mentions: DataFrame,
     )
     order = [F.desc("score"), F.desc_nulls_last("first_seen_at"), F.asc("id")]
     best = cut_lineage(signalled.orderBy(*order).limit(top))
-    ids = F.broadcast(best.select(F.col("id").alias("candidate_id")))
+    ids = best.select(F.col("id").alias("candidate_id"))
     names = first_product(affected.join(ids, "candidate_id", "left_semi")).withColumnRenamed(
         "candidate_id", "product_id")
     lead = ["days_ahead_vs_nvd_present"] if "days_ahead_vs_nvd_present" in facts.columns else []
@@ -228,8 +233,7 @@ def exploit_before_cve(candidates: DataFrame, mentions: DataFrame, sources: Data
     """Seen by an exploit-tool source, not known exploited, CVE not published."""
     from advisorylake.operators.predicates import spread_nulls
 
-    seen = distinct_ids(candidate_sources(mentions, sources).where(
-        F.col("source").isin(tool_sources)))
+    seen = mentioned_by(mentions, sources.where(F.col("name").isin(tool_sources)))
     out = published.where(F.col("state") == "PUBLISHED").select(F.col("id").alias("key"))
     return (candidates.where(F.col("merged_into").isNull()
                              & ~F.coalesce(F.col("in_kev"), F.lit(False)))

@@ -11,6 +11,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from advisorylake.functions.dates import parse_advisory_date, ts
+from advisorylake.functions.identifiers import extract_identifiers, primary_cve
 from advisorylake.functions.text import (
     CVE_LOOSE, blank_to_null, find_all, first_of, sorted_cves, strip,
 )
@@ -108,9 +109,13 @@ def scan_plugin_listing(documents: DataFrame) -> DataFrame:
 
 
 def scan_news(entries: DataFrame) -> DataFrame:
-    """News that names a CVE; ingestion anchors it on the first id of the text."""
+    """News that names a CVE, anchored on the first one of the whole text.
+
+    The snippet is only a beginning of the text, so the anchor is taken before it is cut.
+    """
     carry = [c for c in entries.columns if c not in ("title", "summary", "link", "seen_at")]
     blob = F.concat_ws(" ", F.col("title"), F.col("summary"))
     e = entries.where(F.upper(blob).contains("CVE-"))
-    return mentions_frame(e, carry=carry, url=F.col("link"), title=F.col("title"),
+    anchor = primary_cve(extract_identifiers(F.col("title"), F.col("summary")))
+    return mentions_frame(e, carry=carry, url=F.col("link"), title=F.col("title"), cve_id=anchor,
                           snippet=snippet_of(F.col("summary")), seen_at=F.col("seen_at"))

@@ -45,12 +45,23 @@ def osv_cursor_filter(records: DataFrame, cursor: dt.datetime | None,
     return records.where(F.col("seen").isNull() | (F.col("seen") >= ts(bootstrap)))
 
 
-def osv_cap_topn(records: DataFrame, cap: int) -> DataFrame:
-    """The ``cap`` most recently modified records per ecosystem; 0 keeps all.
+def osv_relevant(records: DataFrame) -> DataFrame:
+    """Records with an identifier that are no mere notices."""
+    aliases = F.coalesce("aliases", F.array().cast("array<string>"))
+    cve = F.upper(F.try_element_at(_starts(aliases, "CVE-"), F.lit(1)))
+    notice = _set(F.col("database_specific.informational")) | F.coalesce(
+        F.exists("affected", lambda a: _set(a["database_specific"]["informational"])), F.lit(False))
+    return records.where((F.coalesce(cve, F.col("id")) != "") & ~notice)
 
-    Only the ranking columns decide, and the rank limit prunes before the shuffle.
+
+def osv_cap_topn(records: DataFrame, cap: int | None = None) -> DataFrame:
+    """The ``cap`` most recently modified records per ecosystem; none or 0 keeps all.
+
+    Notices do not use up places. Only the ranking columns decide, and the rank limit
+    prunes before the shuffle.
     """
-    if cap <= 0:
+    records = osv_relevant(records)
+    if not cap:
         return records
     recent = W.partitionBy("ecosystem").orderBy(F.desc_nulls_last("modified_at"), F.desc("id"))
     return (records.withColumn("rn", F.row_number().over(recent))
@@ -72,11 +83,7 @@ def osv_mentions(records: DataFrame, carry: list[str] = ()) -> DataFrame:
         "summary": F.coalesce(first_of(F.col("summary"), F.col("details")), F.lit("")),
     })
     cve = F.upper(F.try_element_at(_starts(F.col("aliases"), "CVE-"), F.lit(1)))
-    rows = rows.withColumn("cve", cve).where(F.coalesce(F.col("cve"), F.col("id")) != "")
-    informational = _set(F.col("database_specific.informational")) | F.coalesce(
-        F.exists("affected", lambda a: _set(a["database_specific"]["informational"])),
-        F.lit(False))
-    rows = rows.where(~informational)
+    rows = osv_relevant(rows.withColumn("cve", cve))
     malware = (F.coalesce(F.upper("id").startswith("MAL-"), F.lit(False))
                | (F.size(_starts(F.col("aliases"), "MAL-")) > 0)
                | F.col("summary").rlike(_MALWARE_TITLE))
@@ -130,6 +137,8 @@ def osv_mentions(records: DataFrame, carry: list[str] = ()) -> DataFrame:
         withdrawn=F.when(F.col("withdrawn") != "", F.lit(True)))
 
 
-def scan_osv(documents: DataFrame, cutoff: dt.datetime | None = None) -> DataFrame:
+def scan_osv(documents: DataFrame, cutoff: dt.datetime | None = None,
+             cap: int | None = None) -> DataFrame:
+    """Mentions of a feed; a cap counts only what survives every filter."""
     carry = [c for c in documents.columns if c != "raw"]
-    return osv_mentions(osv_cursor_filter(parse_osv(documents), None, cutoff), carry)
+    return osv_mentions(osv_cap_topn(osv_cursor_filter(parse_osv(documents), None, cutoff), cap), carry)

@@ -1,10 +1,10 @@
-"""Report sinks: CSV, JSON lines and the capped triage export."""
+"""Report sinks: CSV, JSON lines, a JSON document with its meta data, the triage export."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from advisorylake.plans.lists import TRIAGE_COLUMNS, TRIAGE_LIMIT
+from advisorylake.plans.lists import TRIAGE_COLUMNS
 
 
 def sink_rows(df: DataFrame, path: str, fmt: str = "csv") -> str:
@@ -20,7 +20,6 @@ def sink_rows(df: DataFrame, path: str, fmt: str = "csv") -> str:
     return path
 
 
-def sink_triage_csv(rows: DataFrame, path: str, total: int) -> bool:
-    """Write the triage columns; true when the cap cut the list."""
-    sink_rows(rows.select(*TRIAGE_COLUMNS).limit(TRIAGE_LIMIT), path)
-    return total > TRIAGE_LIMIT
+def sink_triage_csv(rows: DataFrame, path: str) -> str:
+    """Write the triage columns of ``lists.triage``."""
+    return sink_rows(rows.select(*TRIAGE_COLUMNS), path)

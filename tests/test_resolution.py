@@ -146,3 +146,41 @@ def test_merge_is_null_safe_and_idempotent(spark):
     once = M.merge_affected_structured(target, change)
     assert sorted(map(str, once.collect())) == sorted(map(str, M.merge_affected_structured(once, change).collect()))
     assert once.count() == 2 and once.where("kind = 'old'").isEmpty()
+
+
+def test_tombstoned_owner_gives_way_to_its_live_candidate(spark, batch):
+    known = spark.createDataFrame([("CVE", "CVE-2026-1000", "T"), ("OSV", "OSV-2026-1", "L")],
+                                  "scheme string, value string, candidate_id string")
+    cands = spark.createDataFrame([("T", "CVE-2026-1000", "2026-01-01", "L"), ("L", "CVE-2026-1000", "2026-02-01", None)],
+                                  "id string, cve_id string, d string, merged_into string").withColumn(
+        "first_seen_at", F.col("d").cast("timestamp"))
+    out = I.ingest(batch([{"cve_id": "CVE-2026-1000", "extra_ids": ["OSV-2026-1"]}]), known, cands)
+    assert set(owners(out).values()) == {"L"} and out["merges"].isEmpty()
+
+
+def test_unknown_dates_come_last_in_every_merge_rule(spark):
+    from advisorylake.operators.aggregates import merge_winner
+
+    rows = spark.createDataFrame([(1, "a", "CVE-2026-1", None, "x", ["p"]), (1, "b", "CVE-2026-2", "2026-03-01", "y", ["p"])],
+                                 "component int, id string, cve_id string, d string, vuln_type string, cwe_ids array<string>"
+                                 ).withColumn("first_seen_at", F.col("d").cast("timestamp"))
+    attached = rows.select("component", F.col("cve_id").alias("cve"), F.lit(1).alias("arrival"), F.lit(0).alias("ordinal"))
+    assert merge_winner(rows).first().winner == "b"
+    assert RS.merge_absorb(rows).first().winner == "b" and RS.merge_absorb(rows).first().vuln_type == "y"
+    assert RS.candidate_cve(rows, attached).first().cve_id == "CVE-2026-2"
+    assert RS.merge_absorb_lists(rows, "cwe_ids").first().first_use.rank.id == "b"
+
+
+def test_unscored_vectors_never_win(spark):
+    from advisorylake.operators.aggregates import cvss_selected
+    from advisorylake.plans.lists import signal_ids
+
+    rows = spark.createDataFrame([("c", "3.1", "authoritative", 9.8), ("c", "4.0", "authoritative", None), ("d", "4.0", "authoritative", None)],
+                                 "candidate_id string, version string, provenance string, base_score double")
+    assert {r.candidate_id: r.base_score for r in cvss_selected(rows).collect()} == {"c": 9.8, "d": None}
+    cands = spark.createDataFrame([("d", None, False, False, None)],
+                                  "id string, merged_into string, in_kev boolean, has_public_poc boolean, severity_hint string")
+    assert [r.id for r in signal_ids(cands, rows).collect()] == ["c"]
+    found = M.structured_cvss(spark.createDataFrame([("c", 1, ["CVSS:4.0/AV:N/AC:L/AT:N", "CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H"])],
+                                                    "candidate_id string, arrival int, cvss_vectors array<string>"))
+    assert [r.version for r in found.collect()] == ["3.1"]

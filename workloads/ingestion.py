@@ -189,9 +189,10 @@ add("classify_kind",
     "SELECT candidate_id, product, vendor, kind, ecosystem, CASE WHEN kind = 'malware' THEN 'malware' "
     "WHEN ecosystem IN ('maven', 'go') THEN 'distro' ELSE 'product' END AS label FROM affected_products")
 add("normalize_key",
-    lambda c: c.planted.select("doc_id", SW.normalize_key(F.concat(
-        F.lit("  Über-Tool v"), F.col("doc_id").cast("string"), F.lit("  Ñandú_ﬁx "))).alias("key")),
-    "SELECT doc_id, 'uber tool v' || doc_id || ' nandu fix' AS key FROM planted")
+    lambda c: c.planted.select("doc_id", F.md5(SW.normalize_key(F.concat(
+        F.lit("  Über-Tool v"), F.col("doc_id").cast("string"), F.lit("  Ñandú_ﬁx "), "text"))).alias("key")),
+    "SELECT doc_id, md5(trim('uber tool v' || doc_id || ' nandu fix ' || ltrim(regexp_replace(lower(regexp_replace(strip_accents(text), "
+    "'[^\\x00-\\x7F]', '', 'g')), '[^a-z0-9]+', ' ', 'g')))) AS key FROM planted")
 add("parse_advisory_date",
     lambda c: c.candidates.select("id", D.parse_advisory_date(F.concat(
         F.when(F.col("id") % 6 == 0, F.lit("0001")).otherwise(F.date_format("first_seen_at", "yyyy")),
@@ -376,21 +377,24 @@ def _components(c: Ctx):
 
 
 def _members(c: Ctx):
-    return _components(c).join(c.candidates, F.col("node") == F.col("id")).drop("node")
+    """Members of each component; some have no known date."""
+    return _components(c).join(c.candidates, F.col("node") == F.col("id")).drop("node").withColumn(
+        "first_seen_at", F.when(F.col("id") % 11 != 3, F.col("first_seen_at")))
 
 
-_M = ", members AS (SELECT *, 5 * (id // 5) AS component FROM candidates) "
-_RANK = "ORDER BY (cve_id IS NULL), first_seen_at, id"
+_M = (", members AS (SELECT * REPLACE (CASE WHEN id % 11 <> 3 THEN first_seen_at END AS first_seen_at), "
+      "5 * (id // 5) AS component FROM candidates) ")
+_RANK = "ORDER BY (cve_id IS NULL), first_seen_at NULLS LAST, id"
 add("resolve_components", _components,
     "SELECT o_orderkey AS node, 5 * (o_orderkey // 5) AS component FROM orders")
 add("merge_winner", lambda c: A.merge_winner(_members(c)),
     _M + f"SELECT component, id AS winner FROM (SELECT *, row_number() OVER (PARTITION BY component {_RANK}) AS rn FROM members) WHERE rn = 1")
 add("candidate_cve",
     lambda c: RS.candidate_cve(
-        _members(c).where("id % 3 <> 0"),
+        _members(c),
         _members(c).where("cve_id IS NOT NULL").select(
             "component", F.col("cve_id").alias("cve"), (F.lit(0) - F.col("id")).alias("arrival"), F.lit(0).alias("ordinal"))),
-    _M + f", own AS (SELECT component, cve_id FROM (SELECT *, row_number() OVER (PARTITION BY component {_RANK}) AS rn FROM members WHERE id % 3 <> 0) WHERE rn = 1), "
+    _M + f", own AS (SELECT component, cve_id FROM (SELECT *, row_number() OVER (PARTITION BY component {_RANK}) AS rn FROM members) WHERE rn = 1), "
     "att AS (SELECT component, arg_max(cve_id, id) AS first_cve, count(DISTINCT cve_id) AS n FROM members WHERE cve_id IS NOT NULL GROUP BY 1) "
     "SELECT component, coalesce(own.cve_id, att.first_cve) AS cve_id, coalesce(n, 0) AS cve_count FROM own FULL JOIN att USING (component)")
 add("merge_absorb",

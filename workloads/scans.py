@@ -282,11 +282,12 @@ def _osv_flat(m):
 
 
 add("scan_osv", lambda c: _osv_flat(OSV.scan_osv(_osv_docs(c))), _OSV_SQL)
+CAP = 300
 add("osv_cap_topn",
-    lambda c: OSV.osv_cap_topn(OSV.parse_osv(_osv_docs(c)), 300).select("ecosystem", "id", "modified_at"),
+    lambda c: OSV.osv_cap_topn(OSV.parse_osv(_osv_docs(c)), CAP).select("ecosystem", "id", "modified_at"),
     "SELECT ecosystem, 'OSV-2026-' || id AS id, last_seen_at AS modified_at FROM (SELECT *, "
     "CASE WHEN id % 2 = 0 THEN 'PyPI' ELSE 'Debian' END AS ecosystem, row_number() OVER (PARTITION BY id % 2 "
-    "ORDER BY last_seen_at DESC, 'OSV-2026-' || id DESC) AS rn FROM candidates) WHERE rn <= 300")
+    f"ORDER BY last_seen_at DESC, 'OSV-2026-' || id DESC) AS rn FROM candidates WHERE id % 20 <> 13) WHERE rn <= {CAP}")
 add("osv_cursor_filter",
     lambda c: OSV.osv_cursor_filter(OSV.parse_osv(_osv_docs(c)), MID).select("id").unionByName(
         OSV.osv_cursor_filter(OSV.parse_osv(_osv_docs(c)), None, MID).select(F.concat(F.lit("boot-"), "id").alias("id"))),
@@ -376,8 +377,8 @@ add("scan_gitlog",
 add("gitlog_watermarks", lambda c: GH.gitlog_watermarks(_records_of(c)),
     f"SELECT {_REPO_SQL} AS full_name, max(first_seen_at) AS watermark FROM candidates GROUP BY 1")
 add("gitlog_merge_cache",
-    lambda c: GH.gitlog_merge_cache(_records_of(c).where("id % 3 = 0"), _records_of(c).where("id % 2 = 0")).select("full_name", "sha"),
-    f"SELECT {_REPO_SQL} AS full_name, sha1(CAST(id AS STRING)) AS sha FROM candidates WHERE id % 3 = 0 OR id % 4 = 0")
+    lambda c: GH.gitlog_merge_cache(_records_of(c).where("id % 3 = 0"), _records_of(c)).select("full_name", "sha"),
+    f"SELECT {_REPO_SQL} AS full_name, sha1(CAST(id AS STRING)) AS sha FROM candidates WHERE id % 3 = 0 OR id % 4 IN (0, 1)")
 add("scan_single_repo",
     lambda c: GH.scan_single_repo(_records_of(c), "own4/rep4", dt.datetime(2000, 1, 1, tzinfo=UTC), 60,
                                   dt.datetime(1997, 3, 4, 5, tzinfo=UTC)).select("sha", "cve_id", "seen_at"),
@@ -519,27 +520,31 @@ _SEEN_DOC = "make_timestamp((900000000 + doc_id * 3600) * 1000000)"
 add("scan_feed_entries",
     lambda c: FD.scan_feed_entries(_entries(c)).select(
         "doc_id", "url", "title", "cve_id", "seen_at", F.size(F.coalesce("extra_ids", F.array().cast("array<string>"))).alias("n_extra"),
-        F.md5("snippet").alias("snippet")).where("cve_id IS NOT NULL"),
-    f", d AS (SELECT *, {_CVES_OF} AS cves FROM planted) "
-    "SELECT doc_id, 'https://feed.example/' || doc_id AS url, 'Entry ' || doc_id AS title, unnest(cves) AS cve_id, "
-    f"{_SEEN_DOC} AS seen_at, CASE WHEN len(cves) = 1 THEN CAST((doc_id % 7 = 0) AS INTEGER) + CAST((doc_id % 11 = 0) AS INTEGER) "
-    "+ 2 * CAST((doc_id % 13 = 0) AS INTEGER) + CAST((doc_id % 17 = 0) AS INTEGER) ELSE 0 END AS n_extra, "
+        "native_id", F.md5("snippet").alias("snippet")),
+    f", d AS (SELECT *, {_CVES_OF} AS cves, list_filter([CASE WHEN doc_id % 11 = 0 THEN 'ZDI-CAN-' || lpad(CAST(doc_id % 100000 AS VARCHAR), 5, '0') END, "
+    "CASE WHEN doc_id % 13 = 0 THEN 'VU#123456' END, CASE WHEN doc_id % 7 = 0 THEN 'GHSA-2345-6789-cfgh' END, CASE WHEN doc_id % 13 = 0 THEN 'ADV240001' END, "
+    "CASE WHEN doc_id % 17 = 0 THEN 'PYSEC-2026-' || doc_id END], lambda x: x IS NOT NULL) AS others FROM planted) "
+    "SELECT doc_id, 'https://feed.example/' || doc_id AS url, 'Entry ' || doc_id AS title, "
+    "unnest(CASE WHEN len(cves) > 0 THEN cves WHEN len(others) > 0 THEN [NULL] ELSE [] END) AS cve_id, "
+    "CASE WHEN len(cves) = 0 THEN others[1] END AS native_id, "
+    f"{_SEEN_DOC} AS seen_at, CASE WHEN len(cves) = 1 THEN len(others) WHEN len(cves) = 0 THEN len(others) - 1 ELSE 0 END AS n_extra, "
     "md5(substring('Entry ' || doc_id || ' | ' || text, 1, 2000)) AS snippet FROM d")
 add("scan_kernel_cve",
     lambda c: FD.scan_kernel_cve(c.planted.select(
         F.concat(F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit("cve-2026-"), F.lpad(F.col("doc_id").cast("string"), 7, "0"))).otherwise("Note"),
                  F.lit(": xfs: fix "), F.col("doc_id").cast("string")).alias("title"),
-        F.concat(F.lit("<p>a</p>\n <b>b"), F.col("doc_id").cast("string"), F.lit("</b>")).alias("summary"),
+        F.concat(F.lit("<p>a</p>\n <b>b"), F.col("doc_id").cast("string"), F.lit("</b>"), "text").alias("summary"),
         F.lit("https://lore.example/1").alias("link"), F.lit(None).cast("timestamp").alias("seen_at"))).select(
-        "title", "snippet", "cve_id", products()),
-    "SELECT 'xfs: fix ' || doc_id AS title, 'xfs: fix ' || doc_id || ' | a b' || doc_id AS snippet, "
+        "title", F.md5("snippet").alias("snippet"), "cve_id", products()),
+    "SELECT 'xfs: fix ' || doc_id AS title, md5(substring(trim(regexp_replace('xfs: fix ' || doc_id || ' | a b' || doc_id || ' ' || "
+    "regexp_replace(text, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')), 1, 2000)) AS snippet, "
     "'CVE-2026-' || lpad(CAST(doc_id AS STRING), 7, '0') AS cve_id, 'Linux Kernel/Linux/-/product/0' AS affected FROM planted WHERE doc_id % 5 <> 0")
 JEN = dt.datetime.fromtimestamp(900000000 + 86400 * 130, tz=UTC)
 add("scan_jenkins",
-    lambda c: FD.scan_jenkins(_entries(c).drop("summary"), c.planted.where("doc_id % 4 <> 3").select(
+    lambda c: FD.scan_jenkins(_entries(c).drop("summary"), c.planted.select(
         F.concat(F.lit("https://feed.example/"), F.col("doc_id").cast("string")).alias("link"), "text"), JEN).select(
         "url", "title", "snippet", "cve_id", "seen_at"),
-    f", d AS (SELECT *, {_CVES_OF} AS cves FROM planted WHERE doc_id % 4 <> 3 AND doc_id * 3600 >= 86400 * 10) "
+    f", d AS (SELECT *, {_CVES_OF} AS cves FROM planted WHERE doc_id * 3600 >= 86400 * 10) "
     "SELECT url, 'Entry ' || doc_id || ': ' || cve_id AS title, 'Entry ' || doc_id AS snippet, cve_id, seen_at FROM "
     f"(SELECT doc_id, 'https://feed.example/' || doc_id AS url, unnest(cves) AS cve_id, {_SEEN_DOC} AS seen_at FROM d)")
 add("scan_plugin_listing",
@@ -551,8 +556,9 @@ add("scan_plugin_listing",
     "SELECT page_id, 'https://www.tenable.com/plugins/nessus/' || page_id AS url, 'Fix &Foo' AS title, "
     "'Fix & Foo CVE-2026-' || lpad(CAST(page_id AS STRING), 5, '0') AS snippet FROM pages")
 add("scan_news",
-    lambda c: FD.scan_news(_entries(c)).select("doc_id", "url", "title", F.md5("snippet").alias("snippet"), "seen_at"),
+    lambda c: FD.scan_news(_entries(c)).select("doc_id", "url", "title", F.md5("snippet").alias("snippet"), "cve_id", "seen_at"),
     "SELECT doc_id, 'https://feed.example/' || doc_id AS url, 'Entry ' || doc_id AS title, md5(substring(text, 1, 2000)) AS snippet, "
+    "upper(regexp_extract(text, '(?i)CVE-[0-9]{4}-[0-9]{4,}')) AS cve_id, "
     f"{_SEEN_DOC} AS seen_at FROM planted WHERE contains(upper(text), 'CVE-')")
 
 # ---- sinks ------------------------------------------------------------------------

@@ -49,13 +49,13 @@ add("merge_cvelist", lambda c: M.merge_cvelist(_old_mirror(c), _cvelist_changes(
 
 
 def _nvd_changes(c: Ctx):
-    return c.published_cves.where(_num() % 4 != 0).select(
+    return c.published_cves.where((_num() % 4 != 0) | (_num() % 3 == 1)).select(
         "id", F.when(_num() % 5 == 0, F.lit("2001-01-01").cast("timestamp")).alias("nvd_published_at"),
         F.lit("2001-02-01").cast("timestamp").alias("nvd_last_modified_at"),
         F.when(_num() % 2 == 0, "Analyzed").alias("nvd_vuln_status"))
 
 
-_TOUCH = f"({_NUM} % 4 <> 0)"
+_TOUCH = f"({_NUM} % 4 <> 0 OR {_NUM} % 3 = 1)"
 _KNOWN = f"({_NUM} % 3 <> 1)"
 add("merge_nvd",
     lambda c: M.merge_nvd(_old_mirror(c), _nvd_changes(c), P.as_of).drop("cvelist_published_at"),
@@ -386,11 +386,11 @@ def _enrichable(c: Ctx):
 
 add("apply_enrichment",
     lambda c: EN.apply_enrichment(
-        _enrichable(c), EN.parse_enrichment_output(_responses(c)).where("candidate_id % 7 <> 0"), c.cvss_scores.select("candidate_id"),
+        _enrichable(c), EN.parse_enrichment_output(_responses(c)).where("candidate_id % 7 <> 0"), c.cvss_scores.select("candidate_id", "base_score"),
         P.as_of, "model").select("id", "vuln_type", "attack_vector", "has_public_poc", "severity_hint", "affected_product",
                                  "enrichment_method", "enrichment_updated_at"),
     f", e AS (SELECT *, id % 7 <> 0 AS tried, id % 7 <> 0 AND {_OK} AS ok, CASE id % 4 WHEN 0 THEN 'network' WHEN 1 THEN NULL ELSE 'local' END AS av, "
-    "id % 4 <> 0 AND EXISTS (SELECT 1 FROM cvss_scores v WHERE v.candidate_id = c.id) AS scored FROM candidates c) "
+    "id % 4 <> 0 AND EXISTS (SELECT 1 FROM cvss_scores v WHERE v.candidate_id = c.id AND v.base_score IS NOT NULL) AS scored FROM candidates c) "
     "SELECT id, CASE WHEN ok THEN 'XSS' ELSE vuln_type END AS vuln_type, CASE WHEN ok THEN coalesce(av, attack_vector) ELSE attack_vector END AS attack_vector, "
     "CASE WHEN has_public_poc THEN TRUE WHEN ok THEN id % 3 = 0 ELSE has_public_poc END AS has_public_poc, "
     "CASE WHEN NOT ok THEN severity_hint WHEN scored THEN NULL WHEN 2 + CASE WHEN av = 'network' THEN 2 ELSE 0 END + CASE WHEN id % 3 = 0 THEN 1 ELSE 0 END >= 4 THEN 'likely-high' "
@@ -427,11 +427,11 @@ add("authoritative_first_by_version",
 
 
 def _aliases(c: Ctx):
-    """Known spellings: every second product of the catalogue."""
+    """Spellings of the whole catalogue, half of which name no entry yet."""
     p = c.driver("part").select("p_brand", "p_name").distinct()
-    return p.where(F.col("p_name").contains("e")).groupBy(
+    return p.groupBy(
         SW.normalize_key(F.concat_ws(" ", "p_brand", "p_name")).alias("alias_normalized")).agg(
-        F.length(F.min("p_name")).cast("long").alias("catalog_id"))
+        F.min(F.when(F.col("p_name").contains("e"), F.length("p_name"))).cast("long").alias("catalog_id"))
 
 
 def _resolved(c: Ctx, vendor):
@@ -462,7 +462,7 @@ def _backfill(c: Ctx):
 
 add("backfill_products", _backfill,
     "SELECT id AS candidate_id, CASE id % 3 WHEN 0 THEN 'own/r' || id WHEN 1 THEN CASE WHEN id % 2 = 0 THEN '12:pkg' ELSE 'pkg' END || id ELSE 'acme/tool' || id END AS product, "
-    "CASE id % 3 WHEN 1 THEN CASE WHEN id % 2 = 0 THEN 'Debian' ELSE 'npm' END ELSE 'github' END AS ecosystem, "
+    "CASE id % 3 WHEN 1 THEN CASE WHEN id % 2 = 0 THEN 'debian' ELSE 'npm' END ELSE 'github' END AS ecosystem, "
     "CASE WHEN id % 3 <> 0 AND id % 5 = 1 THEN 'malware' WHEN id % 3 = 1 AND id % 2 = 0 THEN 'distro' ELSE 'product' END AS kind FROM candidates c "
     "WHERE merged_into IS NULL AND NOT EXISTS (SELECT 1 FROM affected_products a WHERE a.candidate_id = c.id AND a.candidate_id % 2 = 0)")
 
