@@ -134,12 +134,9 @@ def operational_start(published: DataFrame, p: Params) -> DataFrame:
         .alias("op_start"))
 
 
-def operational_start_value(published: DataFrame, p: Params) -> dt.datetime:
-    """The same scalar on the driver, so it reaches the scan as a literal filter."""
-    if p.op_start:
-        return p.op_start
-    row = operational_start(published, p).select(F.unix_seconds("op_start").alias("s")).first()
-    return dt.datetime.fromtimestamp(row["s"], tz=dt.timezone.utc)
+def operational_start_column(published: DataFrame, p: Params) -> Column:
+    """The same value as a scalar subquery; building a report runs no job."""
+    return ts(p.op_start) if p.op_start else operational_start(published, p).scalar()
 
 
 def lag_rows(leads: DataFrame, published: DataFrame, mentions: DataFrame, sources: DataFrame,
@@ -153,7 +150,7 @@ def lag_rows(leads: DataFrame, published: DataFrame, mentions: DataFrame, source
         rows = rows.where((F.col("first_seen_at") >= ts(window_start(p.as_of, "month", months)))
                           & (F.col("first_seen_at") >= ts(p.min_valid_date)))
     else:
-        rows = rows.where(F.col("first_seen_at") >= ts(operational_start_value(published, p)))
+        rows = rows.where(F.col("first_seen_at") >= operational_start_column(published, p))
     # The archive is the very subject of the published lag, so it stays in.
     if drop_backfill and metric != "published":
         rows = exclude_backfill(rows, mentions, sources, p)
@@ -199,8 +196,8 @@ def queue_age(facts: DataFrame, mentions: DataFrame, sources: DataFrame, p: Para
 
 
 def maturity_funnel(facts: DataFrame, published: DataFrame, p: Params) -> DataFrame:
-    start = operational_start_value(published, p)
-    base = facts.where(F.col("funnel_base") & (F.col("first_seen_at") >= ts(start)))
+    start = operational_start_column(published, p)
+    base = facts.where(F.col("funnel_base") & (F.col("first_seen_at") >= start))
     silent, has_cve = ~F.col("nvd_spoke"), F.col("cve_id").isNotNull()
     return base.agg(
         F.count_if(F.col("nvd_spoke")).alias("published"),

@@ -93,8 +93,8 @@ SELECT doc_id, lang, source,
               CASE WHEN doc_id % 3 = 0 THEN concat('cve-2025-', lpad(CAST(doc_id % 97 AS STRING), 7, '0'), ' ') ELSE '' END,
               CASE WHEN doc_id % 7 = 0 THEN concat('GHSA-2345-6789-', CASE WHEN doc_id % 2 = 0 THEN 'cfgh' ELSE 'CFGH' END, ' ') ELSE '' END,
               CASE WHEN doc_id % 11 = 0 THEN concat('zdi-can-', lpad(CAST(doc_id % 100000 AS STRING), 5, '0'), ' ') ELSE '' END,
-              CASE WHEN doc_id % 13 = 0 THEN 'VU#123456 ADV240001 ' ELSE '' END,
-              CASE WHEN doc_id % 17 = 0 THEN concat('PYSEC-2026-', CAST(doc_id AS STRING), ' lets-GO-2024-06-30-release ') ELSE '' END) AS text
+              CASE WHEN doc_id % 13 = 0 THEN 'VU#904217 ADV310077 ' ELSE '' END,
+              CASE WHEN doc_id % 17 = 0 THEN concat('PYSEC-2026-', CAST(doc_id AS STRING), ' so-GO-2031-02-11-recap ') ELSE '' END) AS text
 FROM {documents}"""
 
 # A mention batch: declared ids on half of the rows, re-emissions of every third one.

@@ -522,7 +522,7 @@ add("scan_feed_entries",
         "doc_id", "url", "title", "cve_id", "seen_at", F.size(F.coalesce("extra_ids", F.array().cast("array<string>"))).alias("n_extra"),
         "native_id", F.md5("snippet").alias("snippet")),
     f", d AS (SELECT *, {_CVES_OF} AS cves, list_filter([CASE WHEN doc_id % 11 = 0 THEN 'ZDI-CAN-' || lpad(CAST(doc_id % 100000 AS VARCHAR), 5, '0') END, "
-    "CASE WHEN doc_id % 13 = 0 THEN 'VU#123456' END, CASE WHEN doc_id % 7 = 0 THEN 'GHSA-2345-6789-cfgh' END, CASE WHEN doc_id % 13 = 0 THEN 'ADV240001' END, "
+    "CASE WHEN doc_id % 13 = 0 THEN 'VU#904217' END, CASE WHEN doc_id % 7 = 0 THEN 'GHSA-2345-6789-cfgh' END, CASE WHEN doc_id % 13 = 0 THEN 'ADV310077' END, "
     "CASE WHEN doc_id % 17 = 0 THEN 'PYSEC-2026-' || doc_id END], lambda x: x IS NOT NULL) AS others FROM planted) "
     "SELECT doc_id, 'https://feed.example/' || doc_id AS url, 'Entry ' || doc_id AS title, "
     "unnest(CASE WHEN len(cves) > 0 THEN cves WHEN len(others) > 0 THEN [NULL] ELSE [] END) AS cve_id, "
