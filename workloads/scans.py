@@ -571,6 +571,20 @@ def _sink(c: Ctx):
     return c.spark.read.schema("software STRING, pending BIGINT").option("header", "true").csv(path)
 
 
+def _document(c: Ctx):
+    """All products with their counts as a JSON document, data and meta read back."""
+    rows = R.pending_breakdown(c.facts, c.affected_products)
+    path = sinks.sink_document(rows, scratch_path(c.spark, "document"), rows.agg(F.sum("n").alias("n")))
+    data = c.spark.read.schema(rows.schema).json(f"{path}/data")
+    return data.unionByName(c.spark.read.schema("n BIGINT").json(f"{path}/meta").select(
+        F.lit("meta").alias("dim"), F.lit("sum").alias("key"), "n"))
+
+
+add("sink_document", _document,
+    ", pend AS (SELECT * FROM facts WHERE pending), counted AS (SELECT 'eco' AS dim, coalesce(ecosystem, '(sin ecosistema)') AS key, "
+    "count(DISTINCT p.id) AS n FROM pend p JOIN affected_products a ON a.candidate_id = p.id AND a.kind IS DISTINCT FROM 'malware' GROUP BY 2 "
+    "UNION ALL SELECT 'maturity', maturity, count(*) FROM pend GROUP BY 2) "
+    "SELECT * FROM counted UNION ALL SELECT 'meta', 'sum', CAST(sum(n) AS BIGINT) FROM counted")
 add("sink_rows", _sink,
     "SELECT a.product AS software, count(DISTINCT f.id) AS pending FROM facts f JOIN affected_products a ON a.candidate_id = f.id "
     "WHERE f.pending GROUP BY 1 ORDER BY pending DESC, software LIMIT 200")
