@@ -287,11 +287,12 @@ def candidate_detail(key: str, *, candidates: DataFrame, identifiers: DataFrame,
     A CVE key finds the oldest live candidate; an id key also reaches tombstones.
     """
     scope = F.lit(True) if include_historical else operational_candidate(p)
-    by_cve = (candidates.where((F.col("cve_id") == key.upper()) & F.col("merged_into").isNull()
-                               & scope).orderBy("first_seen_at", "id").select("id").first())
-    cid = by_cve["id"] if by_cve else key
-    mine = candidates.where((F.col("id").cast("string") == str(cid)) & scope)
-    same = F.col("candidate_id").cast("string") == str(cid)
+    by_cve = (candidates.where((F.col("cve_id") == str(key).upper()) & F.col("merged_into").isNull()
+                               & scope).orderBy("first_seen_at", "id").limit(1)
+              .select(F.col("id").cast("string")).scalar())
+    wanted = F.coalesce(by_cve, F.lit(str(key)))
+    mine = candidates.where((F.col("id").cast("string") == wanted) & scope)
+    same = F.col("candidate_id").cast("string") == wanted
     order = [c for c in ("id", "content_key") if c in mentions.columns]
     dim = sources.select(F.col("id").alias("sid"), F.col("name").alias("source"))
     timeline = timeline_last(mentions.where(same), 500, order).join(
