@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from functools import partial
+from functools import lru_cache, partial
+from itertools import chain, islice, repeat
 from math import log
 
 import numpy as np
@@ -17,7 +18,7 @@ from advisorylake.llm.texts import Codes, alnum_words, blocks, lower_ascii, nest
 from advisorylake.session import Scratch
 
 #: Labelled rows (the first by the hash of their id) from which the model is learned.
-LABELLED_ROWS = 20_000
+LABELLED_ROWS = 15_000
 #: Lengths of stems, sizes of the model's parts, and the least number of toxic documents of a stem.
 SHORTEST, LONGEST = 4, 12
 CANDIDATES, STEMS, CUES = 50_000, 1000, 2000
@@ -104,38 +105,64 @@ class Trie:
 
 
 class Matches:
-    """Best match of every word that a task has met, by the word's number."""
+    """Best match of every word that a worker has met, by the word's number."""
 
-    def __init__(self, trie: Trie) -> None:
-        self.trie, self.codes = trie, Codes()
-        self.stem, self.edits = np.zeros(0, np.int32), np.zeros(0, np.int8)
+    def __init__(self, stems: Iterable[str]) -> None:
+        self.trie = Trie(stems)
+        self.forget()
+
+    def forget(self) -> None:
+        # The last entry stands for tokens that are no words.
+        self.codes, self.stem, self.edits = Codes(), np.full(1, -1, np.int32), np.zeros(1, np.int8)
 
-    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Stem (-1: none) and edits of each word."""
-        if len(self.stem) > REMEMBERED:
-            self.__init__(self.trie)
+    def learn(self, words: list[bytes]) -> np.ndarray:
+        """Stem (-1: none) of each word."""
         code = self.codes.encode(words)
-        fresh = [w.decode(errors="replace") for w in self.codes.words()[len(self.stem):]] if len(self.codes.of) > len(self.stem) else []
-        found = [(self.trie.find(w) if self.trie.possible(w) else None) or (-1, 0) for w in fresh]
+        fresh = islice(self.codes.of, len(self.stem) - 1, None)
+        found = [(self.trie.find(w) if self.trie.possible(w) else None) or (-1, 0)
+                 for w in map(partial(bytes.decode, errors="replace"), fresh)]
         if found:
             stem, edits = zip(*found)
-            self.stem = np.concatenate([self.stem, np.array(stem, np.int32)])
-            self.edits = np.concatenate([self.edits, np.array(edits, np.int8)])
+            self.stem = np.concatenate([self.stem[:-1], np.array(stem, np.int32), [-1]])
+            self.edits = np.concatenate([self.edits[:-1], np.array(edits, np.int8), [0]])
+        return self.stem[code]
+
+    def known(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Stem and edits of tokens whose words have been learned."""
+        code = np.fromiter(map(self.codes.of.get, tokens, repeat(-1)), np.int64, len(tokens))
         return self.stem[code], self.edits[code]
 
 
-def _stems_of(text: bytes | None) -> set[str]:
-    words = {w.decode(errors="replace") for w in set(alnum_words(plain_text(text or b"")))}
-    return {w[:n] for w in words for n in range(SHORTEST, min(len(w), LONGEST) + 1)}
+@lru_cache(maxsize=1)
+def _matches(stems: tuple[str, ...]) -> Matches:
+    """One memory for all tasks of a worker."""
+    return Matches(stems)
+
+
+class Prefixes:
+    """Stems that the words of a text begin with: all of them, or the wanted ones."""
+
+    def __init__(self, wanted: frozenset[str] | None) -> None:
+        self.wanted, self.of_word = wanted, {}
+
+    def of(self, text: bytes | None) -> set[str]:
+        words = set(alnum_words(plain_text(text or b"")))
+        if len(self.of_word) > REMEMBERED:
+            self.of_word.clear()
+        for word in words - self.of_word.keys():
+            letters = word.decode(errors="replace")
+            stems = {letters[:n] for n in range(SHORTEST, min(len(letters), LONGEST) + 1)}
+            self.of_word[word] = tuple(stems if self.wanted is None else stems & self.wanted)
+        return set(chain.from_iterable(map(self.of_word.__getitem__, words)))
 
 
 def _stem_batches(batches: Iterator[pa.RecordBatch], wanted: Broadcast | None) -> Iterator[pa.RecordBatch]:
     """Documents per stem: of all stems, or of the wanted ones."""
     total: Counter[str] = Counter()
+    prefixes = Prefixes(wanted.value if wanted else None)
     for batch in batches:
         for text in utf8(batch.column("text")):
-            stems = _stems_of(text)
-            total.update(stems & wanted.value if wanted else stems)
+            total.update(prefixes.of(text))
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())],
                                      ["stem", "n"])
 
@@ -177,25 +204,31 @@ def _surprise(toxic: int, clean: int, base: float) -> float:
     return toxic * log(share / base) + (clean * log((1 - share) / (1 - base)) if clean else 0.0)
 
 
-def occurrences(text: bytes | None, matches: Matches) -> Iterator[tuple[int, int, set[bytes]]]:
-    """(stem, edits, context) of each matched word; a quotation mark nearby is part of the context."""
-    plain = plain_text(text or b"")
-    stem, _ = matches.of(alnum_words(plain))
-    if not (stem >= 0).any():
-        return
-    tokens = _TOKENS(plain)
-    stem, edits = matches.of(tokens)
-    for at in np.flatnonzero(stem >= 0).tolist():
-        around = tokens[max(0, at - CONTEXT):at] + tokens[at + 1:at + 1 + CONTEXT]
-        yield int(stem[at]), int(edits[at]), set(around)
+def occurrences(texts: list[bytes], matches: Matches) -> Iterator[list[tuple[int, int, set[bytes]]]]:
+    """For each text (stem, edits, context) of its matched words.
+
+    A quotation mark nearby is part of the context.
+    """
+    if len(matches.stem) > REMEMBERED:
+        matches.forget()
+    plain = [plain_text(t) for t in texts]
+    words = [alnum_words(t) for t in plain]
+    stem = matches.learn(list(chain.from_iterable(words)))
+    hit = np.bincount(np.repeat(np.arange(len(words)), list(map(len, words))), weights=stem >= 0, minlength=len(words)) > 0
+    for text, some in zip(plain, hit.tolist()):
+        tokens = _TOKENS(text) if some else []
+        stem, edits = matches.known(tokens)
+        yield [(int(stem[at]), int(edits[at]), set(tokens[max(0, at - CONTEXT):at] + tokens[at + 1:at + 1 + CONTEXT]))
+               for at in np.flatnonzero(stem >= 0).tolist()]
 
 
 def _cue_batches(batches: Iterator[pa.RecordBatch], stems: Broadcast) -> Iterator[pa.RecordBatch]:
-    matches = Matches(Trie(stems.value))
+    matches = _matches(tuple(stems.value))
     total: dict[bool, Counter[bytes]] = {True: Counter(), False: Counter()}
-    for batch in batches:
-        for text, toxic in zip(utf8(batch.column("text")), batch.column("toxic").to_pylist()):
-            for _, _, around in occurrences(text, matches):
+    for block in blocks(batches, "text"):
+        texts = [t or b"" for t in utf8(block.column("text"))]
+        for found, toxic in zip(occurrences(texts, matches), block.column("toxic").to_pylist()):
+            for _, _, around in found:
                 total[toxic].update(around | {b""})
     words = sorted(total[True].keys() | total[False].keys())
     yield pa.RecordBatch.from_arrays(
@@ -223,12 +256,12 @@ def learn_cues(labelled: DataFrame, stems: dict[str, float]) -> dict[bytes, floa
 N_FEATURES = 9
 
 
-def document_features(text: bytes | None, matches: Matches, odds: np.ndarray, cues: dict[bytes, float]) -> list[float]:
+def document_features(size: int, found: list, odds: np.ndarray, cues: dict[bytes, float]) -> list[float]:
     """For exact and for misspelt matches: best log odds, context score there, their number, and the evidence of all
     distinct stems; and the length of the text, as long texts meet stems by chance."""
     best, context, times = [0.0, 0.0], [0.0, 0.0], [0, 0]
     met: tuple[set[int], set[int]] = (set(), set())
-    for stem, edits, around in occurrences(text, matches):
+    for stem, edits, around in found:
         nearby = min(3.0, max(-3.0, sum(cues.get(w, 0.0) for w in around)))
         times[edits] += 1
         met[edits].add(stem)
@@ -236,14 +269,15 @@ def document_features(text: bytes | None, matches: Matches, odds: np.ndarray, cu
             best[edits], context[edits] = float(odds[stem]), nearby
     evidence = [min(20.0, float(sum(odds[s] for s in stems))) for stems in met]
     return [x for k in (0, 1) for x in (best[k], context[k], float(np.log1p(times[k])), evidence[k])] + [
-        float(np.log1p(len(text or b"")))]
+        float(np.log1p(size))]
 
 
 def _feature_batches(batches: Iterator[pa.RecordBatch], model: Broadcast, carry: list[str]) -> Iterator[pa.RecordBatch]:
     stems, cues = model.value
-    matches, odds = Matches(Trie(stems)), np.array(list(stems.values()))
+    matches, odds = _matches(tuple(stems)), np.array(list(stems.values()))
     for block in blocks(batches, "text"):
-        found = [document_features(t, matches, odds, cues) for t in utf8(block.column("text"))]
+        texts = [t or b"" for t in utf8(block.column("text"))]
+        found = [document_features(len(t), hits, odds, cues) for t, hits in zip(texts, occurrences(texts, matches))]
         lists = pa.array(np.array(found, np.float64).ravel())
         yield pa.RecordBatch.from_arrays([*(block.column(c) for c in carry), nested(np.full(len(block), N_FEATURES), lists)],
                                          [*carry, "features"])
