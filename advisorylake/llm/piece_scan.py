@@ -27,7 +27,7 @@ from advisorylake.llm.texts import Codes, blocks, nested, run_starts, utf8
 from advisorylake.session import Scratch
 
 MODEL = "piece_bpe_32k.model"
-CHUNK_CHARS = 1 << 15
+CHUNK_CHARS = 1 << 16
 #: Characters of new words solved together, and words a worker remembers between blocks.
 BATCH_CHARS = 200_000
 REMEMBERED = 400_000
@@ -315,10 +315,6 @@ class Chunk:
         self.model, self.a, self.b = model, left, left + size
         self.points, self.chars = model.char_numbers(text)
         self.cut = np.append(model.certain_cuts(self.chars), True)
-        whole = Lattice.__new__(Lattice)
-        whole.stop = np.full(len(self.chars), len(self.chars))
-        whole._edges(model, self.chars)
-        self.edges = whole
         self.entries, self.exits = self._states(self.a), self._states(self.b)
 
     def _states(self, border: int) -> list[tuple[int, int, int]]:
@@ -328,9 +324,13 @@ class Chunk:
         """
         if border in (0, len(self.chars)):
             return [(border, border, -1)]
-        e = self.edges
-        hit = np.flatnonzero((e.start < border) & (e.end >= border))
-        return sorted(zip(e.start[hit].tolist(), e.end[hit].tolist(), e.piece[hit].tolist()))
+        low = max(0, border - self.model.longest)
+        near = self.chars[low:border + self.model.longest]
+        e = Lattice.__new__(Lattice)
+        e.stop = np.full(len(near), len(near))
+        e._edges(self.model, near)
+        hit = np.flatnonzero((e.start < border - low) & (e.end >= border - low))
+        return sorted(zip((e.start[hit] + low).tolist(), (e.end[hit] + low).tolist(), e.piece[hit].tolist()))
 
     def paths(self, entry: tuple[int, int, int], stop: int | None = None) -> Lattice | None:
         """The lattice from the end of ``entry`` on, as positions from there."""
@@ -345,16 +345,18 @@ class Chunk:
     def matrix(self) -> np.ndarray:
         """Weight (0 or minus infinity) from each state at the left border to each at the right.
 
-        Entries agree behind the first certain cut after all of them, so only the way to
-        it is solved for each; a chunk without such a cut is solved for each entry.
+        Entries agree behind the first certain cut after all of them, and exits depend only on the
+        last one before all of them; between two certain cuts there is always a path. So only the two ends
+        of a chunk are solved; one without such a cut is solved whole for each entry.
         """
         after = max(end for _, end, _ in self.entries)
+        before = min(start for start, _, _ in self.exits)
         meet = after + int(np.argmax(self.cut[after:]))
-        if meet < min(start for start, _, _ in self.exits):
-            common = (meet, meet, -1)
-            lattice = self.paths(common)
+        if meet <= before:
+            part = before - int(np.argmax(self.cut[meet:before + 1][::-1]))
+            lattice = self.paths((part, part, -1))
             left = [self._arrives(entry, meet) for entry in self.entries]
-            right = [self._reaches(lattice, common, exit_) for exit_ in self.exits]
+            right = [self._reaches(lattice, (part, part, -1), exit_) for exit_ in self.exits]
             open_ = np.outer(left, right)
         else:
             open_ = np.zeros((len(self.entries), len(self.exits)), bool)
