@@ -31,6 +31,8 @@ CHUNK_CHARS = 1 << 16
 #: Characters of new words solved together, and words a worker remembers between blocks.
 BATCH_CHARS = 200_000
 REMEMBERED = 400_000
+#: Rows decoded at once.
+DECODED_ROWS = 500
 SPACE = "▁"
 _NEVER = np.int64(1) << 40
 _WORDS = re.compile(rb" +[^ ]*").findall
@@ -490,7 +492,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
 def _decode_batches(batches: Iterator[pa.RecordBatch], pieces: Broadcast) -> Iterator[pa.RecordBatch]:
     out = pieces.value
-    for batch in batches:
+    for batch in (b.slice(i, DECODED_ROWS) for b in batches for i in range(0, len(b), DECODED_ROWS)):
         texts = []
         for ids in batch.column("ids"):
             text = b"".join(map(out.__getitem__, ids.values.to_numpy().tolist())) if ids.is_valid else b""
