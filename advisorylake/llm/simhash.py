@@ -23,24 +23,30 @@ SEGMENTS = ((0, 32), (32, 64))
 _SLICE = 1 << 16
 
 
-def fingerprint(text: bytes | None, width: int = SHINGLE_WORDS) -> int:
-    """64 majority bits over the XXH64 of all word shingles; 0 for a text without words."""
+def shingle_hashes(text: bytes | None, width: int) -> Iterator[np.ndarray]:
+    """XXH64 of all word shingles, in slices; nothing for a text without words."""
     words = space_words(lower_ascii(text or b""))
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     width = min(width, len(words))
     total = len(words) - width + 1
-    ones = np.zeros(64, np.int64)
     for a in range(0, total, _SLICE):
         b = min(a + _SLICE, total)
         cuts = map(slice, starts[a:b].tolist(), ends[a + width - 1:b + width - 1].tolist())
-        h = np.fromiter(map(xxhash.xxh64_intdigest, map(joined.__getitem__, cuts), repeat(SEED)),
-                        np.uint64, b - a)
+        yield np.fromiter(map(xxhash.xxh64_intdigest, map(joined.__getitem__, cuts), repeat(SEED)),
+                          np.uint64, b - a)
+
+
+def fingerprint(text: bytes | None, width: int = SHINGLE_WORDS) -> int:
+    """64 majority bits over the XXH64 of all word shingles; 0 for a text without words."""
+    ones, total = np.zeros(64, np.int64), 0
+    for h in shingle_hashes(text, width):
         bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64)
+        total += len(h)
     return int(np.packbits(2 * ones > total, bitorder="little").view(np.uint64)[0])
 
 
