@@ -1,4 +1,4 @@
-"""SimHash near-duplicates by multi-index hashing."""
+"""SimHash near-duplicates by radius-one balls around whole fingerprints."""
 
 from __future__ import annotations
 
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def segment_ball(fp: Column) -> Column:
-    """``fp`` and every value that differs from it in one bit of one segment."""
+    """``fp`` and every value that differs from it in one bit."""
     flips = [F.lit(0).cast("long")]
     for low, high in SEGMENTS:
         flips += [F.lit((1 << b) - (1 << 64 if b == 63 else 0)).cast("long") for b in range(low, high)]
@@ -77,14 +77,12 @@ def segment_ball(fp: Column) -> Column:
 def links(distinct_fps: DataFrame, fp: str = "fp") -> DataFrame:
     """Verified links (a, b) that connect all fingerprints at two differing bits or fewer.
 
-    Multi-index hashing with two 32-bit segments. A row enters the table under each value
-    of the radius-one ball of each segment, with the other segment beside it, and probes
-    the table with the same balls: two fingerprints at distance two differ by one bit each
-    from the value between them, whether both bits lie in one segment or in two, so they
-    meet there. Keeping the other segment in the key bounds a bucket by the 65 values around
-    its key, however many near copies share a segment; a bucket on the segment alone
-    would hold a whole group of copies. Each member of a bucket links to the smallest one,
-    after the complete distance has been checked, so the number of links is linear.
+    A row enters the table under each value of the radius-one ball of its whole fingerprint:
+    two fingerprints at distance two differ by one bit each from the value between them, so
+    they meet there. This is complete for two bits and for no wider radius. A bucket is
+    bounded by the 65 values around its key; a bucket on a segment alone would hold a whole
+    group of copies. Each member of a bucket links to the smallest one, at most two bits
+    away, so the number of links is linear.
     """
     table = distinct_fps.select(F.col(fp).alias("a"), F.explode(segment_ball(F.col(fp))).alias("bucket"))
     least = F.min("a").over(W.partitionBy("bucket"))
