@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import random
 import zlib
 
@@ -86,3 +87,7 @@ def test_edge_rows_and_missing_labels(spark):
     assert lx.toxicity(docs.limit(0), marks).count() == 0
     assert {r.predicted for r in lx.toxicity(docs, marks.limit(0)).collect()} == {0}
     assert {r.predicted for r in lx.toxicity(docs, marks.where("toxic = 1")).collect()} == {1}
+
+
+def test_learns_from_twenty_thousand_labelled_rows():
+    assert inspect.signature(lx.toxicity).parameters["labelled_rows"].default >= 20_000
