@@ -9,28 +9,31 @@ its left border to those at its right border; a state is the piece that reaches
 * Texts of up to CHUNK_CHARS characters are one chunk with one state on either side. Where no piece has the two
   characters around a place, a cut is certain: the lattice falls apart into short runs, and equal words are solved once.
 * Longer texts are dealt out as chunks. Each yields its matrix; the matrices of a text, products of
-  which are associative, give the state at every border; then each chunk is traced back on its own.
+  which are associative, are combined as a tree; going down it again gives the state at every border,
+  and then each chunk is traced back on its own.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import cache, partial
+from functools import cache, partial, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from advisorylake.llm.texts import Codes, blocks, nested, run_starts, utf8
+from advisorylake.llm.texts import Codes, blocks, give_back, nested, run_starts, utf8
 from advisorylake.session import Scratch
 
 MODEL = "piece_bpe_32k.model"
-CHUNK_CHARS = 1 << 16
+CHUNK_CHARS = 1 << 14
+#: Neighbouring matrices multiplied by one task at a level of the tree, and levels: enough for the longest text Spark holds.
+FAN, LEVELS = 64, 3
 #: Characters of new words solved together, and words a worker remembers between blocks.
 BATCH_CHARS = 200_000
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: Rows decoded at once.
 DECODED_ROWS = 500
 SPACE = "▁"
@@ -274,7 +277,15 @@ def _words(model: Model, text: bytes) -> list[bytes]:
 
 def _encode_batches(batches: Iterator[pa.RecordBatch], model: Broadcast, path: str) -> Iterator[pa.RecordBatch]:
     held = _memory(path)
-    for block in blocks(batches, "text"):
+    try:
+        yield from _encode_blocks(blocks(batches, "text"), model, held)
+    finally:
+        held[0] = _Memory()
+        give_back()
+
+
+def _encode_blocks(found: Iterator[pa.RecordBatch], model: Broadcast, held: list[_Memory]) -> Iterator[pa.RecordBatch]:
+    for block in found:
         if len(held[0].n) > REMEMBERED:
             held[0] = _Memory()
         memory = held[0]
@@ -413,7 +424,7 @@ def _matrix_batches(batches: Iterator[pa.RecordBatch], model: Broadcast) -> Iter
         m = chunk.matrix()
         yield pa.RecordBatch.from_arrays(
             [row.column("row"), row.column("chunk"), pa.array([m.shape[1]], pa.int64()), pa.array([(m == 0).tobytes()], pa.binary())],
-            ["row", "chunk", "width", "matrix"])
+            ["row", "place", "width", "matrix"])
 
 
 def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -421,29 +432,56 @@ def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None, :, :]).max(axis=1)
 
 
-def border_states(matrices: list[np.ndarray]) -> list[int]:
-    """State at each border of the best path; the first and the last border have one state."""
-    ahead = [np.zeros((1, 1))]
+def border_states(matrices: list[np.ndarray], entry: int = 0, exit_: int = 0) -> list[int]:
+    """State at each border of the best path from state ``entry`` of the first to ``exit_`` of the last."""
+    start = np.full((1, len(matrices[0])), -np.inf)
+    start[0, entry] = 0.0
+    ahead = [start]
     for m in matrices:
         ahead.append(times(ahead[-1], m))
-    states = [0]
+    states = [exit_]
     for m, reach in zip(reversed(matrices), reversed(ahead[:-1])):
         states.append(int(np.argmax(reach[0] + m[:, states[-1]])))
     return states[::-1]
 
 
-def _combine(table: pa.Table) -> pa.Table:
-    """Border states of one text from the small matrices of its chunks."""
-    table = table.sort_by("chunk")
-    matrices = []
-    for width, data in zip(table.column("width").to_pylist(), table.column("matrix").to_pylist()):
-        open_ = np.frombuffer(data, bool).reshape(-1, width)
-        matrices.append(np.where(open_, 0.0, -np.inf))
-    states = border_states(matrices)
-    return pa.table({"row": table.column("row"), "chunk": table.column("chunk"),
+def _matrices(table: pa.Table) -> list[np.ndarray]:
+    pairs = zip(table.column("width").to_pylist(), table.column("matrix").to_pylist())
+    return [np.where(np.frombuffer(data, bool).reshape(-1, width), 0.0, -np.inf) for width, data in pairs]
+
+
+def _product(key: tuple, table: pa.Table) -> pa.Table:
+    """The matrix of a run of at most FAN neighbours."""
+    found = reduce(times, _matrices(table.sort_by("place")))
+    return pa.table({"row": pa.array([key[0].as_py()], pa.int64()), "place": pa.array([key[1].as_py()], pa.int64()),
+                     "width": pa.array([found.shape[1]], pa.int64()), "matrix": pa.array([(found == 0).tobytes()], pa.binary())})
+
+
+def _inner_states(key: tuple, table: pa.Table) -> pa.Table:
+    """States at the borders inside a run, from those at its two ends."""
+    table = table.sort_by("place")
+    states = border_states(_matrices(table), table.column("entry")[0].as_py(), table.column("exit")[0].as_py())
+    return pa.table({"row": table.column("row"), "place": table.column("place"),
                      "entry": pa.array(states[:-1], pa.int64()), "exit": pa.array(states[1:], pa.int64())})
 
 
+def _all_states(matrices: DataFrame, scratch: Scratch) -> DataFrame:
+    """(row, place, entry, exit) of every chunk, by products up a tree and states down it.
+
+    No task sees more than FAN matrices of a text, however long it is.
+    """
+    above = F.expr(f"place div {FAN}")
+    levels = [scratch.write(matrices, "matrices")]
+    for _ in range(LEVELS - 1):
+        levels.append(scratch.write(levels[-1].withColumn("above", above).groupBy("row", "above").applyInArrow(
+            _product, levels[0].schema), "products"))
+    ends = levels[-1].select("row", F.lit(0).cast("long").alias("place")).distinct().selectExpr("row", "place", "0L AS entry", "0L AS exit")
+    for level in reversed(levels):
+        ends = level.withColumn("above", above).join(ends.withColumnRenamed("place", "above"), ["row", "above"]).groupBy(
+            "row", "above").applyInArrow(_inner_states, "row bigint, place bigint, entry bigint, exit bigint")
+    return ends
+
+
 def _trace_batches(batches: Iterator[pa.RecordBatch], model: Broadcast) -> Iterator[pa.RecordBatch]:
     for row, chunk in _chunks_of(batches, model.value):
         ids = chunk.ids(row.column("entry")[0].as_py(), row.column("exit")[0].as_py())
@@ -481,8 +519,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         partial(_chunk_batches, margin=model.longest, size=chunk_chars),
         f"row bigint, id {kind}, chunk bigint, left bigint, size bigint, text string").repartition("row", "chunk"), "chunks")
     matrices = chunks.select("row", "chunk", "left", "size", "text").mapInArrow(
-        partial(_matrix_batches, model=sent), "row bigint, chunk bigint, width bigint, matrix binary")
-    states = matrices.groupBy("row").applyInArrow(_combine, "row bigint, chunk bigint, entry bigint, exit bigint")
+        partial(_matrix_batches, model=sent), "row bigint, place bigint, width bigint, matrix binary")
+    states = _all_states(matrices, scratch).withColumnRenamed("place", "chunk")
     traced = chunks.join(states, ["row", "chunk"]).mapInArrow(
         partial(_trace_batches, model=sent), f"row bigint, id {kind}, chunk bigint, ids array<int>")
     parts = F.array_sort(F.collect_list(F.struct("chunk", "ids")))

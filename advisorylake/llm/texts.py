@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
@@ -11,7 +12,7 @@ import pyarrow as pa
 import xxhash
 
 #: Text bytes handled at once by one task; a longer single text is a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 #: bytes.translate tables: A-Z lowered, and (for ``alnum_words``) every other ASCII byte
 #: that is no digit or letter turned into a space.
@@ -47,9 +48,25 @@ def utf8(column: pa.Array) -> Iterator[bytes | None]:
         yield None if valid and not valid[i] else bytes(view[at[i]:at[i + 1]])
 
 
+def give_back() -> None:
+    """Return freed memory to the system; a reused worker would keep the peak of every step it ran."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text: str,
            size: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the incoming batches whose texts take about ``size`` bytes together."""
+    try:
+        yield from _slices(batches, text, size)
+    finally:
+        give_back()
+
+
+def _slices(batches: Iterator[pa.RecordBatch], text: str, size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lengths = batch.column(text)
         if pa.types.is_large_string(lengths.type):
@@ -63,6 +80,7 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str,
             stop = max(start + 1, int(np.searchsorted(ends, base + size, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+        give_back()
 
 
 class Codes:

@@ -73,6 +73,17 @@ def test_table_and_round_trip(spark):
     assert texts == sorted(((i, (t or "").replace("▁", " ")) for i, t, _ in rows), key=repr)
 
 
+def test_texts_of_many_chunks(spark, monkeypatch):
+    """Chunks of production size, and a tree of several levels."""
+    rnd = random.Random(4)
+    rows = [(1, random_text(rnd, 90_000)), (2, "a" * 70_000), (3, "x" * ps.CHUNK_CHARS), (4, "the " * 9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(ps, "FAN", 3)
+    assert all(len(t) >= ps.CHUNK_CHARS for _, t in rows) and len(rows[0][1]) > 9 * ps.CHUNK_CHARS
+    for r in ps.encode(docs, PATH).collect():
+        assert list(r.ids) == LIBRARY.encode(rows[r.doc_id - 1][1]), r.doc_id
+
+
 def test_empty_table(spark):
     assert ps.encode(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
 

@@ -6,7 +6,7 @@ import sentencepiece
 
 import corpus_pipeline
 from advisorylake.llm import importance
-from tests.llm import test_anchors, test_postings, test_simhash
+from tests.llm import test_anchors, test_near_copies, test_postings
 from tests.llm.test_piece_scan import PATH
 
 
@@ -18,8 +18,8 @@ def test_stages_match_plain_versions(spark, sf_dir):
     bad = {r.doc_id for r in labels.where("quality = 0").collect()}
     assert not bad & drawn and len(drawn) > 0.7 * docs.count()
 
-    fps = [(i, test_simhash.plain_fingerprint(t)) for i, t in rows]
-    rows = [(i, t) for (i, t), c in zip(rows, test_simhash.plain_components(fps)) if i == c]
+    lone = set(test_near_copies.plain_survivors(rows))
+    rows = [(i, t) for i, t in rows if i in lone]
     cut = {i: (n, gone, kept) for i, n, gone, kept in test_anchors.plain(rows)}
     rows = [(i, cut[i][2] if cut[i][1] else t) for i, t in rows if not cut[i][1] or len(cut[i][1]) < cut[i][0]]
     items = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
