@@ -80,3 +80,53 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
        CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
        base_failed, NOT base_failed AND NOT rejected AS kept
 FROM judged JOIN hosts ON judged.source IS NOT DISTINCT FROM hosts.source"""
+
+
+OP13 = rf"""
+WITH RECURSIVE
+steps AS (
+  SELECT 0 AS k, b, b AS v FROM (SELECT unnest(range(256)) AS b)
+  UNION ALL SELECT k + 1, b, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM steps WHERE k < 8),
+bytes AS (SELECT b, v FROM steps WHERE k = 8),
+texts AS (
+  SELECT row_number() OVER () AS rid, doc_id, {_ALNUM_WORDS} AS w, true AS raw FROM documents
+  UNION ALL SELECT -row_number() OVER (), NULL, {_ALNUM_WORDS}, false FROM benchmark),
+places AS (SELECT rid, raw, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM texts, (SELECT unnest([1, 2, 3]) AS k)),
+grams AS (SELECT rid, raw, array_to_string(w[i:i + k - 1], ' ') AS gram FROM places),
+different AS (SELECT gram, strlen(gram) AS n, hex(gram) AS digits FROM (SELECT DISTINCT gram FROM grams)),
+contributions AS (
+  SELECT 0 AS d, b, v FROM bytes
+  UNION ALL SELECT d + 1, c.b, xor(c.v >> 8, bytes.v) FROM contributions c JOIN bytes ON bytes.b = c.v & 255
+  WHERE d + 1 < (SELECT max(n) FROM different)),
+zeros AS (
+  SELECT 0 AS n, 4294967295 AS v
+  UNION ALL SELECT n + 1, xor(z.v >> 8, bytes.v) FROM zeros z JOIN bytes ON bytes.b = z.v & 255
+  WHERE n < (SELECT max(n) FROM different)),
+gram_bytes AS (
+  SELECT gram, n - 1 - i AS d, CAST('0x' || substr(digits, 2 * i + 1, 2) AS BIGINT) AS b
+  FROM (SELECT *, unnest(range(n)) AS i FROM different)),
+sums AS (SELECT gram, bit_xor(v) AS v FROM gram_bytes JOIN contributions USING (d, b) GROUP BY gram),
+buckets AS (
+  SELECT gram, xor(sums.v, xor(zeros.v, 4294967295)) % 10000 AS bucket
+  FROM sums JOIN different USING (gram) JOIN zeros USING (n)),
+placed AS (SELECT rid, raw, bucket, count(*) AS n FROM grams JOIN buckets USING (gram) GROUP BY rid, raw, bucket),
+counts AS (
+  SELECT bucket, CAST(sum(n) FILTER (raw) AS DOUBLE) AS s, CAST(coalesce(sum(n) FILTER (NOT raw), 0) AS DOUBLE) AS t
+  FROM placed GROUP BY bucket),
+totals AS (SELECT sum(s) AS s_all, sum(t) AS t_all FROM counts),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((t + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000)))) AS BIGINT) AS gain
+  FROM counts, totals WHERE s IS NOT NULL),
+weights AS (
+  SELECT rid, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight
+  FROM placed JOIN gains USING (bucket) WHERE raw GROUP BY rid),
+scored AS (
+  SELECT doc_id, len(w) >= 20 AS long_enough, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8)
+           AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM texts LEFT JOIN weights USING (rid) WHERE texts.raw),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY long_enough ORDER BY score DESC, doc_id NULLS LAST, n_features) AS place FROM scored)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN long_enough AND place <= (SELECT count(*) * 5 // 100 FROM scored WHERE long_enough) THEN place END AS rank
+FROM ranked"""

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from advisorylake.llm import anchors, host_rules, importance, lexicon, oracles, piece_scan, postings, rendezvous, simhash, token_counts, tool_calls
+from advisorylake.llm import (
+    anchors, host_rules, importance, lexicon, oracles, piece_scan, postings, rendezvous, simhash, target_resampling, token_counts, tool_calls)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -111,4 +112,13 @@ def op10_piece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.tokens(spark, table(spark, sf_dir, "documents"), sf_dir)
 
 
+@query
+def op13_position_crc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "n_features", "weight", "score", "rank")
+
+
+ORACLES["op13_position_crc"] = oracles.OP13
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
