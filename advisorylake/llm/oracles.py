@@ -87,29 +87,29 @@ WITH RECURSIVE
 steps AS (
   SELECT 0 AS k, b, b AS v FROM (SELECT unnest(range(256)) AS b)
   UNION ALL SELECT k + 1, b, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM steps WHERE k < 8),
-bytes AS (SELECT b, v FROM steps WHERE k = 8),
-texts AS (
+bytes AS MATERIALIZED (SELECT b, v FROM steps WHERE k = 8),
+texts AS MATERIALIZED (
   SELECT row_number() OVER () AS rid, doc_id, {_ALNUM_WORDS} AS w, true AS raw FROM documents
   UNION ALL SELECT -row_number() OVER (), NULL, {_ALNUM_WORDS}, false FROM benchmark),
 places AS (SELECT rid, raw, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM texts, (SELECT unnest([1, 2, 3]) AS k)),
-grams AS (SELECT rid, raw, array_to_string(w[i:i + k - 1], ' ') AS gram FROM places),
-different AS (SELECT gram, strlen(gram) AS n, hex(gram) AS digits FROM (SELECT DISTINCT gram FROM grams)),
-contributions AS (
+grams AS MATERIALIZED (SELECT rid, raw, array_to_string(w[i:i + k - 1], ' ') AS gram, count(*) AS times FROM places GROUP BY ALL),
+different AS MATERIALIZED (SELECT row_number() OVER () AS gid, gram, strlen(gram) AS n, hex(gram) AS digits FROM (SELECT DISTINCT gram FROM grams)),
+contributions AS MATERIALIZED (
   SELECT 0 AS d, b, v FROM bytes
   UNION ALL SELECT d + 1, c.b, xor(c.v >> 8, bytes.v) FROM contributions c JOIN bytes ON bytes.b = c.v & 255
   WHERE d + 1 < (SELECT max(n) FROM different)),
-zeros AS (
+zeros AS MATERIALIZED (
   SELECT 0 AS n, 4294967295 AS v
   UNION ALL SELECT n + 1, xor(z.v >> 8, bytes.v) FROM zeros z JOIN bytes ON bytes.b = z.v & 255
   WHERE n < (SELECT max(n) FROM different)),
 gram_bytes AS (
-  SELECT gram, n - 1 - i AS d, CAST('0x' || substr(digits, 2 * i + 1, 2) AS BIGINT) AS b
+  SELECT gid, n - 1 - i AS d, CAST('0x' || substr(digits, 2 * i + 1, 2) AS BIGINT) AS b
   FROM (SELECT *, unnest(range(n)) AS i FROM different)),
-sums AS (SELECT gram, bit_xor(v) AS v FROM gram_bytes JOIN contributions USING (d, b) GROUP BY gram),
-buckets AS (
+sums AS (SELECT gid, bit_xor(v) AS v FROM gram_bytes JOIN contributions USING (d, b) GROUP BY gid),
+buckets AS MATERIALIZED (
   SELECT gram, xor(sums.v, xor(zeros.v, 4294967295)) % 10000 AS bucket
-  FROM sums JOIN different USING (gram) JOIN zeros USING (n)),
-placed AS (SELECT rid, raw, bucket, count(*) AS n FROM grams JOIN buckets USING (gram) GROUP BY rid, raw, bucket),
+  FROM sums JOIN different USING (gid) JOIN zeros USING (n)),
+placed AS MATERIALIZED (SELECT rid, raw, bucket, sum(times) AS n FROM grams JOIN buckets USING (gram) GROUP BY rid, raw, bucket),
 counts AS (
   SELECT bucket, CAST(sum(n) FILTER (raw) AS DOUBLE) AS s, CAST(coalesce(sum(n) FILTER (NOT raw), 0) AS DOUBLE) AS t
   FROM placed GROUP BY bucket),
@@ -130,3 +130,48 @@ ranked AS (
 SELECT doc_id, n_features, weight, score,
        CASE WHEN long_enough AND place <= (SELECT count(*) * 5 // 100 FROM scored WHERE long_enough) THEN place END AS rank
 FROM ranked"""
+
+
+OP11 = r"""
+WITH RECURSIVE
+ids AS MATERIALIZED (
+  SELECT conv_id, CAST(conv_id AS VARCHAR) AS name, hex(CAST(conv_id AS VARCHAR)) AS digits
+  FROM (SELECT DISTINCT CAST(conv_id AS BIGINT) AS conv_id FROM conversations WHERE conv_id IS NOT NULL)),
+registers AS (
+  SELECT conv_id, digits, 0 AS i, CAST(4294967295 AS BIGINT) AS v FROM ids
+  UNION ALL
+  SELECT conv_id, digits, i + 1, xor(CASE WHEN i % 9 = 0 THEN xor(v, CAST('0x' || substr(digits, 2 * (i // 9) + 1, 2) AS BIGINT))
+                                     WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, 0)
+  FROM registers WHERE i < 9 * (length(digits) // 2)),
+heads AS (SELECT conv_id, xor(v, 4294967295) % 4 AS h FROM registers WHERE i = 9 * (length(digits) // 2)),
+turns AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS pos
+  FROM (SELECT CAST(conv_id AS BIGINT) AS conv_id, turn,
+               substr(sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32) AS digest,
+               len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+        FROM conversations WHERE conv_id IS NOT NULL)),
+rebuilt AS (
+  SELECT conv_id, digest, words, row_number() OVER (PARTITION BY conv_id ORDER BY own, pos) AS depth
+  FROM (SELECT heads.conv_id, digest, words, pos, 0 AS own FROM heads JOIN turns ON turns.conv_id = heads.conv_id - heads.conv_id % 20 AND pos <= h
+        UNION ALL SELECT conv_id, digest, words, pos, 1 FROM heads JOIN turns USING (conv_id) WHERE pos > h)),
+members AS MATERIALIZED (
+  SELECT conv_id, 0 AS depth, '' AS prefix, 0 AS words FROM ids
+  UNION ALL
+  SELECT conv_id, depth, sha256(string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY depth)), words FROM rebuilt),
+nodes AS MATERIALIZED (
+  SELECT depth, prefix, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words FROM members GROUP BY depth, prefix),
+parents AS MATERIALIZED (
+  SELECT n.depth, n.prefix, p.prefix AS parent, q.conv_id AS parent_conv_id
+  FROM nodes n JOIN members p ON p.conv_id = n.conv_id AND p.depth = n.depth - 1 JOIN nodes q ON q.depth = p.depth AND q.prefix = p.prefix),
+kids AS (SELECT depth - 1 AS depth, parent AS prefix, count(*) AS n_children FROM parents GROUP BY ALL),
+filled AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (depth, prefix)),
+sums AS (
+  SELECT m.depth, m.prefix, count_if(f.n_children = 0) AS n_leaves, sum((f.n_convs - 1) * f.words) AS saved_tokens
+  FROM filled f JOIN members m ON m.conv_id = f.conv_id AND m.depth <= f.depth GROUP BY m.depth, m.prefix),
+last AS (SELECT conv_id, max(depth) AS depth FROM members GROUP BY conv_id),
+ends AS (
+  SELECT depth, prefix, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS names
+  FROM last JOIN members USING (conv_id, depth) GROUP BY depth, prefix)
+SELECT conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, n_convs, n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(names, '')) AS ends_sha256
+FROM filled JOIN sums USING (depth, prefix) LEFT JOIN parents USING (depth, prefix) LEFT JOIN ends USING (depth, prefix)"""

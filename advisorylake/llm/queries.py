@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 from advisorylake.llm import (
-    anchors, host_rules, importance, lexicon, oracles, piece_scan, postings, rendezvous, simhash, target_resampling, token_counts, tool_calls)
+    anchors, host_rules, importance, lexicon, oracles, piece_scan, postings, prefix_trie, rendezvous, simhash, target_resampling, token_counts, tool_calls)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -112,6 +112,14 @@ def op10_piece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.tokens(spark, table(spark, sf_dir, "documents"), sf_dir)
 
 
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(prefix_trie.turn_sequences(table(spark, sf_dir, "conversations")))
+
+
+ORACLES["op11_prefix_trie"] = oracles.OP11
+
+
 @query
 def op13_position_crc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return target_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
