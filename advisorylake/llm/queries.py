@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 from advisorylake.llm import (
-    anchors, host_rules, importance, lexicon, oracles, piece_scan, postings, prefix_trie, rendezvous, simhash, target_resampling, token_counts, tool_calls)
+    anchors, contextual_pii, host_rules, importance, lexicon, oracles, piece_scan, postings, prefix_trie, rendezvous, simhash, target_resampling, token_counts, tool_calls)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -120,6 +120,14 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op11_prefix_trie"] = oracles.OP11
 
 
+@query
+def op12_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contextual_pii.extract(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, contextual_pii.KINDS), F.sha2(contextual_pii.listed(F.col("base")), 256).alias("base_sha256"),
+                        contextual_pii.listed(F.concat("base", "added")).alias("spans"))
+
+
 @query
 def op13_position_crc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return target_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
