@@ -94,7 +94,9 @@ def _unseen(spans: DataFrame) -> DataFrame:
     """Loose spans that overlap no strict one of their text."""
     side = W.partitionBy("row").orderBy("start", F.col("strict").desc())
     reach = F.max(F.when(F.col("strict"), F.col("end"))).over(side.rowsBetween(W.unboundedPreceding, -1))
-    ahead = F.min(F.when(F.col("strict"), F.col("start"))).over(side.rowsBetween(1, W.unboundedFollowing))
+    # The same order backwards: a frame to the end of a partition would be summed up anew for every row.
+    back = W.partitionBy("row").orderBy(F.col("start").desc(), F.col("strict"))
+    ahead = F.min(F.when(F.col("strict"), F.col("start"))).over(back.rowsBetween(W.unboundedPreceding, -1))
     free = (F.coalesce(reach, F.lit(0)) <= F.col("start")) & (ahead.isNull() | (ahead >= F.col("end")))
     return spans.withColumn("free", free).where(F.col("strict") | F.col("free")).drop("free")
 
