@@ -232,9 +232,3 @@ def replace_children(target: DataFrame, rows: DataFrame, touched: DataFrame,
     kept = target.join(touched.select(key).distinct(), key, "left_anti")
     return kept.select(*target.columns).unionByName(rows.select(*target.columns))
 
-
-def write_version(df: DataFrame, base_path: str, version: int) -> str:
-    """Publish a merged table beside the version it was read from."""
-    path = f"{base_path.rstrip('/')}/version={version}"
-    df.write.mode("error").parquet(path)
-    return path

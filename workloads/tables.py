@@ -10,7 +10,9 @@ from advisorylake.operators import audit as AU
 from advisorylake.operators import enrichment as EN
 from advisorylake.operators import merge as M
 from advisorylake.operators import repos as RP
+from advisorylake.operators.versioned import VersionedTable
 from advisorylake.plans import lists as L
+from advisorylake.session import scratch_path
 from workloads.common import Ctx, F, P, Registry
 from workloads.ingestion import vector_column, _CVSS_SQL, _VEC_SQL
 
@@ -31,6 +33,16 @@ def _num(c: str = "id"):
 _NUM = "CAST(substring(id, 10) AS BIGINT)"
 
 
+#: Running numbers of catalogue ids that share a bucket.
+THOUSANDS = "substring({0}, 1, length({0}) - 3)"
+
+
+def _stored(target, changes, key, apply, cluster=None):
+    """The table after an upsert into the buckets of a stored one."""
+    path = scratch_path(target.sparkSession, "stored")
+    return VersionedTable.create(target, path, key, 16, cluster).upsert(changes, apply).read()
+
+
 def _old_mirror(c: Ctx):
     return c.published_cves.where(_num() % 3 != 1).select(*NVD_COLS)
 
@@ -41,7 +53,7 @@ def _cvelist_changes(c: Ctx):
         (F.col("cvelist_published_at") + F.expr("INTERVAL 1 DAY")).alias("cvelist_published_at"))
 
 
-add("merge_cvelist", lambda c: M.merge_cvelist(_old_mirror(c), _cvelist_changes(c), P.as_of),
+add("merge_cvelist", lambda c: _stored(_old_mirror(c), _cvelist_changes(c), ["id"], lambda old, new: M.merge_cvelist(old, new, P.as_of), [THOUSANDS.format("id")]),
     f"SELECT id, CASE WHEN {_NUM} % 3 = 0 THEN state WHEN {_NUM} % 5 <> 0 THEN 'REJECTED' ELSE 'PUBLISHED' END AS state, "
     f"CASE WHEN {_NUM} % 3 = 0 THEN cvelist_published_at ELSE cvelist_published_at + INTERVAL 1 DAY END AS cvelist_published_at, "
     f"CASE WHEN {_NUM} % 3 <> 1 THEN nvd_published_at END AS nvd_published_at, CASE WHEN {_NUM} % 3 <> 1 THEN nvd_first_observed_at END AS nvd_first_observed_at, "
@@ -58,17 +70,18 @@ def _nvd_changes(c: Ctx):
 _TOUCH = f"({_NUM} % 4 <> 0 OR {_NUM} % 3 = 1)"
 _KNOWN = f"({_NUM} % 3 <> 1)"
 add("merge_nvd",
-    lambda c: M.merge_nvd(_old_mirror(c), _nvd_changes(c), P.as_of).drop("cvelist_published_at"),
+    lambda c: _stored(_old_mirror(c), _nvd_changes(c), ["id"], lambda old, new: M.merge_nvd(old, new, P.as_of), [THOUSANDS.format("id")]).drop("cvelist_published_at"),
     f"SELECT id, CASE WHEN {_KNOWN} THEN state ELSE 'PUBLISHED' END AS state, "
     f"coalesce(CASE WHEN {_TOUCH} AND {_NUM} % 5 = 0 THEN TIMESTAMP '2001-01-01' END, CASE WHEN {_KNOWN} THEN nvd_published_at END) AS nvd_published_at, "
     f"coalesce(CASE WHEN {_KNOWN} THEN nvd_first_observed_at END, CASE WHEN {_TOUCH} THEN {AS_OF} END) AS nvd_first_observed_at, "
     f"coalesce(CASE WHEN {_KNOWN} THEN nvd_first_analyzed_observed_at END, CASE WHEN {_TOUCH} AND {_NUM} % 2 = 0 THEN {AS_OF} END) AS nvd_first_analyzed_observed_at "
     f"FROM published_cves WHERE {_KNOWN} OR {_TOUCH}")
 add("merge_epss",
-    lambda c: M.merge_epss(
+    lambda c: _stored(
         c.epss_scores.where(_num("cve_id") % 3 != 1).select("*", F.lit("v1").alias("model_version")),
         c.epss_scores.where(_num("cve_id") % 3 != 0).select(
-            "cve_id", "scored_date", (F.col("score") / 2).alias("score"), F.lit("v2").alias("model_version")))
+            "cve_id", "scored_date", (F.col("score") / 2).alias("score"), F.lit("v2").alias("model_version")),
+        ["cve_id", "scored_date"], M.merge_epss, ["scored_date", THOUSANDS.format("cve_id")])
     .withColumn("score", F.round("score", 6)),
     "SELECT cve_id, scored_date, round(CASE WHEN n % 3 = 0 THEN score ELSE score / 2 END, 6) AS score, "
     "CASE WHEN n % 3 = 0 THEN 'v1' ELSE 'v2' END AS model_version FROM "
@@ -82,19 +95,20 @@ def _products(c: Ctx):
 
 _PROD = ", prod AS (SELECT candidate_id, vendor, product, ecosystem, max(kind) AS kind FROM affected_products GROUP BY ALL) "
 add("merge_affected_structured",
-    lambda c: M.merge_affected_structured(
+    lambda c: _stored(
         _products(c).where(F.col("candidate_id") % 3 != 1),
         _products(c).where(F.col("candidate_id") % 3 != 0).select(
             *M.AFFECTED_KEY, F.when(F.col("candidate_id") % 2 == 0, "product").alias("kind"), F.col("candidate_id").alias("arrival")).unionByName(
-            _products(c).where(F.col("candidate_id") % 9 == 4).select(*M.AFFECTED_KEY, F.lit("late").alias("kind"), (F.col("candidate_id") + 1).alias("arrival")))),
+            _products(c).where(F.col("candidate_id") % 9 == 4).select(*M.AFFECTED_KEY, F.lit("late").alias("kind"), (F.col("candidate_id") + 1).alias("arrival"))),
+        M.AFFECTED_KEY, M.merge_affected_structured, ["candidate_id"]),
     _PROD + "SELECT candidate_id, vendor, product, ecosystem, CASE WHEN candidate_id % 3 = 0 THEN kind WHEN candidate_id % 9 = 4 THEN 'late' "
     "WHEN candidate_id % 2 = 0 THEN 'product' END AS kind FROM prod")
 add("merge_affected_llm",
-    lambda c: M.merge_affected_llm(
+    lambda c: _stored(
         _products(c).where(F.col("candidate_id") % 3 != 1),
         _products(c).where(F.col("candidate_id") % 3 != 0).select(
             "candidate_id", "vendor", "product", F.when(F.col("ecosystem") == "pypi", "PIP").otherwise(F.col("ecosystem")).alias("ecosystem"),
-            F.lit("llm").alias("kind"), F.col("candidate_id").alias("arrival"))),
+            F.lit("llm").alias("kind"), F.col("candidate_id").alias("arrival")), M.AFFECTED_KEY, M.merge_affected_llm, ["candidate_id"]),
     _PROD + "SELECT candidate_id, vendor, product, ecosystem, CASE WHEN candidate_id % 3 = 1 THEN 'llm' ELSE kind END AS kind FROM prod")
 
 
@@ -105,23 +119,25 @@ def _scored(c: Ctx, keep, source: str):
 
 
 add("merge_cvss",
-    lambda c: M.merge_cvss(
+    lambda c: _stored(
         _scored(c, "id % 3 <> 1", "osv"),
         M.structured_cvss(c.candidates.where("id % 3 <> 0").select(
             F.col("id").alias("candidate_id"), F.col("id").alias("arrival"), F.array(
                 F.lit("cvss:3.1/av:n/ac:l/pr:n/ui:n/s:u/c:n/i:n/a:l"), vector_column(F.col("id")), F.lit("CVSS:3.1/AV:BAD"), F.lit("AV:N/AC:L"))
-            .alias("cvss_vectors")))),
+            .alias("cvss_vectors"))), M.CVSS_KEY, M.merge_cvss, ["candidate_id"]),
     _CVSS_SQL + "SELECT id AS candidate_id, '3.1' AS version, 'authoritative' AS provenance, 'osv' AS source, "
     "CASE WHEN id % 3 = 0 THEN 'old' ELSE vector END AS vector, CASE WHEN id % 3 = 0 THEN 1.0 ELSE score END AS base_score FROM z")
 add("merge_identifiers",
-    lambda c: M.merge_identifiers(
+    lambda c: _stored(
         c.identifiers.where(F.col("candidate_id") % 3 != 1),
-        c.identifiers.where(F.col("candidate_id") % 3 != 0).select("scheme", "value", (F.col("candidate_id") + 1000000000).alias("candidate_id"), F.col("candidate_id").alias("arrival"))),
+        c.identifiers.where(F.col("candidate_id") % 3 != 0).select("scheme", "value", (F.col("candidate_id") + 1000000000).alias("candidate_id"), F.col("candidate_id").alias("arrival")),
+        ["scheme", "value"], M.merge_identifiers),
     "SELECT scheme, value, CASE WHEN candidate_id % 3 = 1 THEN candidate_id + 1000000000 ELSE candidate_id END AS candidate_id FROM identifiers")
 add("merge_soft_refs",
-    lambda c: M.merge_soft_refs(
+    lambda c: _stored(
         c.candidates.where("cve_id IS NOT NULL AND id % 3 <> 1").select(F.col("id").alias("mention_id"), "cve_id", F.lit("old").alias("context")),
-        c.candidates.where("cve_id IS NOT NULL AND id % 3 <> 0").select(F.col("id").alias("mention_id"), "cve_id", F.lit("new").alias("context"), F.col("id").alias("arrival"))),
+        c.candidates.where("cve_id IS NOT NULL AND id % 3 <> 0").select(F.col("id").alias("mention_id"), "cve_id", F.lit("new").alias("context"), F.col("id").alias("arrival")),
+        ["mention_id", "cve_id"], M.merge_soft_refs),
     "SELECT id AS mention_id, cve_id, CASE WHEN id % 3 = 1 THEN 'new' ELSE 'old' END AS context FROM candidates WHERE cve_id IS NOT NULL")
 add("merge_repos",
     lambda c: M.merge_repos(
@@ -178,11 +194,13 @@ add("zombie_sources",
     lambda c: M.zombie_sources(c.sources, _code_registry(c)).select("name"),
     "SELECT name FROM sources WHERE enabled AND NOT (id % 4 <> 0 AND id % 6 <> 1)")
 add("replace_children",
-    lambda c: M.replace_children(
+    lambda c: _stored(
         c.identifiers.where("scheme = 'CVE'").select(F.col("value").alias("cve_id"), F.lit("old").alias("cwe_id"), "candidate_id"),
         c.identifiers.where((F.col("scheme") == "CVE") & (F.col("candidate_id") % 3 == 1)).select(
-            F.col("value").alias("cve_id"), F.explode(F.array(F.lit("CWE-1"), F.lit("CWE-2"))).alias("cwe_id"), "candidate_id"),
-        c.identifiers.where((F.col("scheme") == "CVE") & (F.col("candidate_id") % 3 != 0)).select(F.col("value").alias("cve_id"))),
+            F.col("value").alias("cve_id"), F.explode(F.array(F.lit("CWE-1"), F.lit("CWE-2"))).alias("cwe_id"), "candidate_id", F.lit(False).alias("gone")).unionByName(
+            c.identifiers.where((F.col("scheme") == "CVE") & (F.col("candidate_id") % 3 != 0)).select(F.col("value").alias("cve_id"), F.lit(True).alias("gone")),
+            allowMissingColumns=True),
+        ["cve_id", "cwe_id"], lambda old, new: M.replace_children(old, new.where("NOT gone"), new.where("gone")), [THOUSANDS.format("cve_id")]),
     "SELECT value AS cve_id, 'old' AS cwe_id, candidate_id FROM identifiers WHERE scheme = 'CVE' AND candidate_id % 3 = 0 "
     "UNION ALL SELECT value, unnest(['CWE-1', 'CWE-2']), candidate_id FROM identifiers WHERE scheme = 'CVE' AND candidate_id % 3 = 1")
 add("refresh_candidates",
