@@ -142,6 +142,13 @@ class VersionedTable:
         paths = [f"{self.path}/data/{folder}/{BUCKET}={b}" for b, folder in sorted(wanted.items())]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
+    def lookup(self, keys: DataFrame) -> DataFrame:
+        """The rows whose columns equal a row of ``keys``, which has the columns that ``cluster`` needs; only their buckets are read."""
+        m = self.manifest()
+        wanted = self._typed(keys, m).distinct()
+        touched = [r[0] for r in wanted.select(self.bucket(m)).distinct().collect()]  # no more than there are buckets
+        return self._read(m, touched).join(wanted, keys.columns, "left_semi")
+
     @staticmethod
     def bucket(m: Manifest) -> Column:
         return F.pmod(F.xxhash64(*map(F.expr, m.cluster)), F.lit(m.buckets)).cast("int")
