@@ -11,7 +11,8 @@ from advisorylake.operators import aggregates as A
 from advisorylake.operators import ingest as I
 from advisorylake.operators import leads as LD
 from advisorylake.operators import resolve as RS
-from advisorylake.session import cut_lineage
+from advisorylake.operators.store import IngestStore
+from advisorylake.session import cut_lineage, scratch_path
 from workloads.common import Ctx, F, P, Registry, sql_days
 
 reg = Registry()
@@ -131,12 +132,12 @@ add("sink_raw_archive",
     "FROM gated WHERE doc_id % 9 = 0 GROUP BY 1, 2")
 
 # Candidate of a batch row in closed form: smallest declared id of its group.
-_OWNED = _FOUND + _HASHED + """, owned AS (SELECT *, sha256(CASE
+_OWNED = _FOUND + _HASHED + """, owned AS (SELECT *, sha256(anchor) AS candidate_id FROM (SELECT *, CASE
    WHEN declared AND doc_id % 8 IN (0, 1, 4) THEN 'I|CVE|CVE-2026-' || lpad(CAST(doc_id - doc_id % 8 AS STRING), 7, '0')
    WHEN text_scheme IS NOT NULL AND xcve IS NOT NULL AND xcve LIKE 'CVE-2026-%' AND CAST(substring(xcve, 10) AS BIGINT) % 8 = 0
      THEN 'I|CVE|' || xcve
    WHEN xcve IS NOT NULL THEN 'I|CVE|' || xcve
-   ELSE 'I|' || text_scheme || '|' || xnative END) AS candidate_id FROM gated)
+   ELSE 'I|' || text_scheme || '|' || xnative END AS anchor FROM gated))
 """
 
 
@@ -152,6 +153,19 @@ add("ingest_batch",
     .select("candidate_id", "mention_count", "source_count"),
     _OWNED + "SELECT candidate_id, count(*) AS mention_count, count(DISTINCT source_id) AS source_count FROM "
     "(SELECT source_id, content_hash, arg_min(candidate_id, arrival) AS candidate_id FROM owned GROUP BY 1, 2) GROUP BY 1")
+def _ingested(c: Ctx):
+    """The batch in two parts through the stored tables."""
+    store = IngestStore.create(c.spark, scratch_path(c.spark, "store"), 8)
+    for part in range(2):
+        store.ingest(c.batch.where(F.col("arrival") % 2 == part), part)
+    return store.candidates()
+
+
+add("ingest_full",
+    lambda c: _ingested(c).select(F.col("id").alias("candidate_id"), "cve_id", "status", "mention_count", "source_count"),
+    _OWNED + "SELECT candidate_id, any_value(CASE WHEN anchor LIKE 'I|CVE|%' THEN substring(anchor, 7) END) AS cve_id, 'emerging' AS status, "
+    "count(*) AS mention_count, count(DISTINCT source_id) AS source_count FROM (SELECT source_id, content_hash, arg_min(candidate_id, arrival) AS candidate_id, "
+    "arg_min(anchor, arrival) AS anchor FROM owned GROUP BY 1, 2) GROUP BY 1")
 add("apply_flags",
     lambda c: I.apply_flags(_owned(c)).select("candidate_id", "in_kev", "kev_source", "has_public_poc"),
     _OWNED + "SELECT candidate_id, arg_max(arrival % 2 = 0, arrival) FILTER (WHERE doc_id % 5 = 0) AS in_kev, "
