@@ -173,23 +173,35 @@ def reenrich_due(enriched_at: Column, mentions_since: Column, as_of: dt.datetime
 
 
 def enrich_worklist(candidates: DataFrame, mentions: DataFrame, as_of: dt.datetime,
-                    limit: int = 50, hours: int = 24, min_new: int = 3) -> DataFrame:
-    """Newest live candidates that are due, at most ``limit`` out of the newest 4x."""
+                    limit: int = 50, hours: int = 24, min_new: int = 3,
+                    look_back: int | None = None) -> DataFrame:
+    """The ``limit`` newest live candidates that are due.
+
+    ``look_back`` restricts the search to so many of the newest; None looks at all. New
+    mentions only matter where the last enrichment is recent, so only those candidates meet
+    the mention table.
+    """
     live = candidates.where(
         F.col("merged_into").isNull() & F.col("status").isin("candidate", "emerging", "published")
-        & (F.col("mention_count") >= 1))
-    newest = (live.orderBy(F.desc("last_seen_at"), "id").limit(limit * 4)
-              .select("id", "last_seen_at", "enrichment_updated_at"))
-    small = newest.select(F.col("id").alias("candidate_id"),
-                          F.col("enrichment_updated_at").alias("stamp"))
-    since = (mentions.join(small, "candidate_id")
-             .where(F.col("seen_at") > F.col("stamp"))
-             .groupBy(F.col("candidate_id").alias("_k")).agg(F.count("*").alias("mentions_since")))
-    rows = newest.join(since, F.col("id") == F.col("_k"), "left").withColumn(
-        "mentions_since", F.coalesce("mentions_since", F.lit(0)))
-    due = reenrich_due(F.col("enrichment_updated_at"), F.col("mentions_since"), as_of, hours, min_new)
-    return (rows.where(due).orderBy(F.desc("last_seen_at"), "id").limit(limit)
-            .select("id", "last_seen_at", "mentions_since"))
+        & (F.col("mention_count") >= 1)).select("id", "last_seen_at", "enrichment_updated_at")
+    if look_back is not None:
+        live = live.orderBy(F.desc("last_seen_at"), "id").limit(look_back)
+    stamp = F.col("enrichment_updated_at")
+    # Without a stamp no mention is newer, with an old one the candidate is due anyway.
+    small = live.where(~reenrich_due(stamp, F.lit(0), as_of, hours, min_new)).select(
+        F.col("id").alias("candidate_id"), stamp.alias("stamp"))
+
+    def newer(stamps: DataFrame) -> DataFrame:
+        return (mentions.join(stamps, "candidate_id").where(F.col("seen_at") > F.col("stamp"))
+                .groupBy(F.col("candidate_id").alias("_k")).agg(F.count("*").alias("mentions_since")))
+
+    known = live.join(newer(small), F.col("id") == F.col("_k"), "left")
+    due = reenrich_due(stamp, F.coalesce("mentions_since", F.lit(0)), as_of, hours, min_new)
+    rows = (known.where(due).orderBy(F.desc("last_seen_at"), "id").limit(limit)
+            .select("id", "last_seen_at", stamp.alias("stamp")))
+    counts = newer(rows.select(F.col("id").alias("candidate_id"), "stamp"))
+    return (rows.join(counts, F.col("id") == F.col("_k"), "left")
+            .select("id", "last_seen_at", F.coalesce("mentions_since", F.lit(0)).alias("mentions_since")))
 
 
 def resolve_products(names: DataFrame, aliases: DataFrame) -> DataFrame:

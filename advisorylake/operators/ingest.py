@@ -57,6 +57,8 @@ def declared_identity(mentions: DataFrame) -> DataFrame:
     """
     declared = extract_from_list(F.col("extra_ids"), F.col("cve_id"), F.col("native_id"))
     in_text = extract_identifiers(F.col("title"), F.col("snippet"), F.col("url"))
+    if "whole_text_ids" in mentions.columns:  # read by a scan before it cut the text
+        in_text = F.array_union(in_text, F.coalesce("whole_text_ids", F.array().cast(mentions.schema["whole_text_ids"].dataType)))
     found = compute_once(mentions, declared=declared, text_ids=in_text)
     return found.withColumn(
         "ids", F.when(F.size("declared") > 0, F.col("declared"))
@@ -126,27 +128,34 @@ def list_values(rows: DataFrame, column: str) -> DataFrame:
             .agg(F.min(F.struct("arrival", "pos")).alias("first_use")))
 
 
-def capped_list(rows: DataFrame, column: str, cap: int) -> DataFrame:
-    """candidate_id and the first ``cap`` distinct values; the rank limit prunes on the
+def capped_list(rows: DataFrame, column: str, cap: int | None) -> DataFrame:
+    """candidate_id and the first ``cap`` distinct values (None: all); the rank limit prunes on the
     map side, so no task sees more than ``cap`` values of a candidate per input task."""
     order = W.partitionBy("candidate_id").orderBy("first_use", "value")
-    kept = (list_values(rows, column).withColumn("position", F.row_number().over(order))
-            .where(F.col("position") <= cap))
+    kept = list_values(rows, column).withColumn("position", F.row_number().over(order))
+    if cap is not None:
+        kept = kept.where(F.col("position") <= cap)
     return (kept.groupBy("candidate_id")
             .agg(F.array_sort(F.collect_list(F.struct("position", "value"))).alias("r"))
             .select("candidate_id", F.transform("r", lambda x: x["value"]).alias(column)))
 
 
-def candidate_updates(rows: DataFrame) -> DataFrame:
-    """Capped reference list and last declared withdrawal per candidate.
+def candidate_updates(rows: DataFrame, stored: DataFrame | None = None, cap: int | None = REFERENCE_CAP) -> DataFrame:
+    """Reference list, CWE ids and last declared withdrawal per candidate.
 
-    The cap of fifty is the stored column's own rule and bounds the collected list.
+    Lists of ``stored`` (candidate_id, reference_urls, cwe_ids) come first, then those of the batch in the order of arrival,
+    each value once. The reference list keeps ``cap`` values, the rule of the stored column (None: all).
     """
-    refs = capped_list(rows, "reference_urls", REFERENCE_CAP)
+    kept = ["candidate_id", "reference_urls", "cwe_ids"]
+    lists = rows.select("arrival", *[c if c in rows.columns else F.lit(None).cast("array<string>").alias(c) for c in kept])
+    if stored is not None:
+        touched = stored.join(rows.select("candidate_id").distinct(), "candidate_id", "left_semi")
+        lists = lists.unionByName(touched.select(F.lit(None).cast(rows.schema["arrival"].dataType).alias("arrival"), *kept))
     last = rows.groupBy("candidate_id").agg(
         F.max_by("withdrawn", F.when(F.col("withdrawn").isNotNull(), F.col("arrival")))
         .alias("withdrawn"))
-    return last.join(refs, "candidate_id", "left")
+    return (last.join(capped_list(lists, "reference_urls", cap), "candidate_id", "left")
+            .join(capped_list(lists, "cwe_ids", None), "candidate_id", "left"))
 
 
 def soft_references(stored: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from advisorylake.functions.text import (
     CVE_LOOSE, blank_to_null, find_all, first_of, sorted_cves, strip,
 )
 from advisorylake.operators.ingest import mention_fanout
+from advisorylake.operators.stages import compute_once
 from advisorylake.sources.base import affected_item, mentions_frame, snippet_of, title_of
 
 ADVISORY_WINDOW_DAYS = 120
@@ -92,7 +93,10 @@ def _text_of(html: Column, gap: str) -> Column:
 
 
 def scan_plugin_listing(documents: DataFrame) -> DataFrame:
-    """Table rows that link to a plugin and cite a CVE; raw is the whole page."""
+    """Table rows that link to a plugin and cite a CVE; raw is the whole page.
+
+    Ids are read from the whole row and carried in ``whole_text_ids``, the snippet is cut.
+    """
     carry = [c for c in documents.columns if c != "raw"]
     anchor = r"(?is)<a\b[^>]*\bhref\s*=\s*[\"'](/plugins/nessus/[^\"']*)[\"'][^>]*>(.*?)</a>"
     rows = documents.select(*carry, F.explode(find_all(
@@ -103,19 +107,22 @@ def scan_plugin_listing(documents: DataFrame) -> DataFrame:
         _text_of(F.col("row"), " ").alias("text"),
     ).where((F.col("href") != "")
             & F.upper(F.concat("text", F.lit(" "), "title")).contains("CVE-"))
+    found = compute_once(rows, whole_text_ids=extract_identifiers(F.col("title"), F.col("text")))
     return mentions_frame(
-        rows, carry=carry, url=F.concat(F.lit(LISTING_HOST), F.col("href")),
+        found, carry=[*carry, "whole_text_ids"], url=F.concat(F.lit(LISTING_HOST), F.col("href")),
         title=blank_to_null(F.col("title")), snippet=snippet_of(F.col("text")))
 
 
 def scan_news(entries: DataFrame) -> DataFrame:
     """News that names a CVE, anchored on the first one of the whole text.
 
-    The snippet is only a beginning of the text, so the anchor is taken before it is cut.
+    The snippet is only a beginning of the text, so the ids are read before it is cut and
+    carried in ``whole_text_ids``.
     """
     carry = [c for c in entries.columns if c not in ("title", "summary", "link", "seen_at")]
     blob = F.concat_ws(" ", F.col("title"), F.col("summary"))
-    e = entries.where(F.upper(blob).contains("CVE-"))
-    anchor = primary_cve(extract_identifiers(F.col("title"), F.col("summary")))
-    return mentions_frame(e, carry=carry, url=F.col("link"), title=F.col("title"), cve_id=anchor,
-                          snippet=snippet_of(F.col("summary")), seen_at=F.col("seen_at"))
+    e = compute_once(entries.where(F.upper(blob).contains("CVE-")),
+                     whole_text_ids=extract_identifiers(F.col("title"), F.col("summary")))
+    return mentions_frame(e, carry=[*carry, "whole_text_ids"], url=F.col("link"), title=F.col("title"),
+                          cve_id=primary_cve(F.col("whole_text_ids")), snippet=snippet_of(F.col("summary")),
+                          seen_at=F.col("seen_at"))

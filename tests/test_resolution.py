@@ -184,3 +184,27 @@ def test_unscored_vectors_never_win(spark):
     found = M.structured_cvss(spark.createDataFrame([("c", 1, ["CVSS:4.0/AV:N/AC:L/AT:N", "CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H"])],
                                                     "candidate_id string, arrival int, cvss_vectors array<string>"))
     assert [r.version for r in found.collect()] == ["3.1"]
+
+
+def test_candidate_lists_join_what_is_stored(spark):
+    rows = spark.createDataFrame([
+        ("c", 2, ["u2", "u1"], ["CWE-79"], None), ("c", 1, ["u3"], ["CWE-20", "CWE-1"], True), ("d", 3, None, None, False)],
+        "candidate_id string, arrival int, reference_urls array<string>, cwe_ids array<string>, withdrawn boolean")
+    stored = spark.createDataFrame([("c", ["u0", "u1"], ["CWE-1"]), ("other", ["u9"], None)],
+                                   "candidate_id string, reference_urls array<string>, cwe_ids array<string>")
+    got = {r.candidate_id: (r.withdrawn, r.reference_urls, r.cwe_ids) for r in I.candidate_updates(rows, stored, cap=None).collect()}
+    assert got == {"c": (True, ["u0", "u1", "u3", "u2"], ["CWE-1", "CWE-20", "CWE-79"]), "d": (False, None, None)}
+    assert {r.candidate_id: r.reference_urls for r in I.candidate_updates(rows, cap=2).collect()} == {"c": ["u3", "u2"], "d": None}
+
+
+def test_ids_behind_the_snippet_survive(spark):
+    from advisorylake.sources.feeds import scan_news, scan_plugin_listing
+
+    text = "CVE-2024-1111 " + "x" * 3000 + " CVE-2024-2222"
+    news = scan_news(spark.createDataFrame([("t", text, "l", None)], "title string, summary string, link string, seen_at timestamp"))
+    row = f'<tr><td><a href="/plugins/nessus/1">Fix</a></td><td>{"y" * 3000} CVE-2024-3333</td></tr>'
+    listing = scan_plugin_listing(spark.createDataFrame([(row,)], "raw string"))
+    carry = lambda df: df.withColumns({"source_id": F.lit(1), "arrival": F.lit(1)})
+    both = I.prepare(carry(news.unionByName(listing)))
+    assert sorted(r.extracted_cve for r in both.collect()) == ["CVE-2024-1111", "CVE-2024-3333"]
+    assert [r.cve_id for r in I.soft_references(both).collect()] == ["CVE-2024-2222"]

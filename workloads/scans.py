@@ -551,13 +551,16 @@ add("scan_plugin_listing",
     lambda c: FD.scan_plugin_listing(c.driver("pages").select("page_id", F.concat(
         "html", F.lit('<table><tr class="h"><th>CVE-0000-0000</th></tr><tr><td><a class="x" href="/plugins/nessus/'),
         F.col("page_id").cast("string"), F.lit('">Fix &amp; <b>Foo</b></a></td>\n<td> CVE-2026-'), F.lpad(F.col("page_id").cast("string"), 5, "0"),
+        F.lit(' '), F.repeat(F.lit("x"), 2500), F.lit(' cve-2027-'), F.lpad(F.col("page_id").cast("string"), 6, "0"),
         F.lit(' </td></tr><tr><td><a href="/plugins/nessus/9">nothing</a></td></tr></table>')).alias("raw"))).select(
-        "page_id", "url", "title", "snippet"),
+        "page_id", "url", "title", F.md5("snippet").alias("snippet"), F.array_join(F.transform("whole_text_ids", lambda i: i["value"]), ",").alias("ids")),
     "SELECT page_id, 'https://www.tenable.com/plugins/nessus/' || page_id AS url, 'Fix &Foo' AS title, "
-    "'Fix & Foo CVE-2026-' || lpad(CAST(page_id AS STRING), 5, '0') AS snippet FROM pages")
+    "md5(substring('Fix & Foo CVE-2026-' || lpad(CAST(page_id AS STRING), 5, '0') || ' ' || repeat('x', 2500), 1, 2000)) AS snippet, "
+    "'CVE-2026-' || lpad(CAST(page_id AS STRING), 5, '0') || ',CVE-2027-' || lpad(CAST(page_id AS STRING), 6, '0') AS ids FROM pages")
 add("scan_news",
-    lambda c: FD.scan_news(_entries(c)).select("doc_id", "url", "title", F.md5("snippet").alias("snippet"), "cve_id", "seen_at"),
-    "SELECT doc_id, 'https://feed.example/' || doc_id AS url, 'Entry ' || doc_id AS title, md5(substring(text, 1, 2000)) AS snippet, "
+    lambda c: FD.scan_news(_entries(c)).select("doc_id", "url", "title", F.md5("snippet").alias("snippet"), "cve_id", "seen_at",
+                                           F.size(F.filter("whole_text_ids", lambda i: i["scheme"] == "CVE")).alias("n_cves")),
+    f"SELECT doc_id, 'https://feed.example/' || doc_id AS url, 'Entry ' || doc_id AS title, md5(substring(text, 1, 2000)) AS snippet, len({_CVES_OF}) AS n_cves, "
     "upper(regexp_extract(text, '(?i)CVE-[0-9]{4}-[0-9]{4,}')) AS cve_id, "
     f"{_SEEN_DOC} AS seen_at FROM planted WHERE contains(upper(text), 'CVE-')")
 

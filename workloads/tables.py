@@ -428,9 +428,9 @@ add("enrich_worklist",
     lambda c: EN.enrich_worklist(_stamped(c), c.mentions, P.as_of, 30).select("id", "last_seen_at", "mentions_since"),
     ", st AS (SELECT c.*, CASE WHEN id % 3 = 0 THEN TIMESTAMP '2001-11-30 12:00:00' WHEN id % 3 = 1 THEN first_seen_at END AS stamp FROM candidates c "
     "WHERE merged_into IS NULL AND status IN ('candidate', 'emerging', 'published') AND EXISTS (SELECT 1 FROM mentions m WHERE m.candidate_id = c.id)), "
-    "newest AS (SELECT * FROM st ORDER BY last_seen_at DESC, id LIMIT 120) "
+    "newest AS (SELECT * FROM st WHERE id % 3 <> 0 OR (SELECT count(*) FROM mentions m WHERE m.candidate_id = st.id AND m.seen_at > st.stamp) >= 3) "
     "SELECT id, last_seen_at, (SELECT count(*) FROM mentions m WHERE m.candidate_id = newest.id AND m.seen_at > newest.stamp) AS mentions_since "
-    "FROM newest WHERE id % 3 <> 0 ORDER BY last_seen_at DESC, id LIMIT 30")
+    "FROM newest ORDER BY last_seen_at DESC, id LIMIT 30")
 add("reenrich_due",
     lambda c: _stamped(c).where(EN.reenrich_due(F.col("enrichment_updated_at"), F.col("mention_count"), P.as_of, 24, 7)).select("id"),
     ", n AS (SELECT candidate_id, count(*) AS n FROM mentions GROUP BY 1) SELECT id FROM candidates LEFT JOIN n ON n.candidate_id = id WHERE id % 3 <> 0 OR n >= 7")
