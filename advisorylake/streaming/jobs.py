@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from advisorylake.operators.ingest import mention_dedup
 from advisorylake.operators.leads import reconcile_leads
+from advisorylake.streaming.levels import Levels
 
 
 def read_landing(spark: SparkSession, path: str, schema: T.StructType, glob: str | None = None,
@@ -82,24 +83,27 @@ PARTIALS = "candidate_id BIGINT, source_id INT, n BIGINT, lo TIMESTAMP, hi TIMES
 
 
 def stream_candidate_aggs(stream: DataFrame, base: str) -> None:
-    """Append per-batch partial aggregates per (candidate, source).
+    """Partial aggregates per (candidate, source) of each batch, compacted in levels.
 
     The running aggregate is a table, not operator state, so it neither grows in executor
-    memory nor has to be rebuilt; readers combine the partials.
+    memory nor has to be rebuilt; readers combine logarithmically many partials.
     """
+    levels = partial_levels(stream.sparkSession, base)
+
     def handle(batch: DataFrame, batch_id: int) -> None:
-        partial = batch.groupBy("candidate_id", "source_id").agg(
-            F.count("*").alias("n"), F.min("seen_at").alias("lo"), F.max("seen_at").alias("hi"))
-        partial.write.mode("overwrite").parquet(_batch_path(f"{base}/partials", batch_id))
+        levels.write(batch.groupBy("candidate_id", "source_id").agg(
+            F.count("*").alias("n"), F.min("seen_at").alias("lo"), F.max("seen_at").alias("hi")), batch_id)
 
     run_batches(stream, f"{base}/checkpoint", handle)
 
 
+def partial_levels(spark: SparkSession, base: str) -> Levels:
+    return Levels(spark, f"{base}/partials", PARTIALS, lambda rows: rows.groupBy("candidate_id", "source_id").agg(
+        F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")))
+
+
 def read_candidate_aggs(spark: SparkSession, base: str) -> DataFrame:
-    parts = read_batches(spark, f"{base}/partials", PARTIALS)
-    per_source = parts.groupBy("candidate_id", "source_id").agg(
-        F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    return per_source.groupBy("candidate_id").agg(
+    return partial_levels(spark, base).read().groupBy("candidate_id").agg(
         F.sum("n").alias("mention_count"), F.count("source_id").alias("source_count"),
         F.min("lo").alias("first_seen_at"), F.max("hi").alias("last_seen_at"))
 
@@ -115,16 +119,18 @@ def stream_velocity(stream: DataFrame, base: str, ingest_time: str, length: str,
               .agg(F.count("*").alias("n"))
               .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n"))
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(_batch_path(f"{base}/windows", batch_id))
+    levels = window_levels(stream.sparkSession, base)
+    run_batches(counts, f"{base}/checkpoint", levels.write, mode="update")
 
-    run_batches(counts, f"{base}/checkpoint", handle, mode="update")
+
+def window_levels(spark: SparkSession, base: str) -> Levels:
+    """The newest count of each window."""
+    return Levels(spark, f"{base}/windows", WINDOWS, lambda rows: rows.groupBy("window_start", "window_end").agg(
+        F.max_by("n", "batch").alias("n")))
 
 
 def read_velocity(spark: SparkSession, base: str) -> DataFrame:
-    """Newest count of each window."""
-    rows = read_batches(spark, f"{base}/windows", WINDOWS)
-    return rows.groupBy("window_start", "window_end").agg(F.max_by("n", "batch").alias("n"))
+    return window_levels(spark, base).read()
 
 
 FIRST_SEEN = "candidate_id BIGINT, day TIMESTAMP, lo TIMESTAMP, n BIGINT"
@@ -141,15 +147,19 @@ def stream_late_data(stream: DataFrame, base: str, ingest_time: str = "ingested_
              .agg(F.min("seen_at").alias("lo"), F.count("*").alias("n"))
              .select("candidate_id", F.col("w.start").alias("day"), "lo", "n"))
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(_batch_path(f"{base}/first_seen", batch_id))
+    run_batches(daily, f"{base}/checkpoint", day_levels(stream.sparkSession, base).write, mode="update")
+
 
-    run_batches(daily, f"{base}/checkpoint", handle, mode="update")
+def day_levels(spark: SparkSession, base: str) -> Levels:
+    """The newest state of each candidate and ingest day."""
+    return Levels(spark, f"{base}/first_seen", FIRST_SEEN, lambda rows: rows.groupBy("candidate_id", "day").agg(
+        F.min("lo").alias("lo"), F.max_by("n", "batch").alias("n")))
 
 
 def read_first_seen(spark: SparkSession, base: str) -> DataFrame:
-    rows = read_batches(spark, f"{base}/first_seen", FIRST_SEEN)
-    return rows.groupBy("candidate_id").agg(F.min("lo").alias("first_seen_at"))
+    """First event date of each candidate, and its rows that came before the watermark passed them."""
+    return day_levels(spark, base).read().groupBy("candidate_id").agg(
+        F.min("lo").alias("first_seen_at"), F.sum("n").alias("n"))
 
 
 def stream_lead_promotion(nvd: DataFrame, candidates: DataFrame, base: str,

@@ -6,7 +6,9 @@ import datetime as dt
 
 from pyspark.sql import functions as F, types as T
 
+from advisorylake.session import remove_path
 from advisorylake.streaming import jobs as J
+from advisorylake.streaming.levels import Levels
 
 SCHEMA = T.StructType([
     T.StructField("candidate_id", T.LongType()), T.StructField("source_id", T.IntegerType()),
@@ -62,3 +64,17 @@ def test_bounded_dedup(spark, tmp_path):
     (stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c"))
      .trigger(availableNow=True).start(out).awaitTermination())
     assert spark.read.parquet(out).count() == batch.select("source_id", "content_hash").distinct().count()
+
+
+def test_levels_stay_logarithmic(spark, tmp_path):
+    levels = Levels(spark, str(tmp_path / "l"), "k INT, n BIGINT", lambda rows: rows.groupBy("k").agg(F.sum("n").alias("n")), fan=2)
+    assert levels.read().count() == 0
+    for i in range(11):
+        levels.write(spark.createDataFrame([(i % 3, 1), (9, 1)], "k int, n bigint"), i)
+        assert {r.k: r.n for r in levels.read().collect()} == {9: i + 1, **{k: len(range(k, i + 1, 3)) for k in range(3) if k <= i}}
+        assert len(levels.runs()) == bin(i + 1).count("1")
+    assert levels.runs() == [(0, 3), (8, 1), (10, 0)]
+    levels.write(spark.createDataFrame([(1, 1), (9, 1)], "k int, n bigint"), 10)  # a replay
+    assert {r.k: r.n for r in levels.read().collect()}[9] == 11
+    remove_path(spark, f"{levels.path}/level=1/batch={8:012d}/_SUCCESS")  # cut off while it was written
+    assert levels.runs() == [(0, 3), (8, 0), (9, 0), (10, 0)] and {r.k: r.n for r in levels.read().collect()}[9] == 11
