@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from advisorylake.llm.texts import Codes, blocks, give_back, nested, run_starts, utf8
+from advisorylake.llm.texts import Codes, blocks, nested, run_starts, utf8
 from advisorylake.session import Scratch
 
 MODEL = "piece_bpe_32k.model"
@@ -277,33 +277,26 @@ def _words(model: Model, text: bytes) -> list[bytes]:
 
 def _encode_batches(batches: Iterator[pa.RecordBatch], model: Broadcast, path: str) -> Iterator[pa.RecordBatch]:
     held = _memory(path)
-    try:
-        yield from _encode_blocks(blocks(batches, "text"), model, held)
-    finally:
-        held[0] = _Memory()
-        give_back()
-
-
-def _encode_blocks(found: Iterator[pa.RecordBatch], model: Broadcast, held: list[_Memory]) -> Iterator[pa.RecordBatch]:
-    for block in found:
-        if len(held[0].n) > REMEMBERED:
-            held[0] = _Memory()
-        memory = held[0]
-        coded, words_of = [np.zeros(0, np.int32)], []
-        for text in utf8(block.column("text")):
-            words = _words(model.value, text or b"")
-            coded.append(memory.codes.encode(words))
-            words_of.append(len(words))
-        memory.learn(model.value)
-        word = np.concatenate(coded)
-        n = memory.n[word]
-        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        ids = memory.ids[np.repeat(run_starts(memory.n)[word] if len(word) else word, n) + nth]
-        doc = np.repeat(np.arange(len(block)), words_of)
+    for block in blocks(batches, "text"):
+        words = [_words(model.value, text or b"") for text in utf8(block.column("text"))]
+        ids, n = _solve_words(model.value, held, [w for ws in words for w in ws])
+        doc = np.repeat(np.arange(len(block)), list(map(len, words)))
         counts = np.bincount(doc, weights=n, minlength=len(block)).astype(np.int64)
         yield pa.RecordBatch.from_arrays([block.column("id"), nested(counts, pa.array(ids, pa.int32()))], ["id", "ids"])
 
 
+def _solve_words(model: Model, held: list[_Memory], words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the words one after another, and how many each has; words met before are not solved again."""
+    if len(held[0].n) > REMEMBERED:
+        held[0] = _Memory()
+    memory = held[0]
+    word = memory.codes.encode(words)
+    memory.learn(model)
+    n = memory.n[word]
+    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return memory.ids[np.repeat(run_starts(memory.n)[word] if len(word) else word, n) + nth], n
+
+
 # Texts of several chunks.
 
 def _chunk_batches(batches: Iterator[pa.RecordBatch], margin: int, size: int) -> Iterator[pa.RecordBatch]:
@@ -325,7 +318,7 @@ class Chunk:
     """A chunk between places ``a`` and ``b`` of its characters, with margins on both sides."""
 
     def __init__(self, model: Model, left: int, size: int, text: str) -> None:
-        self.model, self.a, self.b = model, left, left + size
+        self.model, self.a, self.b, self.text = model, left, left + size, text
         self.points, self.chars = model.char_numbers(text)
         self.cut = np.append(model.certain_cuts(self.chars), True)
         self.entries, self.exits = self._states(self.a), self._states(self.b)
@@ -397,9 +390,31 @@ class Chunk:
         ends = np.flatnonzero(self.cut[begin + 1:start + 1]) if start > begin else np.zeros(0, np.int64)
         return bool(len(hit) and lattice.valid[hit[0]] and (lattice.into[ends] >= 0).all())
 
-    def ids(self, entry: int, exit_: int) -> np.ndarray:
-        """Ids of the pieces that begin in this chunk, on the path between two states."""
-        entry, (start, end, piece) = self.entries[entry], self.exits[exit_]
+    def ids(self, entry: int, exit_: int, held: list[_Memory] | None = None) -> np.ndarray:
+        """Ids of the pieces that begin in this chunk, on the path between two states.
+
+        With a memory, whole words between the two ends are looked up there; only the ends are traced.
+        """
+        entry, exit_ = self.entries[entry], self.exits[exit_]
+        if held is not None and self.model.words_apart:
+            space = np.frombuffer(self.text.encode("utf-32-le"), np.uint32) == ord(SPACE)
+            starts = np.flatnonzero(space[1:] & ~space[:-1]) + 1
+            starts = starts[(starts > entry[1]) & (starts <= exit_[0])]
+            if len(starts) > 1:
+                p, q = int(starts[0]), int(starts[-1])
+                inside = self.text[p + 1:q].replace(SPACE, " ").encode()
+                return np.concatenate([self._traced(entry, p), _solve_words(self.model, held, _words(self.model, inside))[0],
+                                       self._leaves((q, q, -1), exit_)])
+        return self._leaves(entry, exit_)
+
+    def _traced(self, entry: tuple[int, int, int], stop: int) -> np.ndarray:
+        """Ids from the end of ``entry`` to a certain cut."""
+        begin = entry[1]
+        ends = np.flatnonzero(self.cut[begin + 1:stop])
+        return _with_bytes(self.model, self.points[begin:], *self.paths(entry, stop).trace(np.append(ends, stop - begin - 1)))[1]
+
+    def _leaves(self, entry: tuple[int, int, int], exit_: tuple[int, int, int]) -> np.ndarray:
+        start, end, piece = exit_
         begin = entry[1]
         lattice = self.paths(entry)
         steps_start, steps_piece = np.zeros(0, np.int64), np.zeros(0, np.int32)
@@ -482,9 +497,9 @@ def _all_states(matrices: DataFrame, scratch: Scratch) -> DataFrame:
     return ends
 
 
-def _trace_batches(batches: Iterator[pa.RecordBatch], model: Broadcast) -> Iterator[pa.RecordBatch]:
+def _trace_batches(batches: Iterator[pa.RecordBatch], model: Broadcast, path: str) -> Iterator[pa.RecordBatch]:
     for row, chunk in _chunks_of(batches, model.value):
-        ids = chunk.ids(row.column("entry")[0].as_py(), row.column("exit")[0].as_py())
+        ids = chunk.ids(row.column("entry")[0].as_py(), row.column("exit")[0].as_py(), _memory(path))
         yield pa.RecordBatch.from_arrays(
             [row.column("row"), row.column("id"), row.column("chunk"), nested(np.array([len(ids)]), pa.array(ids, pa.int32()))],
             ["row", "id", "chunk", "ids"])
@@ -522,7 +537,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         partial(_matrix_batches, model=sent), "row bigint, place bigint, width bigint, matrix binary")
     states = _all_states(matrices, scratch).withColumnRenamed("place", "chunk")
     traced = chunks.join(states, ["row", "chunk"]).mapInArrow(
-        partial(_trace_batches, model=sent), f"row bigint, id {kind}, chunk bigint, ids array<int>")
+        partial(_trace_batches, model=sent, path=path), f"row bigint, id {kind}, chunk bigint, ids array<int>")
     parts = F.array_sort(F.collect_list(F.struct("chunk", "ids")))
     whole = traced.groupBy("row").agg(F.first("id").alias("id"), F.flatten(F.transform(parts, lambda p: p["ids"])).alias("ids"))
     return short.unionByName(whole.select("id", "ids")).withColumnRenamed("id", id_col)

@@ -52,6 +52,8 @@ def test_chunks_equal_the_whole(model, size):
         states = ps.border_states([c.matrix() for c in chunks])
         got = [i for c, (a, b) in zip(chunks, zip(states, states[1:])) for i in c.ids(a, b).tolist()]
         assert got == LIBRARY.encode(text), text
+        held = [ps._Memory()]
+        assert [i for c, (a, b) in zip(chunks, zip(states, states[1:])) for i in c.ids(a, b, held).tolist()] == got, text
 
 
 def test_products_are_associative():
