@@ -78,7 +78,7 @@ def test_table_and_round_trip(spark):
 def test_texts_of_many_chunks(spark, monkeypatch):
     """Chunks of production size, and a tree of several levels."""
     rnd = random.Random(4)
-    rows = [(1, random_text(rnd, 90_000)), (2, "a" * 70_000), (3, "x" * ps.CHUNK_CHARS), (4, "the " * 9000)]
+    rows = [(1, random_text(rnd, 90_000)), (2, "a" * 20_000), (3, "x" * ps.CHUNK_CHARS), (4, "the " * 9000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     monkeypatch.setattr(ps, "FAN", 3)
     assert all(len(t) >= ps.CHUNK_CHARS for _, t in rows) and len(rows[0][1]) > 9 * ps.CHUNK_CHARS
