@@ -18,26 +18,48 @@ def _not_between(column: str, low: float, high: float) -> Column:
     return F.col(column).isNotNull() & ~F.col(column).between(low, high)
 
 
-def constraint_rules(table: str) -> list[tuple[str, Column]]:
-    return {
-        "published_cves": [("state_domain", _outside("state", S.CVE_STATES))],
-        "sources": [("method_domain", _outside("method", S.SOURCE_METHODS)),
-                    ("tier_range", _not_between("tier", 1, 5))],
-        "candidates": [("status_domain", _outside("status", S.CANDIDATE_STATUSES)),
-                       ("attack_vector_domain", _outside("attack_vector", S.ATTACK_VECTORS)),
-                       ("severity_hint_domain", _outside("severity_hint", S.SEVERITY_HINTS))],
-        "cvss_scores": [("provenance_domain", _outside("provenance", S.PROVENANCES)),
-                        ("score_range", _not_between("base_score", 0, 10)),
-                        ("version_domain", _outside("version", ["3.0", "3.1", "4.0"]))],
-        "epss_scores": [("score_range", _not_between("score", 0, 1))],
-    }.get(table, [])
+#: (table, rule, column): what is allowed, a list of values or the two ends of a range. Nulls break no rule.
+CONSTRAINTS: list[tuple[str, str, str, list[str] | tuple[float, float]]] = [
+    ("published_cves", "state_domain", "state", S.CVE_STATES),
+    ("sources", "method_domain", "method", S.SOURCE_METHODS),
+    ("sources", "tier_range", "tier", (1, 5)),
+    ("candidates", "status_domain", "status", S.CANDIDATE_STATUSES),
+    ("candidates", "attack_vector_domain", "attack_vector", S.ATTACK_VECTORS),
+    ("candidates", "severity_hint_domain", "severity_hint", S.SEVERITY_HINTS),
+    ("candidates", "enrichment_confidence_range", "enrichment_confidence", (0, 1)),
+    ("candidate_links", "method_domain", "method", S.LINK_METHODS),
+    ("candidate_links", "status_domain", "status", S.LINK_STATUSES),
+    ("candidate_links", "confidence_range", "confidence", (0, 1)),
+    ("cvss_scores", "provenance_domain", "provenance", S.PROVENANCES),
+    ("cvss_scores", "score_range", "base_score", (0, 10)),
+    ("cvss_scores", "version_domain", "version", S.CVSS_VERSIONS),
+    ("cvss_scores", "severity_domain", "base_severity", S.CVSS_SEVERITIES),
+    ("cvss_scores", "confidence_range", "confidence", (0, 1)),
+    ("epss_scores", "score_range", "score", (0, 1)),
+    ("epss_scores", "percentile_range", "percentile", (0, 1)),
+    ("affected_products", "status_domain", "default_status", S.AFFECTED_STATUSES),
+    ("affected_products", "normalization_domain", "normalization_method", S.NORMALIZATION_METHODS),
+    ("affected_products", "normalization_confidence_range", "normalization_confidence", (0, 1)),
+    ("affected_products", "confidence_range", "confidence", (0, 1)),
+    ("product_aliases", "source_domain", "source", S.ALIAS_SOURCES),
+    ("product_aliases", "confidence_range", "confidence", (0, 1)),
+]
+
+
+def constraint_rules(table: str, columns: list[str]) -> list[tuple[str, Column]]:
+    """Name and violation of each rule on the columns at hand; missing columns are for :func:`audit_schema`."""
+    found = [(rule, _outside(c, allowed) if isinstance(allowed, list) else _not_between(c, *allowed))
+             for t, rule, c, allowed in CONSTRAINTS if t == table and c in columns]
+    if table == "candidate_links" and {"a", "b"} <= set(columns):
+        found.append(("ordered_pair", F.col("a") >= F.col("b")))
+    return found
 
 
 def audit_constraints(tables: dict[str, DataFrame]) -> DataFrame:
     """(table, rule, violations): one counting pass per table."""
     out = None
     for name, df in tables.items():
-        rules = constraint_rules(name)
+        rules = constraint_rules(name, df.columns)
         if not rules:
             continue
         row = df.agg(*[F.count_if(cond).alias(rule) for rule, cond in rules])

@@ -116,5 +116,12 @@ CANDIDATE_STATUSES = ["candidate", "emerging", "published", "merged", "rejected"
 ATTACK_VECTORS = ["network", "adjacent", "local", "physical"]
 SEVERITY_HINTS = ["likely-critical", "likely-high", "likely-medium", "likely-low"]
 PROVENANCES = ["authoritative", "derived"]
+CVSS_VERSIONS = ["3.0", "3.1", "4.0"]
+CVSS_SEVERITIES = ["NONE", "LOW", "MEDIUM", "HIGH", "CRITICAL"]
+LINK_METHODS = ["fingerprint", "embedding", "llm"]
+LINK_STATUSES = ["suggested", "confirmed", "rejected"]
+NORMALIZATION_METHODS = ["exact", "alias", "fuzzy", "llm", "unresolved"]
+AFFECTED_STATUSES = ["affected", "unaffected", "unknown"]
+ALIAS_SOURCES = ["seed", "llm", "manual"]
 SOURCE_METHODS = ["api", "rss", "scrape", "browser", "git"]
 MATURITIES = ["pre_cve", "cve_prereserved", "cve_reserved"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from advisorylake import schemas as S
 from advisorylake.functions import software as SW
 from advisorylake.operators import aggregates as A
 from advisorylake.operators import audit as AU
@@ -220,26 +221,49 @@ def _dirty(c: Ctx):
         "published_cves": c.published_cves.withColumn("state", F.when(_num() % 50 == 0, "ODD").otherwise(F.col("state"))),
         "candidates": c.candidates.withColumn("attack_vector", F.when(F.col("id") % 100 == 3, "web").otherwise(F.col("attack_vector"))),
         "sources": c.sources.withColumn("tier", F.when(F.col("id") == 3, 9).otherwise(F.col("tier"))),
-        "cvss_scores": c.cvss_scores.withColumn("base_score", F.col("base_score") + 0.5),
-        "epss_scores": c.epss_scores,
+        "cvss_scores": c.cvss_scores.withColumn("base_score", F.col("base_score") + 0.5).withColumn(
+            "confidence", F.when(F.col("candidate_id") % 5 == 0, 1.5)).withColumn("base_severity", F.when(F.col("candidate_id") % 3 == 0, "SEVERE").otherwise("LOW")),
+        "epss_scores": c.epss_scores.withColumn("percentile", F.col("score") * 2),
+        "candidate_links": c.candidates.select(
+            F.col("id").alias("a"), (F.col("id") + 1 - F.col("id") % 4).alias("b"), F.when(F.col("id") % 6 == 0, "guess").otherwise("llm").alias("method"),
+            F.lit("confirmed").alias("status"), (F.col("id") % 3).alias("confidence")),
+        "affected_products": c.affected_products.withColumn("normalization_method", F.when(F.col("candidate_id") % 2 == 0, "magic")),
     }
 
 
+def _doubled(c: Ctx):
+    """Lens tables in which some rows stand twice."""
+    again = {
+        "published_cves": (c.published_cves, _num() % 40 == 0), "candidates": (c.candidates, F.col("id") % 100 == 3),
+        "identifiers": (c.identifiers, F.col("candidate_id") % 50 == 1), "epss_scores": (c.epss_scores, _num("cve_id") % 10 == 0),
+        "sources": (c.sources, F.col("id") % 5 == 2)}
+    return {name: df.unionByName(df.where(some)) for name, (df, some) in again.items()}
+
+
 add("audit_constraints", lambda c: AU.audit_constraints(_dirty(c)),
     f"SELECT 'published_cves' AS table_name, 'state_domain' AS rule, count(*) FILTER (WHERE {_NUM} % 50 = 0) AS violations FROM published_cves "
     "UNION ALL SELECT 'sources', 'method_domain', 0 UNION ALL SELECT 'sources', 'tier_range', count(*) FILTER (WHERE id = 3) FROM sources "
     "UNION ALL SELECT 'candidates', 'status_domain', 0 UNION ALL SELECT 'candidates', 'attack_vector_domain', count(*) FILTER (WHERE id % 100 = 3) FROM candidates "
     "UNION ALL SELECT 'candidates', 'severity_hint_domain', 0 UNION ALL SELECT 'cvss_scores', 'provenance_domain', 0 "
     "UNION ALL SELECT 'cvss_scores', 'score_range', count(*) FILTER (WHERE base_score + 0.5 > 10) FROM cvss_scores "
-    "UNION ALL SELECT 'cvss_scores', 'version_domain', 0 UNION ALL SELECT 'epss_scores', 'score_range', 0")
+    "UNION ALL SELECT 'cvss_scores', 'version_domain', 0 UNION ALL SELECT 'epss_scores', 'score_range', 0 "
+    "UNION ALL SELECT 'cvss_scores', 'confidence_range', count(*) FILTER (WHERE candidate_id % 5 = 0) FROM cvss_scores "
+    "UNION ALL SELECT 'cvss_scores', 'severity_domain', count(*) FILTER (WHERE candidate_id % 3 = 0) FROM cvss_scores "
+    "UNION ALL SELECT 'epss_scores', 'percentile_range', count(*) FILTER (WHERE score * 2 > 1) FROM epss_scores "
+    "UNION ALL SELECT 'candidate_links', 'method_domain', count(*) FILTER (WHERE id % 6 = 0) FROM candidates UNION ALL SELECT 'candidate_links', 'status_domain', 0 "
+    "UNION ALL SELECT 'candidate_links', 'confidence_range', count(*) FILTER (WHERE id % 3 = 2) FROM candidates "
+    "UNION ALL SELECT 'candidate_links', 'ordered_pair', count(*) FILTER (WHERE id % 4 <> 0) FROM candidates "
+    "UNION ALL SELECT 'affected_products', 'normalization_domain', count(*) FILTER (WHERE candidate_id % 2 = 0) FROM affected_products")
 add("audit_uniqueness",
     lambda c: AU.audit_uniqueness({
         "affected_products": (c.affected_products, M.AFFECTED_KEY),
-        "candidates_by_year_hint": (c.candidates, ["severity_hint", "vuln_type", "attack_vector"]),
-        "identifiers": (c.identifiers, ["scheme", "value"])}),
+        **{name: (twice, S.KEYS[name]) for name, twice in _doubled(c).items()}}),
     "SELECT 'affected_products' AS table_name, count(*) AS duplicate_keys FROM (SELECT 1 FROM affected_products GROUP BY candidate_id, vendor, product, ecosystem HAVING count(*) > 1) "
-    "UNION ALL SELECT 'candidates_by_year_hint', count(*) FROM (SELECT 1 FROM candidates GROUP BY severity_hint, vuln_type, attack_vector HAVING count(*) > 1) "
-    "UNION ALL SELECT 'identifiers', 0")
+    f"UNION ALL SELECT 'published_cves', count(*) FROM published_cves WHERE {_NUM} % 40 = 0 "
+    "UNION ALL SELECT 'candidates', count(*) FROM candidates WHERE id % 100 = 3 "
+    "UNION ALL SELECT 'identifiers', count(*) FROM identifiers WHERE candidate_id % 50 = 1 "
+    "UNION ALL SELECT 'epss_scores', count(*) FROM epss_scores WHERE CAST(substring(cve_id, 10) AS BIGINT) % 10 = 0 "
+    "UNION ALL SELECT 'sources', count(*) FROM sources WHERE id % 5 = 2")
 add("audit_references",
     lambda c: AU.audit_references([
         ("mentions.candidate_id", c.mentions, "candidate_id", c.candidates.where("id % 7 <> 0"), "id"),
