@@ -273,10 +273,23 @@ add("audit_references",
     "SELECT 'mentions.candidate_id' AS link, count(*) AS orphans FROM mentions WHERE candidate_id % 7 = 0 "
     "UNION ALL SELECT 'mentions.source_id', 0 UNION ALL SELECT 'candidates.merged_into', 0 "
     "UNION ALL SELECT 'candidates.cve_id', count(*) FROM candidates WHERE cve_id IS NOT NULL AND id % 2 = 1")
+#: Declared columns that the lens does not fill.
+_LENS_LACKS = {
+    "identifiers": "", "epss_scores": "model_version,percentile", "sources": "kind,last_error",
+    "cvss_scores": "base_severity,confidence,inferred_metrics,source,vector",
+    "github_repos": "adv_last_scanned_at,adv_watermark,origin,repo_kind,watermark",
+    "mentions": "content_hash,extracted_cve,extracted_native,id,snippet,title,url",
+    "affected_products": "catalog_id,exact_versions,normalization_method,purl,ranges,raw,source",
+    "candidates": "affected_product,affected_versions,cwe_ids,days_ahead_vs_nvd_analyzed,days_ahead_vs_nvd_present,days_ahead_vs_nvd_published,"
+                  "enrichment_confidence,enrichment_method,enrichment_updated_at,kev_date,kev_source,mention_count,poc_urls,promoted_at,"
+                  "reference_urls,requires_auth,requires_interaction,source_count",
+    "published_cves": "assigner_short_name,cna,cvelist_updated_at,description_en,enriched_at,has_exploit_ref,has_patch_ref,nvd_last_modified_at,"
+                      "nvd_vuln_status,primary_cvss_score,primary_cvss_severity,primary_cvss_vector,primary_cvss_version,primary_cwe,raw_json,"
+                      "ssvc_automatable,ssvc_exploitation,ssvc_technical_impact",
+}
 add("audit_schema",
-    lambda c: AU.audit_schema({"identifiers": c.identifiers, "epss_scores": c.epss_scores}),
-    "SELECT 'identifiers' AS table_name, '' AS missing, count(*) AS rows FROM identifiers "
-    "UNION ALL SELECT 'epss_scores', 'model_version,percentile', count(*) FROM epss_scores")
+    lambda c: AU.audit_schema({name: getattr(c, name) for name in _LENS_LACKS}),
+    " UNION ALL ".join(f"SELECT '{name}' AS table_name, '{lacks}' AS missing, count(*) AS rows FROM {name}" for name, lacks in _LENS_LACKS.items()))
 _AGE = f"CAST(floor((epoch_us({AS_OF}) - epoch_us(last_success_at)) / 1e6) AS BIGINT)"
 _STATE = (f"CASE WHEN NOT enabled THEN 'disabled' WHEN last_error_at IS NOT NULL AND (last_success_at IS NULL OR last_error_at >= last_success_at) THEN 'error' "
           f"WHEN last_success_at IS NULL THEN 'never' WHEN {_AGE} > greatest(cadence_seconds * 2, 900) THEN 'stale' ELSE 'ok' END")
