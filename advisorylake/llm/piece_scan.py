@@ -248,9 +248,11 @@ class _Memory:
     """Ids of the words a worker has met, by their number."""
 
     def __init__(self) -> None:
-        self.codes, self.ids, self.n = Codes(), np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.codes, self.ids, self.n, self.starts = Codes(), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def learn(self, model: Model) -> None:
+        if len(self.codes.of) == len(self.n):
+            return
         fresh = self.codes.words()[len(self.n):]
         texts = [(" " + w.decode()).replace(" ", SPACE) for w in fresh]
         ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
@@ -258,6 +260,7 @@ class _Memory:
         solved = [solve(model, texts[a:b]) for a, b in zip(cuts, [*cuts[1:], len(texts)])]
         self.ids = np.concatenate([self.ids, *(ids for ids, _ in solved)])
         self.n = np.concatenate([self.n, *(n for _, n in solved)])
+        self.starts = run_starts(self.n)
 
 
 @cache
@@ -294,7 +297,7 @@ def _solve_words(model: Model, held: list[_Memory], words: list[bytes]) -> tuple
     memory.learn(model)
     n = memory.n[word]
     nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return memory.ids[np.repeat(run_starts(memory.n)[word] if len(word) else word, n) + nth], n
+    return memory.ids[np.repeat(memory.starts[word] if len(word) else word, n) + nth], n
 
 
 # Texts of several chunks.
