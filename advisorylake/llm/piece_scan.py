@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import cache, partial, reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,9 @@ CHUNK_CHARS = 1 << 14
 FAN, LEVELS = 64, 3
 #: Characters of new words solved together, and words a worker remembers between blocks.
 BATCH_CHARS = 200_000
-REMEMBERED = 150_000
+REMEMBERED = 400_000
+#: Chunks whose words are looked up together.
+TRACED = 32
 #: Rows decoded at once.
 DECODED_ROWS = 500
 SPACE = "▁"
@@ -393,22 +396,25 @@ class Chunk:
         ends = np.flatnonzero(self.cut[begin + 1:start + 1]) if start > begin else np.zeros(0, np.int64)
         return bool(len(hit) and lattice.valid[hit[0]] and (lattice.into[ends] >= 0).all())
 
-    def ids(self, entry: int, exit_: int, held: list[_Memory] | None = None) -> np.ndarray:
-        """Ids of the pieces that begin in this chunk, on the path between two states.
-
-        With a memory, whole words between the two ends are looked up there; only the ends are traced.
-        """
+    def parts(self, entry: int, exit_: int) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+        """The pieces that begin in this chunk, on the path between two states: ids, then whole words, then ids."""
         entry, exit_ = self.entries[entry], self.exits[exit_]
-        if held is not None and self.model.words_apart:
+        if self.model.words_apart:
             space = np.frombuffer(self.text.encode("utf-32-le"), np.uint32) == ord(SPACE)
             starts = np.flatnonzero(space[1:] & ~space[:-1]) + 1
             starts = starts[(starts > entry[1]) & (starts <= exit_[0])]
             if len(starts) > 1:
                 p, q = int(starts[0]), int(starts[-1])
                 inside = self.text[p + 1:q].replace(SPACE, " ").encode()
-                return np.concatenate([self._traced(entry, p), _solve_words(self.model, held, _words(self.model, inside))[0],
-                                       self._leaves((q, q, -1), exit_)])
-        return self._leaves(entry, exit_)
+                return self._traced(entry, p), _words(self.model, inside), self._leaves((q, q, -1), exit_)
+        return self._leaves(entry, exit_), [], np.zeros(0, np.int32)
+
+    def ids(self, entry: int, exit_: int, held: list[_Memory] | None = None) -> np.ndarray:
+        """Ids of those pieces, all traced in the lattice or with a memory of words."""
+        if held is None:
+            return self._leaves(self.entries[entry], self.exits[exit_])
+        left, words, right = self.parts(entry, exit_)
+        return np.concatenate([left, _solve_words(self.model, held, words)[0], right])
 
     def _traced(self, entry: tuple[int, int, int], stop: int) -> np.ndarray:
         """Ids from the end of ``entry`` to a certain cut."""
@@ -501,11 +507,17 @@ def _all_states(matrices: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _trace_batches(batches: Iterator[pa.RecordBatch], model: Broadcast, path: str) -> Iterator[pa.RecordBatch]:
-    for row, chunk in _chunks_of(batches, model.value):
-        ids = chunk.ids(row.column("entry")[0].as_py(), row.column("exit")[0].as_py(), _memory(path))
-        yield pa.RecordBatch.from_arrays(
-            [row.column("row"), row.column("id"), row.column("chunk"), nested(np.array([len(ids)]), pa.array(ids, pa.int32()))],
-            ["row", "id", "chunk", "ids"])
+    found = _chunks_of(batches, model.value)
+    while some := list(islice(found, TRACED)):
+        parts = [chunk.parts(row.column("entry")[0].as_py(), row.column("exit")[0].as_py()) for row, chunk in some]
+        words = [w for _, ws, _ in parts for w in ws]
+        ids, n = _solve_words(model.value, _memory(path), words)
+        ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum([0, *(len(ws) for _, ws, _ in parts)])]
+        for (row, _), (left, _, right), a, b in zip(some, parts, ends, ends[1:]):
+            whole = np.concatenate([left, ids[a:b], right])
+            yield pa.RecordBatch.from_arrays(
+                [row.column("row"), row.column("id"), row.column("chunk"), nested(np.array([len(whole)]), pa.array(whole, pa.int32()))],
+                ["row", "id", "chunk", "ids"])
 
 
 @cache
