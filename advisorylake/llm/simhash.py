@@ -1,10 +1,10 @@
-"""SimHash near-duplicates by radius-one balls around whole fingerprints."""
+"""SimHash near-duplicates by multi-index hashing: tables on segments, probed with small Hamming balls."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +17,10 @@ from advisorylake.session import Scratch
 
 SHINGLE_WORDS = 3
 SEED = 42
-#: Bits of the two segments of a fingerprint.
-SEGMENTS = ((0, 32), (32, 64))
+#: Differing bits at which two fingerprints link, and the segments that the index has a table for.
+RADIUS, SEGMENTS = 2, 2
+#: Fingerprints of one table bucket that a probe is compared with; members of larger ones are linked by all their bits.
+BUCKET = 64
 #: Shingles counted at once, so that the bits of a long text take bounded memory.
 _SLICE = 1 << 16
 
@@ -66,36 +68,69 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(partial(_fingerprint_batches, width=width), f"id {kind}, fp bigint")
 
 
-def segment_ball(fp: Column) -> Column:
-    """``fp`` and every value that differs from it in one bit."""
-    flips = [F.lit(0).cast("long")]
-    for low, high in SEGMENTS:
-        flips += [F.lit((1 << b) - (1 << 64 if b == 63 else 0)).cast("long") for b in range(low, high)]
-    return F.transform(F.array(*flips), lambda flip: fp.bitwiseXOR(flip))
+def ball(value: Column, width: int, radius: int) -> Column:
+    """Every value that differs from ``value`` in ``radius`` or fewer of its lowest ``width`` bits."""
+    masks = [sum(1 << b for b in bits) for n in range(radius + 1) for bits in combinations(range(width), n)]
+    signed = [F.lit(m - (1 << 64 if m >> 63 else 0)).cast("long") for m in masks]
+    return F.transform(F.array(*signed), lambda mask: value.bitwiseXOR(mask))
 
 
-def links(distinct_fps: DataFrame, fp: str = "fp") -> DataFrame:
-    """Verified links (a, b) that connect all fingerprints at two differing bits or fewer.
+def segment_keys(fp: Column, segments: int, radius: int) -> Column:
+    """Keys of all segments of ``fp``: the number of the segment above each value within ``radius`` bits of its own."""
+    if segments < 2:
+        raise ValueError("a key has room for a segment of 32 bits, so there are two segments or more")
+    keys = []
+    for i in range(segments):
+        low, high = 64 * i // segments, 64 * (i + 1) // segments
+        value = F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << high - low) - 1).cast("long"))
+        keys.append(ball(value.bitwiseOR(F.lit(i << 32).cast("long")), high - low, radius))
+    return F.concat(*keys)
 
-    A row enters the table under each value of the radius-one ball of its whole fingerprint:
-    two fingerprints at distance two differ by one bit each from the value between them, so
-    they meet there. This is complete for two bits and for no wider radius. A bucket is
-    bounded by the 65 values around its key; a bucket on a segment alone would hold a whole
-    group of copies. Each member of a bucket links to the smallest one, at most two bits
-    away, so the number of links is linear.
+
+def _split_links(fps: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) that connect all of ``fps`` within ``radius``, where segments tell too few of them apart.
+
+    Two values at distance d have one between them, d // 2 bits from the one and the rest from the other. Every
+    fingerprint stands under all values within radius // 2 bits and asks at those one bit further if the radius is odd; all that
+    meet link to the smallest that stands there, so there is one link a key and a dense group isn't squared.
+    """
+    near, far = radius // 2, radius - radius // 2
+    met = fps.select(F.col("fp").alias("a"), F.explode(ball(F.col("fp"), 64, far)).alias("between"))
+    stands = F.bit_count(F.col("a").bitwiseXOR(F.col("between"))) <= near
+    least = F.min(F.when(stands, F.col("a"))).over(W.partitionBy("between"))
+    return met.withColumn("b", least).where("b IS NOT NULL").select("a", "b")
+
+
+def links(distinct_fps: DataFrame, fp: str = "fp", radius: int = RADIUS, segments: int = SEGMENTS, bucket: int = BUCKET,
+          scratch: Scratch | None = None) -> DataFrame:
+    """Verified links (a, b), a < b, that connect all fingerprints at ``radius`` differing bits or fewer.
+
+    There is a table for each segment, with a row for every fingerprint under its value there. Of two fingerprints within the
+    radius one segment differs by radius // segments bits or fewer, so each probes the tables with the balls of that
+    radius around its segments, and the whole distance to everything it meets is verified. A fingerprint that probes a
+    bucket of more than ``bucket`` rows (near copies share segments) is taken out of the probes; all of these are linked by
+    the bits of all segments together (``_split_links``). The others probe the tables of all, so every pair with one of
+    them is found too, and a probe meets ``bucket`` rows at most: links grow with the fingerprints and none is lost.
+    ``fp`` holds distinct signed 64-bit values; an empty table has no links.
     """
-    table = distinct_fps.select(F.col(fp).alias("a"), F.explode(segment_ball(F.col(fp))).alias("bucket"))
-    least = F.min("a").over(W.partitionBy("bucket"))
-    return (table.withColumn("b", least).where(F.col("a") != F.col("b"))
-            .where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)
-            .select("a", "b").distinct())
+    scratch = scratch or Scratch(distinct_fps.sparkSession, "simhash-links")
+    fps = distinct_fps.select(F.col(fp).alias("fp"))
+    table = fps.select(F.col("fp").alias("b"), F.explode(segment_keys(F.col("fp"), segments, 0)).alias("key"))
+    probed = lambda some: some.select(F.col("fp").alias("a"), F.explode(
+        segment_keys(F.col("fp"), segments, radius // segments)).alias("key"))
+    large = scratch.write(table.groupBy("key").count().where(F.col("count") > bucket).select("key"), "large-buckets")
+    dense = scratch.write(probed(fps).join(large, "key", "left_semi").select(F.col("a").alias("fp")).distinct(), "dense")
+    met = probed(fps.join(dense, "fp", "left_anti")).join(table.join(large, "key", "left_anti"), "key").select("a", "b")
+    return (met.union(_split_links(dense, radius)).where(F.col("a") != F.col("b"))
+            .where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
+            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    width: int = SHINGLE_WORDS) -> DataFrame:
+                    width: int = SHINGLE_WORDS, radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
     """(id_col, fingerprint, component_id) for every row of ``docs``.
 
-    Rows link at two or fewer differing bits; ``component_id`` is the smallest id reachable.
+    Rows link at ``radius`` or fewer differing bits; ``component_id`` is the smallest id reachable.
     Null and empty texts have fingerprint zero and link like any other. A null id takes part
     but never names a component; a component without any id has a null component_id.
     Repeated rows give repeated rows. Extra columns are ignored, whatever their names.
@@ -104,7 +139,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(spark, "simhash")
     rows = scratch.write(fingerprints(docs, id_col, text_col, width), "fingerprints")
     distinct = scratch.write(rows.groupBy("fp").agg(F.min("id").alias("first_id")), "distinct")
-    edges = scratch.write(links(distinct), "links")
+    edges = scratch.write(links(distinct, radius=radius, segments=segments, scratch=scratch), "links")
     labels, _ = connected_components(edges)
     member = distinct.join(labels.select(F.col("node").alias("fp"), "component"), "fp", "left")
     named = scratch.write(member.select("fp", F.coalesce("component", "fp").alias("component"),

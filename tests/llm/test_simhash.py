@@ -77,6 +77,49 @@ def test_empty_table(spark):
     assert out.columns == ["doc_id", "fingerprint", "component_id"] and out.count() == 0
 
 
+@pytest.mark.parametrize(("radius", "segments", "bucket"), [(2, 2, 64), (2, 2, 1), (2, 3, 4), (3, 2, 2), (3, 4, 64), (4, 4, 8), (1, 2, 1), (0, 2, 1)])
+def test_links_connect_all_pairs_within_the_radius(spark, radius, segments, bucket):
+    """Small and large buckets, even and odd radii: verified links, and the components of all pairs."""
+    rnd = random.Random(radius * 100 + segments * 10 + bucket)
+    fps = {0, (1 << 64) - 1} | {rnd.getrandbits(64) for _ in range(40)}
+    for base in rnd.sample(sorted(fps), 6):
+        near = [base]
+        for _ in range(25):
+            value = rnd.choice(near)
+            for bit in rnd.sample(range(64), rnd.randrange(1, radius + 2)):
+                value ^= 1 << bit
+            near.append(value)
+        fps |= set(near)
+    half = rnd.getrandbits(32)  # one segment shared by unrelated values
+    fps = sorted(fps | {half << 32 | rnd.getrandbits(32) for _ in range(30)} | {rnd.getrandbits(32) << 32 | half for _ in range(30)})
+    signed = [v - (1 << 64) if v >> 63 else v for v in fps]
+    frame = spark.createDataFrame([(v,) for v in signed], "fp long")
+    found = [(r.a, r.b) for r in simhash.links(frame, radius=radius, segments=segments, bucket=bucket).collect()]
+    apart = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count()
+    assert len(set(found)) == len(found) and all(a < b and apart(a, b) <= radius for a, b in found)
+
+    def components(pairs):
+        root = {v: v for v in signed}
+
+        def find(v):
+            while root[v] != v:
+                v = root[v]
+            return v
+
+        for a, b in pairs:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+        return {v: find(v) for v in signed}
+
+    every = [(a, b) for i, a in enumerate(signed) for b in signed[:i] if apart(a, b) <= radius]
+    assert components(found) == components(every)
+    assert bool(every) == (radius > 0)
+
+
+def test_one_segment_has_no_room_for_its_number(spark):
+    with pytest.raises(ValueError):
+        simhash.links(spark.createDataFrame([(1,)], "fp long"), segments=1)
+
+
 def test_links_stay_linear_in_a_dense_group(spark):
     """All values in a ball of radius two: millions of pairs, one link per value and key."""
     ball = {0} | {1 << i for i in range(62)} | {1 << i | 1 << j for i in range(62) for j in range(i)}
