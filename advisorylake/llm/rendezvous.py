@@ -25,6 +25,23 @@ def winner(key: Column, weights: Sequence[float]) -> Column:
                                  for s, w in enumerate(weights)]))
 
 
+def slot_groups(placed: DataFrame, shards: int, rows_per_bucket: int, scratch: Scratch) -> DataFrame:
+    """``placed``, a written table, with the bucket and the part of it in which a task numbers a row.
+
+    Buckets follow the content of a row. Rows that are equal in all of it would share one however many they are, so a hash with
+    more than ``rows_per_bucket`` rows is a bucket of its own, in several parts by the places of its rows in the written files. Such
+    rows can be exchanged for each other, so slots still follow from content alone.
+    """
+    content = F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), "text_crc32", "size")
+    rows = placed.select("*", content.alias("content"), F.xxhash64("_metadata.file_name", "_metadata.row_index").alias("place"))
+    large = scratch.write(rows.groupBy("content").count().where(F.col("count") > rows_per_bucket).select(
+        "content", F.ceil(F.col("count") / rows_per_bucket).alias("parts")), "large")
+    buckets = -(-placed.count() // (shards * rows_per_bucket)) or 1
+    return rows.join(large, "content", "left").select(
+        *placed.columns, F.when(F.col("parts").isNull(), F.pmod("content", F.lit(buckets))).otherwise(F.col("content")).alias("bucket"),
+        F.coalesce(F.pmod("place", "parts"), F.lit(0)).alias("part"))
+
+
 def assign(docs: DataFrame, weights: Sequence[float] = (1.0,) * SHARDS, grown_weight: float = 1.0,
            id_col: str = "doc_id", text_col: str = "text", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """One row per document: id_col, size, text_crc32, shard, slot, grown_shard.
@@ -48,14 +65,13 @@ def assign(docs: DataFrame, weights: Sequence[float] = (1.0,) * SHARDS, grown_we
     placed = scratch.write(first.select(
         "id", "size", "text_crc32", F.col("first.shard").alias("shard"),
         F.when(late < F.col("first.time"), F.lit(len(weights))).otherwise(F.col("first.shard")).alias("grown_shard")), "placed")
-    # Slots are numbered in hash buckets of a shard, so no task sorts a whole shard.
-    buckets = -(-placed.count() // (len(weights) * rows_per_bucket)) or 1
-    numbered = placed.withColumn("bucket", F.pmod(F.xxhash64(key, "text_crc32", "size"), F.lit(buckets)))
-    counts = numbered.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
-    before = W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = scratch.write(counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")), "offsets")
-    inside = W.partitionBy("shard", "bucket").orderBy("id", "text_crc32", "size")
+    # Slots are numbered in parts of hash buckets of a shard, so no task sorts a whole shard.
+    numbered = slot_groups(placed, len(weights), rows_per_bucket, scratch)
+    counts = numbered.groupBy("shard", "bucket", "part").agg(F.count("*").alias("n"))
+    before = W.partitionBy("shard").orderBy("bucket", "part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = scratch.write(counts.select("shard", "bucket", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")), "offsets")
+    inside = W.partitionBy("shard", "bucket", "part").orderBy("id", "text_crc32", "size")
     ranked = numbered.withColumn("place", F.row_number().over(inside) - 1)
-    return ranked.join(offsets, ["shard", "bucket"]).select(
+    return ranked.join(offsets, ["shard", "bucket", "part"]).select(
         F.col("id").alias(id_col), "size", "text_crc32", "shard",
         (F.col("offset") + F.col("place")).cast("long").alias("slot"), "grown_shard")

@@ -9,6 +9,7 @@ import pytest
 import xxhash
 
 from advisorylake.llm import rendezvous as rv
+from advisorylake.session import Scratch
 
 DOC = "doc_id long, text string, shard string, slot int"
 
@@ -54,3 +55,23 @@ def test_bad_weights_and_empty_tables(spark):
     assert rv.assign(docs).count() == 0
     with pytest.raises(ValueError):
         rv.assign(docs, (1.0, 0.0))
+
+
+def test_equal_rows_are_numbered_in_parts(spark):
+    """A third of the rows without id and text: no numbering task gets them all, and slots follow from content."""
+    rows = [(None, None)] * 3000 + [(i, f"text {i % 7}") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    placed = rv.assign(docs, rows_per_bucket=100)
+    scratch = Scratch(spark, "test")
+    written = scratch.write(placed.select(placed["doc_id"].alias("id"), "text_crc32", "size", "shard"), "placed")
+    groups = rv.slot_groups(written, 24, 100, scratch)
+    assert groups.count() == len(rows)
+    assert groups.groupBy("shard", "bucket", "part").count().agg({"count": "max"}).first()[0] < 400
+
+    got = [tuple(r) for r in placed.select("shard", "slot", "doc_id").collect()]
+    slots = {}
+    for shard, slot, _ in got:
+        slots.setdefault(shard, []).append(slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    again = rv.assign(docs.repartition(5), rows_per_bucket=100).select("shard", "slot", "doc_id").collect()
+    assert sorted(map(repr, got)) == sorted(repr(tuple(r)) for r in again)
