@@ -23,6 +23,6 @@ def open_group(spark, sf_dir, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["apply_flags", "candidate_updates", "ingest_batch"])
+@pytest.mark.parametrize("name", ["apply_flags", "candidate_updates", "ingest_batch", "ingest_full"])
 def test_last_group_without_its_alias_row(spark, open_group, name):
     assert compare(queries()[name](spark, open_group), duck(open_group), oracle_sql()[name]) is None
