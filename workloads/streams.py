@@ -25,19 +25,18 @@ def _landing(c: Ctx, table: str):
                           glob=f"{table}.parquet")
 
 
-def _landed(c: Ctx, table: str, order: str, files: int = 5):
-    """A table landed as several files in the order of ``order``, the last ones after a first run of the stream.
+def _landed(c: Ctx, table: str, order: str, parts: int = 5):
+    """A table landed part by part in the order of ``order``, each part as the files that its tasks write.
 
-    Yields the stream of what has landed so far, one file a micro-batch; a stream that is started again goes on from its checkpoint.
+    Yields the stream after every part, which makes one micro-batch of it; a stream that is started again goes on from its checkpoint.
     """
     path = scratch_path(c.spark, f"landed-{table}")
     rows = c.driver(table)
     low, high = rows.agg(F.min(order), F.max(order)).first()
-    share = F.floor(files * (F.col(order) - low) / (high - low + 1))
-    for part in range(files):
-        rows.where(share == part).coalesce(1).write.mode("append").parquet(path)
-        if part in (files // 2, files - 1):
-            yield J.read_landing(c.spark, path, T.StructType.fromDDL(DRIVER_SCHEMAS[table]), glob="*.parquet", files_per_batch=1)
+    share = F.floor(parts * (F.col(order) - low) / (high - low + 1))
+    for part in range(parts):
+        rows.where(share == part).write.mode("append").parquet(path)
+        yield J.read_landing(c.spark, path, T.StructType.fromDDL(DRIVER_SCHEMAS[table]), glob="*.parquet")
 
 
 def _mention_stream(c: Ctx, landing=None):
