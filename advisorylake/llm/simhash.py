@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import partial
 from itertools import combinations, repeat
 
@@ -42,16 +42,26 @@ def shingle_hashes(text: bytes | None, width: int) -> Iterator[np.ndarray]:
                           np.uint64, b - a)
 
 
-def fingerprint(text: bytes | None, width: int = SHINGLE_WORDS) -> int:
-    """64 majority bits over the XXH64 of all word shingles; 0 for a text without words."""
+def majority(slices: Iterable[np.ndarray]) -> int:
+    """The 64 bits that over half of the hashes have; 0 for none. ``slices`` hold them one after another."""
     ones, total = np.zeros(64, np.int64), 0
-    for h in shingle_hashes(text, width):
+    for h in slices:
         bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64)
         total += len(h)
     return int(np.packbits(2 * ones > total, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: bytes | None, width: int = SHINGLE_WORDS) -> int:
+    """64 majority bits over the XXH64 of all word shingles; 0 for a text without words."""
+    return majority(shingle_hashes(text, width))
+
+
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """64 majority bits over the hashes of a set of shingles, each of which counts once."""
+    return majority(hashes[a:a + _SLICE] for a in range(0, len(hashes), _SLICE))
+
+
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for block in blocks(batches, "text"):
         values = np.fromiter((fingerprint(t, width) for t in utf8(block.column("text"))),

@@ -95,6 +95,59 @@ def test_shared_passages_make_few_candidates(spark, monkeypatch):
     assert pairs[1] <= max(4 * pairs[0], 2000)
 
 
+def written(monkeypatch):
+    """What survivors writes, by name: (the frame's plan, its rows)."""
+    kept = {}
+    write = near_copies.Scratch.write
+
+    def noting(self, df, name):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        out = write(self, df, name)
+        kept[name] = (plan, [tuple(r) for r in out.collect()] if name in ("near-pairs", "near", "tried") else None)
+        return out
+
+    monkeypatch.setattr(near_copies.Scratch, "write", noting)
+    return kept
+
+
+def test_close_copies_are_linked_by_fingerprint_tables(spark, monkeypatch):
+    """Copies with another last word differ in few bits: the tables find them, and the prefix join has no need to."""
+    rnd = random.Random(5)
+    bases = [" ".join(f"w{rnd.randrange(50_000)}" for _ in range(400)) for _ in range(30)]
+    rows = [(2 * i + k, f"{t} end{k}") for i, t in enumerate(bases) for k in (0, 1)]
+    kept = written(monkeypatch)
+    got = sorted(r.doc_id for r in near_copies.survivors(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [2 * i for i in range(30)] == plain_survivors(rows)
+    near, tried = set(kept["near"][1]), set(kept["tried"][1])
+    assert len(near) >= 15 and near <= {(i, i + 1) for i in got}
+    assert not near & tried and near | tried == {(i, i + 1) for i in got}
+
+
+def test_pairs_of_fingerprint_tables_are_verified(spark, monkeypatch):
+    """With a radius of all bits every pair is a candidate; only those of similarity 0.8 link."""
+    kept = written(monkeypatch)
+    rows = [(i, t) for i, t in corpus(4) if i % 6 == 0]
+    monkeypatch.setattr(near_copies.simhash, "links", lambda fps, radius, segments, scratch: fps.alias("x").join(
+        fps.alias("y")).where("x.fp < y.fp").selectExpr("x.fp AS a", "y.fp AS b"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_copies.survivors(docs).collect()) == plain_survivors(rows)
+    assert len(kept["near-pairs"][1]) > 5 * len(kept["near"][1]) > 0
+
+
+def test_sets_of_candidates_shuffle_no_text(spark, monkeypatch):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    kept = written(monkeypatch)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        near_copies.survivors(spark.createDataFrame(corpus(1)[:60], "doc_id long, text string"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    for name in ("near-sets", "links-sets", "more-sets"):
+        read, ids = kept[name][0].split("Bucketed: true")
+        assert "Exchange" not in read and "Exchange" in ids
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("texts_")]
+
+
 def test_empty_table(spark):
     out = near_copies.survivors(spark.createDataFrame([], "doc_id long, text string"))
     assert out.columns == ["doc_id"] and out.count() == 0
