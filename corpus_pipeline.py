@@ -25,7 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group linked by a similarity of 0.8 or more in 5-word shingles."""
-    return docs.join(near_copies.survivors(docs), "doc_id", "left_semi")
+    return docs.join(near_copies.survivors(docs).hint("merge"), "doc_id", "left_semi")
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +40,9 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth stands in benchmark items."""
     tests = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    kept = postings.contamination(docs, tests).where("NOT contaminated").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    # The few that go are written first, so that Spark knows how few they are and shuffles no text to leave them out.
+    gone = Scratch(spark, "decontamination").write(postings.contamination(docs, tests).where("contaminated").select("doc_id"), "gone")
+    return docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,3 +47,20 @@ def test_odd_rows_and_empty_tables(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, spark.createDataFrame([], schema), str(tmp_path))
         assert out.count() == 0 and (name.startswith("Sentence") or out.columns == ["doc_id", "text", "lang", "source", "n_chars"])
+
+
+def test_leaving_out_contaminated_documents_shuffles_no_text(spark, tmp_path):
+    """The few documents that go are sent to all; the many that stay are not."""
+    item = " ".join(f"q{i}" for i in range(13))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(i, item if i == 7 else f"plain text {i}", "en", "s", 9) for i in range(5000)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "4096")
+    try:
+        out = corpus_pipeline.decontamination(spark, docs, str(tmp_path))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.doc_id for r in out.collect()) == [i for i in range(5000) if i != 7]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "Exchange hashpartitioning" not in plan
